@@ -222,7 +222,7 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     units = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = units.select("node", "component", "copies", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
 
-    def run(key: tuple, table):
+    def run(key, table):
         import pyarrow as pa
 
         rows: dict[int, dict] = {}

@@ -140,7 +140,7 @@ def archive(pages: DataFrame, root: str, min_payload: int = MIN_PAYLOAD) -> Data
                         name, at = f"{root}/pages-{uuid.uuid4().hex}.warc.gz", 0
                         fs, path = open_fs(root)
                         fs.create_dir(path, recursive=True)
-                        out = fs.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}")
+                        out = fs.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}", compression=None)  # members are compressed one by one
                     member = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, first)
                     out.write(member)
                     run.entries.append((url_key(url), timestamp(page_id), page_id, name, at, len(member)))
