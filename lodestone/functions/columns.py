@@ -14,6 +14,14 @@ MODEL_KEYWORDS = {"opus": "anthropic/claude-opus-4-5", "sonnet": "anthropic/clau
 CONFIG_PREFIXES = ("baseline_", "bl_", "mcp_", "sgonly_")
 
 
+def sealed(df):
+    """The same rows behind a generator, which the optimizer does not merge projections across.
+
+    Large expressions that many later ones use are then computed once, instead of being copied into each use.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
+
+
 def text(c) -> Column:
     """A missing string as the empty string."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

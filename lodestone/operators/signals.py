@@ -129,7 +129,7 @@ def extract(
         "total_turns": F.coalesce(F.col("t.turns"), F.lit(0)), "error_count": F.coalesce(F.col("t.errors"), F.lit(0)), "has_result_json": F.lit(True),
         "has_trajectory": F.coalesce("there", F.lit(False)), **call_signals(calls, F.col("agent_name")),
     }
-    return joined.select(*[more.get(k, F.col(k)).cast(t).alias(k) for k, t in SIGNAL_TYPES.items()], "trial_path")
+    return C.sealed(joined.select(*[more.get(k, F.col(k)).cast(t).alias(k) for k, t in SIGNAL_TYPES.items()], "trial_path"))
 
 
 def judge_safe(signals: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import sealed
 from ..operators.rules import annotate, narrow
 from ..operators.signals import call_signals
 from ..schemas import SIGNAL_TYPES
@@ -68,7 +69,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         **call_signals(F.col("calls"), F.col("agent_name")),
     }
     path = F.concat(F.lit("runs/"), F.col("config_name"), F.lit("/"), F.col("config_name"), F.lit("_"), F.col("task_id"), F.lit("__"), u, F.lit("-"), seg)
-    return t.select("u", "seg", "started_at", path.alias("trial_path"), *[more.get(k, F.col(k)).cast(v).alias(k) for k, v in SIGNAL_TYPES.items()])
+    return sealed(t.select("u", "seg", "started_at", path.alias("trial_path"), *[more.get(k, F.col(k)).cast(v).alias(k) for k, v in SIGNAL_TYPES.items()]))
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,3 +389,6 @@ def judge_safe_projection(spark, d):
     from ..operators.signals import judge_safe
 
     return judge_safe(adapter.signals(spark, d)).select("u", "seg", "task_id", "tool_calls_total")
+
+
+from . import relational  # noqa: E402, F401  registers the rest
