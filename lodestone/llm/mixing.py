@@ -122,11 +122,11 @@ WITH words AS (
            + ((doc_id * {MIX} + CAST(floor(doc_id / {BUCKETS}) AS BIGINT) * 97) % {BUCKETS}) AS block
   FROM words
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, size, doc_id) - 1 AS at FROM blocked
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, size, doc_id) - 1 AS pos FROM blocked
 ), rated AS (
   SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
          ((t.rk + 1) * 61803 + {SEED * 7919}) % 100000 / 100000.0::DOUBLE AS u
   FROM placed p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, CAST(size * (floor((at + 1) * rate + u) - floor(at * rate + u)) AS BIGINT) AS taken FROM rated
+SELECT doc_id, size, source_size, target, CAST(size * (floor((pos + 1) * rate + u) - floor(pos * rate + u)) AS BIGINT) AS taken FROM rated
 """

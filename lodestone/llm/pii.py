@@ -4,10 +4,10 @@ Base detectors find e-mail addresses, IP addresses, payment cards and phone numb
 a chain of transducers over the text: zero-width characters vanish, homoglyphs and foreign digits become ASCII, spelled digits
 become digits, and at / dot disguises become @ and a full stop. Each output character carries the source interval it stands for, so
 that what the same detectors find in the normalised text maps back to a span of source characters. Base spans always stay; a span
-of the deobfuscating pass is added where no span of its kind overlaps it.
+of the deobfuscating pass is added unless a base span of its kind covers it: it may be longer than a base span that it contains.
 
 Defined cases. A null text is the empty text, without spans. Offsets are code points, end exclusive. Kinds may overlap one
-another; spans of one kind never do. Repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
+another; base spans of one kind never do. Repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +82,10 @@ _WORDS = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\s-]+)?(?:{_WORDS}|[0-9]+)(?:[\s,.-]{{1,3}}(?:{_WORDS}|[0-9]+)){{8,18}}(?![^\W_])")
 _ONE = re.compile(rf"{_WORDS}|plus")
 _BRACKETED = re.compile(r"\s{0,2}[\[({<]\s?(at|@|dot|\.|punkt|point|punto|arobase|arroba)\s?[\])}>]\s{0,2}", re.I)
-_PLAIN = re.compile(r"(?<![^\s(<\"':,;])[A-Za-z0-9_%+-]+(?:(?:\.|\s(?:dot|DOT|punkt|point|punto)\s)[A-Za-z0-9_%+-]+)*\s(?:at|AT|arobase|arroba|@)\s[A-Za-z0-9-]+(?:\s?\.\s?|\s(?:dot|DOT|punkt|point|punto)\s)[A-Za-z0-9-]+(?:\s(?:dot|DOT|punkt|point|punto)\s[A-Za-z0-9-]+)*")
+#: Last labels that unbracketed disguises need, since `at` and `dot` are words too.
+_LAST = "com|org|net|edu|gov|mil|info|biz|io|ai|dev|app|de|fr|es|uk|eu|ch|nl|pl|ru|jp|cn|br|example|test"
+_SIGN = r"(?:\s?\.\s?|\s(?:dot|DOT|punkt|point|punto)\s)"
+_PLAIN = re.compile(rf"(?<![^\s(<\"':,;])[A-Za-z0-9_%+-]+(?:{_SIGN}[A-Za-z0-9_%+-]+)*\s(?:at|AT|arobase|arroba|@)\s[A-Za-z0-9-]+(?:{_SIGN}[A-Za-z0-9-]+)*?{_SIGN}(?:{_LAST})(?![A-Za-z0-9-])", re.A)
 _PLAIN_PART = re.compile(r"\s(at|AT|arobase|arroba|@|dot|DOT|punkt|point|punto)\s|\s\.\s|\s\.|\.\s")
 _HINT = re.compile(r"[\[({<]\s?(?:at|@|dot|\.|punkt|point|punto|arobase|arroba)\s?[\])}>]|\s(?:dot|punkt|point|punto)\s|\s@\s", re.I)
 _SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:[\s,.-]{{1,3}}(?:{_WORDS}|[0-9]+)(?![^\W_])){{3}}")
@@ -164,7 +167,7 @@ def _disguises(t: Tape) -> Tape:
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the deobfuscated text shows, in source characters, where no base span of the kind overlaps."""
+    """Spans that only the deobfuscated text shows, in source characters, unless a base span of the kind covers them."""
     low = text.lower()
     strange = not text.isascii() and bool(_STRANGE.search(text))
     # an address needs an at and a dot, however disguised
@@ -179,7 +182,7 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     for kind, a, b in in_order(base_spans(tape.text)):
         start, end = tape.source(a, b)
-        if not any(k == kind and start < y and x < end for k, x, y in [*base, *out]):
+        if not any(k == kind and x <= start and end <= y for k, x, y in [*base, *out]):
             out.append((kind, start, end))
     return out
 
