@@ -70,11 +70,11 @@ def range_join(spark, d):
 # Windows, sets, groupings ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events")
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rolling, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events")
 def window_frames(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = _table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    return e.select("event_id", F.sum("value").over(w.rowsBetween(-2, 0)).alias("rolling"), F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
+    return e.select("event_id", F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 6).alias("rolling"), F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
 
 
 @query("SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS quarter, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place, percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS share FROM customer")
