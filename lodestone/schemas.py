@@ -34,7 +34,8 @@ MANIFESTS = T.StructType([T.StructField("manifest_id", _S), T.StructField("bench
 ASSIGNMENT = T.StructType([T.StructField("name", _S), T.StructField("confidence", _D), T.StructField("evidence", _S), T.StructField("source", _S)])
 ANNOTATION_DOCUMENT = T.StructType([
     *(T.StructField(k, _S) for k in ("trial_id", "trial_path", "task_id", "model", "agent_name", "config_name", "benchmark", "annotation_result_status")),
-    T.StructField("reward", _D), T.StructField("passed", _B), T.StructField("has_trajectory", _B), T.StructField("categories", T.ArrayType(ASSIGNMENT)),
+    T.StructField("reward", _D), T.StructField("passed", _B), T.StructField("has_trajectory", _B),
+    T.StructField("trajectory_length", _L), T.StructField("total_turns", _L), T.StructField("categories", T.ArrayType(ASSIGNMENT)),
 ])
 
 LIST_COLUMNS = ("files_read_list", "files_edited_list", "tool_call_sequence")
