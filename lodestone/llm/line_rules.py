@@ -31,8 +31,8 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
 #: A line of more texts than this, and of more than this share of the host's texts, is boilerplate.
 MIN_DOCS, MAX_SHARE = 10, 0.01
-#: A document is depleted if the lines that stay have fewer words than this, or than this share of its words.
-MIN_WORDS, MIN_KEPT = 10, 0.2
+#: A document is depleted if the lines that stay have less than this share of its words. How long a text must be is a base rule's matter.
+MIN_KEPT = 0.2
 #: Boilerplate lines that are broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -116,7 +116,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
 
 def _verdict(df: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    depleted = (F.col("kept_words") < F.col("n_words")) & ((F.col("kept_words") < MIN_WORDS) | (F.col("kept_words") < F.lit(MIN_KEPT) * F.col("n_words")))
+    depleted = F.col("kept_words") < F.lit(MIN_KEPT) * F.col("n_words")
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
