@@ -7,6 +7,7 @@ that the grid of categories and trials is never built.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import calibration_bin, kappa, safe_ratio
@@ -32,20 +33,22 @@ def validate_pairs(pairs: DataFrame, confidence: str = "confidence", observed: s
 def agreement(rows: DataFrame) -> DataFrame:
     """Pairwise agreement of annotators by category: 2 x 2 counts over shared trials and kappa (NULL where undefined).
 
-    rows: annotator, trial_id, category_name.
+    rows: annotator, trial_id, category_name. One shuffle brings a trial's labels into one row (annotators times 40 categories at
+    most); pairs are made inside it, and counted with partial sums. A row without a category counts the trials of a pair.
     """
-    rows = rows.filter((F.col("annotator") != "") & (F.col("trial_id") != "")).select("annotator", "trial_id", "category_name").distinct()
-    seen = rows.select("annotator", "trial_id").distinct()
-    a, b = (seen.select(F.col("annotator").alias(f"annotator_{s}"), "trial_id") for s in "ab")
-    shared = a.join(b, "trial_id").filter("annotator_a < annotator_b")
-    n = shared.groupBy("annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("trials"))
-    own = shared.join(rows.withColumnRenamed("annotator", "annotator_a").withColumn("in_a", F.lit(1)), ["trial_id", "annotator_a"]).select("annotator_a", "annotator_b", "trial_id", "category_name", "in_a")
-    other = shared.join(rows.withColumnRenamed("annotator", "annotator_b").withColumn("in_b", F.lit(1)), ["trial_id", "annotator_b"]).select("annotator_a", "annotator_b", "trial_id", "category_name", "in_b")
-    both = own.join(other, ["annotator_a", "annotator_b", "trial_id", "category_name"], "full")
-    x, y = F.coalesce("in_a", F.lit(0)), F.coalesce("in_b", F.lit(0))
-    per = both.groupBy("annotator_a", "annotator_b", "category_name").agg(F.sum(x * y).alias("n11"), F.sum(x * (1 - y)).alias("n10"), F.sum((1 - x) * y).alias("n01"))
-    per = per.join(F.broadcast(n), ["annotator_a", "annotator_b"])  # a row for each pair of annotators
-    per = per.withColumn("n00", F.col("trials") - F.col("n11") - F.col("n10") - F.col("n01")).drop("trials")
+    rows = rows.filter((F.col("annotator") != "") & (F.col("trial_id") != ""))
+    t = rows.groupBy("trial_id").agg(F.collect_set(F.struct("annotator", "category_name")).alias("s"))
+    who = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["annotator"])))
+    pairs = F.flatten(F.transform(who, lambda a: F.transform(F.filter(who, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    t = t.select("s", F.explode(pairs).alias("p"))
+    of = lambda side: F.transform(F.filter("s", lambda x: x["annotator"] == F.col(f"p.{side}")), lambda x: x["category_name"])
+    t = t.select(F.col("p.a").alias("annotator_a"), F.col("p.b").alias("annotator_b"), of("a").alias("ca"), of("b").alias("cb"))
+    t = t.select("annotator_a", "annotator_b", "ca", "cb", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_union("ca", "cb"))).alias("category_name"))
+    x, y = (F.coalesce(F.array_contains(c, F.col("category_name")).cast("long"), F.lit(0)) for c in ("ca", "cb"))
+    per = t.groupBy("annotator_a", "annotator_b", "category_name").agg(F.sum(x * y).alias("n11"), F.sum(x * (1 - y)).alias("n10"), F.sum((1 - x) * y).alias("n01"), F.count(F.lit(1)).alias("k"))
+    # what is left is a row for each pair of annotators and category
+    trials = F.max(F.when(F.col("category_name").isNull(), F.col("k"))).over(W.partitionBy("annotator_a", "annotator_b"))
+    per = per.withColumn("n00", trials - F.col("n11") - F.col("n10") - F.col("n01")).filter("category_name is not null").drop("k")
     return per.withColumn("kappa", kappa(*(F.col(c) for c in ("n11", "n10", "n01", "n00"))))
 
 
@@ -62,13 +65,28 @@ def cross_model(per: DataFrame, threshold: float = CALIBRATED_KAPPA) -> DataFram
     return per.select("annotator_a", "annotator_b", "category_name", k.alias("kappa"), safe_ratio(cells[0] + cells[3], n).alias("agreement"), (cells[0] + cells[1]).alias("count_a"), (cells[0] + cells[2]).alias("count_b"), (k >= threshold).alias("calibrated"))
 
 
+def _side_by_side(predicted: DataFrame, golden: DataFrame) -> DataFrame:
+    """One row for each trial that both have: p, the predicted (category, confidence) pairs, and g, the golden categories. One shuffle."""
+    conf = F.col("confidence").cast("double") if "confidence" in predicted.columns else F.lit(1.0)
+    none = F.lit(None).cast("double")
+    tagged = predicted.select("trial_id", "category_name", conf.alias("c"), F.lit(True).alias("own")).unionByName(golden.select("trial_id", "category_name", none.alias("c"), F.lit(False).alias("own")))
+    p = F.collect_list(F.when(F.col("own"), F.struct(F.col("category_name").alias("k"), F.col("c"))))
+    t = tagged.filter("category_name is not null").groupBy("trial_id").agg(F.array_distinct(p).alias("p"), F.collect_set(F.when(~F.col("own"), F.col("category_name"))).alias("g"))
+    return t.filter((F.size("p") > 0) & (F.size("g") > 0))
+
+
+def _cells(both: DataFrame) -> DataFrame:
+    """A row for each trial and category that either side has: confidence (NULL if not predicted) and observed."""
+    every = F.array_union(F.transform("p", lambda x: x["k"]), F.col("g"))
+    c = both.select("p", "g", F.explode(every).alias("category_name"))
+    found = F.get(F.filter("p", lambda x: x["k"] == F.col("category_name")), F.lit(0))
+    return c.select("category_name", found.isNotNull().cast("long").alias("predicted"), found["c"].alias("confidence"), F.array_contains("g", F.col("category_name")).cast("int").alias("observed"))
+
+
 def confusion(predicted: DataFrame, golden: DataFrame) -> DataFrame:
     """Per category over shared trials: true and false positives, false negatives, precision, recall, F1, support."""
-    p, g = predicted.select("trial_id", "category_name").distinct(), golden.select("trial_id", "category_name").distinct()
-    shared = p.select("trial_id").intersect(g.select("trial_id"))
-    both = p.join(shared, "trial_id", "left_semi").withColumn("p", F.lit(1)).join(g.join(shared, "trial_id", "left_semi").withColumn("g", F.lit(1)), ["trial_id", "category_name"], "full")
-    x, y = F.coalesce("p", F.lit(0)), F.coalesce("g", F.lit(0))
-    out = both.groupBy("category_name").agg(F.sum(x * y).alias("tp"), F.sum(x * (1 - y)).alias("fp"), F.sum((1 - x) * y).alias("fn"))
+    x, y = F.col("predicted"), F.col("observed").cast("long")
+    out = _cells(_side_by_side(predicted, golden)).groupBy("category_name").agg(F.sum(x * y).alias("tp"), F.sum(x * (1 - y)).alias("fp"), F.sum((1 - x) * y).alias("fn"))
     return with_scores(out)
 
 
@@ -78,13 +96,14 @@ def with_scores(df: DataFrame) -> DataFrame:
 
 
 def calibration_pairs(predicted: DataFrame, golden: DataFrame) -> DataFrame:
-    """(category_name, confidence, observed, weight) for all shared trials; trials that neither has are one row of confidence 0, weighted."""
-    p, g = predicted.select("trial_id", "category_name", "confidence"), golden.select("trial_id", "category_name").distinct()
-    shared = p.select("trial_id").intersect(g.select("trial_id"))
-    n = shared.agg(F.count(F.lit(1)).alias("trials"))
-    both = p.join(shared, "trial_id", "left_semi").join(g.join(shared, "trial_id", "left_semi").withColumn("g", F.lit(1)), ["trial_id", "category_name"], "full")
-    rows = both.select("category_name", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("g", F.lit(0)).alias("observed"), F.lit(1).cast("long").alias("weight"))
-    rest = rows.groupBy("category_name").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(n))  # n is a single row
+    """(category_name, confidence, observed, weight) over all shared trials, equal pairs as one row; trials without the category are confidence 0.
+
+    The number of trials comes from the same shuffle as the cells, which the planner reuses.
+    """
+    both = _side_by_side(predicted, golden)
+    n = both.agg(F.count(F.lit(1)).alias("trials"))
+    rows = _cells(both).groupBy("category_name", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "observed").agg(F.count(F.lit(1)).alias("weight"))
+    rest = rows.groupBy("category_name").agg(F.sum("weight").alias("k")).crossJoin(F.broadcast(n))  # n is a single row
     rest = rest.select("category_name", F.lit(0.0).alias("confidence"), F.lit(0).alias("observed"), (F.col("trials") - F.col("k")).alias("weight"))
     return rows.unionByName(rest.filter("weight > 0"))
 

@@ -69,7 +69,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         **call_signals(F.col("calls"), F.col("agent_name")),
     }
     path = F.concat(F.lit("runs/"), F.col("config_name"), F.lit("/"), F.col("config_name"), F.lit("_"), F.col("task_id"), F.lit("__"), u, F.lit("-"), seg)
-    return sealed(t.select("u", "seg", "started_at", path.alias("trial_path"), *[more.get(k, F.col(k)).cast(v).alias(k) for k, v in SIGNAL_TYPES.items()]))
+    return t.select("u", "seg", "started_at", path.alias("trial_path"), *[more.get(k, F.col(k)).cast(v).alias(k) for k, v in SIGNAL_TYPES.items()])
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_annotations(s: DataFrame) -> DataFrame:
-    rows = annotate(s).select("u", "seg", "trial_id", F.posexplode("categories").alias("ordinal", "c"))
+    rows = annotate(sealed(s)).select("u", "seg", "trial_id", F.posexplode("categories").alias("ordinal", "c"))
     return rows.select("u", "seg", "trial_id", "ordinal", F.col("c.name").alias("category_name"), F.col("c.confidence").alias("confidence"))
 
 

@@ -38,10 +38,10 @@ _DIMENSIONS = ("agent_name", "model", "benchmark", "config_name", "trial_path",
 
 
 def _labels(s: DataFrame) -> DataFrame:
-    """Categories with the dimensions of their trial: one projection over the signals."""
+    """Categories with the dimensions of their trial: one projection over the signals, which are sealed since every rule uses them."""
     from ..operators.rules import annotate
 
-    return annotate(s).select("u", "seg", "trial_id", *_DIMENSIONS, F.explode("categories").alias("c")).withColumn("category_name", F.col("c.name")).withColumn("confidence", F.col("c.confidence")).drop("c")
+    return annotate(C.sealed(s)).select("u", "seg", "trial_id", *_DIMENSIONS, F.explode("categories").alias("c")).withColumn("category_name", F.col("c.name")).withColumn("confidence", F.col("c.confidence")).drop("c")
 
 
 _LABELS = A + f", labels AS (SELECT s.u, s.seg, s.trial_id, {', '.join('s.' + c for c in _DIMENSIONS)}, a.category_name, a.confidence FROM annotations a JOIN signals s ON a.u = s.u AND a.seg = s.seg)"
@@ -178,14 +178,14 @@ def rules_all(spark, d):
 def rule_status(spark, d):
     from ..operators.rules import annotate
 
-    return annotate(adapter.signals(spark, d)).select("u", "seg", F.col("annotation_result_status").alias("status"), F.size("categories").cast("long").alias("n"))
+    return annotate(C.sealed(adapter.signals(spark, d))).select("u", "seg", F.col("annotation_result_status").alias("status"), F.size("categories").cast("long").alias("n"))
 
 
 @query(A + ", t AS (SELECT CASE WHEN count(a.category_name) > 0 THEN 'ok' ELSE 'no_categories' END AS s FROM signals x LEFT JOIN annotations a ON x.u = a.u AND x.seg = a.seg GROUP BY x.u, x.seg) SELECT count(*) FILTER (WHERE s = 'ok') AS ok, count(*) FILTER (WHERE s = 'no_categories') AS no_categories, 0::BIGINT AS error, count(*) AS total FROM t")
 def status_counts(spark, d):
     from ..operators.rules import annotate
 
-    return stats.status_counts(annotate(adapter.signals(spark, d)))
+    return stats.status_counts(annotate(C.sealed(adapter.signals(spark, d))))
 
 
 # Report aggregates ----------------------------------------------------------------------------------------------------------------
