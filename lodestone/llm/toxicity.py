@@ -41,7 +41,9 @@ THRESHOLD = 0.3
 #: Words that report speech.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes cited cites reported reports term word".split())
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words, with the signs inside them that stand for letters; what these and digits stand for.
+_WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
+_STANDS_FOR = str.maketrans("013457@$!", "oieastasi")
 SCORED = "doc_id long, score double, n_matches long, n_fuzzy long, n_quoted long"
 
 
@@ -165,7 +167,10 @@ class Model:
         for w in new:
             m = seen.get(w)
             if m is None:
-                m = seen[w] = self.trie.match(w)
+                m = self.trie.match(w)
+                if m[0] < 0 and not w.isalpha() and not w.isdigit():
+                    m = self.trie.match(w.translate(_STANDS_FOR))
+                seen[w] = m
             if m[0] >= 0:
                 found[w] = m
         if not found:

@@ -86,9 +86,9 @@ def count_slots(urls: DataFrame) -> DataFrame:
 class Ratio:
     """Both models: log-likelihood differences by length."""
 
-    def __init__(self, slots: list[int], counts: list[int]) -> None:
+    def __init__(self, slots: np.ndarray, counts: np.ndarray) -> None:
         flat = np.zeros(4 * (ORDER + 1) * SLOTS)
-        flat[np.array(slots, np.int64)] = counts
+        flat[slots] = counts
         # [order][character or context][rejected, accepted][slot]
         self.tables = flat.reshape(ORDER + 1, 2, 2, SLOTS)
         self.empty = not all(self.tables[0, 1, c].any() for c in (0, 1))
@@ -110,8 +110,8 @@ def fit(ruled: DataFrame) -> tuple[Ratio, float]:
     """The models of all URLs that a rule decides, but for one fold, and the threshold set on that fold."""
     known = ruled.filter(F.col("rule_verdict").isNotNull() & F.col("url").isNotNull())
     known = known.select("url", (F.col("rule_verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("left_out"))
-    counted = count_slots(known.filter("not left_out")).collect()  # at most one row for each slot
-    model = Ratio([r[0] for r in counted], [r[1] for r in counted])
+    counted = count_slots(known.filter("not left_out")).toArrow()  # two numbers for each slot at most: 25 MB when every slot is taken
+    model = Ratio(counted.column("slot").to_numpy(), counted.column("n").to_numpy())
     shared = ruled.sparkSession.sparkContext.broadcast(model)
 
     def bins(pieces: Iterator[dict]) -> Iterator[dict]:
