@@ -25,6 +25,18 @@ def truncate_steps(steps: Column, first: int, last: int, marker: Column) -> Colu
     return F.when(F.size(steps) > first + last, F.concat(F.slice(steps, 1, first), F.array(marker), F.slice(steps, -last, last))).otherwise(steps)
 
 
+def shrink_step(step: Column, most: int = 8192, keep: int = 1000) -> Column:
+    """A step (JSON text) that is too long in short: what it calls, the ends of its text, and a mark that it was cut."""
+    tools = F.array_join(F.transform(F.from_json(F.get_json_object(step, "$.tool_calls"), "array<struct<function_name: string>>"), lambda c: F.coalesce(c["function_name"], F.lit(""))), ",")
+    short = F.to_json(F.struct(F.lit(True).alias("shortened"), F.coalesce(tools, F.lit("")).alias("tools"), F.substring(step, 1, keep).alias("head"), F.right(step, F.lit(keep)).alias("tail")))
+    return F.when(F.length(step) > most, short).otherwise(step)
+
+
+def plain_numbers(df: DataFrame) -> DataFrame:
+    """NaN as NULL in every floating column."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+
+
 def summarise_steps(steps: Column, arguments: int = 200, results: int = 300, per_step: int = 2) -> Column:
     """Steps (tool_calls, observation as text) in short: tools with cut arguments, then a cut of the observation."""
     def one(s: Column) -> Column:

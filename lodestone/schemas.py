@@ -50,3 +50,24 @@ def render_doc(table: str) -> str:
     """Markdown documentation of a declared table."""
     lines = [f"# {table}", "", "| column | type |", "|---|---|"]
     return "\n".join([*lines, *(f"| `{f.name}` | `{f.dataType.simpleString()}` |" for f in TABLES[table].fields)]) + "\n"
+
+
+def check(df, table: str) -> list[str]:
+    """What keeps a DataFrame from being the declared table: missing columns and other types; empty if nothing does."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f"{f.name}: missing" for f in TABLES[table].fields if f.name not in have]
+    kind = lambda t: t.simpleString()
+    return wrong + [f"{f.name}: {kind(have[f.name])} instead of {kind(f.dataType)}" for f in TABLES[table].fields if f.name in have and kind(have[f.name]) != kind(f.dataType)]
+
+
+def write_docs(directory: str) -> list[str]:
+    """A Markdown file for each declared table."""
+    import os
+
+    os.makedirs(directory, exist_ok=True)
+    paths = []
+    for table in TABLES:
+        paths.append(f"{directory}/{table}.md")
+        with open(paths[-1], "w", encoding="utf-8") as f:
+            f.write(render_doc(table))
+    return paths

@@ -43,6 +43,14 @@ def trajectory_lines(spark: SparkSession, root: str, name: str = "*.jsonl") -> D
     return whole_files(spark, root, name).select("trial_path", F.concat(F.lit('{"steps":['), F.array_join(F.transform(lines, step), ","), F.lit("]}")).alias("raw"))
 
 
+def any_trajectory(spark: SparkSession, root: str) -> DataFrame:
+    """A trial's trajectory document, or else the one made of its line stream; empty files are none."""
+    docs = trajectories(spark, root).withColumn("rank", F.lit(0))
+    lines = trajectory_lines(spark, root).filter(F.length("raw") > len('{"steps":[]}')).withColumn("rank", F.lit(1))
+    lines = lines.withColumn("trial_path", F.regexp_replace("trial_path", "/agent$", ""))
+    return docs.unionByName(lines).groupBy("trial_path").agg(F.min_by("raw", "rank").alias("raw"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Lines of JSON of a declared schema; blank lines are skipped, a bad one fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

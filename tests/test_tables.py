@@ -266,3 +266,36 @@ def test_stream_into_store(spark, tmp_path):
     go()
     rows = AnnotationStore(spark, str(tmp_path / "store")).read()
     assert rows.select("trial_id").distinct().count() == 4 and rows.count() == 2 * first
+
+
+def test_schema_checks_and_docs(spark, tmp_path):
+    from lodestone import schemas
+
+    df = spark.createDataFrame([], schemas.SIGNALS)
+    assert schemas.check(df, "signals") == [] and schemas.check(df.drop("reward").withColumn("passed", F.lit("x")), "signals") == ["reward: missing", "passed: string instead of boolean"]
+    assert len(schemas.write_docs(str(tmp_path))) == 3 and "`reward` | `double`" in (tmp_path / "signals.md").read_text()
+
+
+def test_text_operations(spark):
+    steps = spark.createDataFrame([([str(i) for i in range(50)], json.dumps({"tool_calls": [{"function_name": "Read"}], "text": "x" * 9000}), float("nan"))], "s array<string>, step string, d double")
+    r = steps.select(textops.truncate_steps(F.col("s"), 30, 10, F.lit("...")).alias("t"), curation.trim_steps(F.col("s"), 15, 15, 10).alias("c"), textops.shrink_step(F.col("step")).alias("k")).first()
+    assert len(r.t) == 41 and r.t[30] == "..." and len(r.c) == 31 and json.loads(r.k)["tools"] == "Read" and len(r.k) < 2500
+    assert textops.plain_numbers(steps).first().d is None
+    text = textops.prompt("a, b", F.lit("do"), F.lit("went"), F.lit("{}"), F.lit("n1"))
+    assert "<untrusted-n1>" in spark.range(1).select(text.alias("p")).first().p
+
+
+def test_trajectory_places(spark, tmp_path):
+    for name, files in {"a": {"trajectory.json": '{"steps":[]}', "agent/trajectory.json": '{"steps":[1]}'}, "b": {"agent/trajectory.json": '{"steps":[2]}', "trajectory.json": "{}"}, "c": {"x.jsonl": '{"m": 1}\nbroken\n'}}.items():
+        for f, text in files.items():
+            (tmp_path / name / f).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / f).write_text(text)
+    got = {r.trial_path.rsplit("/", 1)[1]: r.raw for r in readers.any_trajectory(spark, str(tmp_path)).collect()}
+    assert got == {"a": '{"steps":[]}', "b": '{"steps":[2]}', "c": '{"steps":[{"m": 1},{"malformed": true}]}'}
+
+
+def test_pooled_kappa(spark):
+    a = spark.createDataFrame([("1", "x"), ("2", "x"), ("2", "y")], "trial_id string, category_name string")
+    b = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "y")], "trial_id string, category_name string")
+    r = stats.pooled_kappa(a, b, 4).first()
+    assert (r.n11, r.n10, r.n01, r.n00) == (2, 1, 0, 5) and r.kappa == pytest.approx(((7 / 8) - (3 * 2 + 5 * 6) / 64) / (1 - (3 * 2 + 5 * 6) / 64))
