@@ -88,11 +88,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, share_2x: int = SHARE_2X, cap: int =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with the columns of docs."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    picked = plan(docs.select("doc_id", "source", *rest), keep=rest, **options) if not {"size", "source_size", "target", "copies"} & set(rest) else None
-    if picked is None:
-        raise ValueError("mix() needs the column names size, source_size, target and copies for itself")
-    return picked.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # one column, so that no name can clash
+    picked = plan(packed, keep=("row",), **options).filter("copies > 0")
+    return picked.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE_SQL = f"""

@@ -121,7 +121,7 @@ def test_mixing_follows_targets(spark):
 
 def test_mixing_hard(hard, nothing):
     assert mixing.plan(hard).count() == hard.count() and mixing.plan(nothing).count() == 0
-    assert mixing.mix(hard.drop("size")).columns == hard.drop("size").columns
+    assert mixing.mix(hard).columns == hard.columns and mixing.mix(nothing).count() == 0
 
 
 # WARC -----------------------------------------------------------------------------------------------------------------------------
