@@ -71,6 +71,25 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
 FROM f
+""",
+    "op8_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), t AS (SELECT doc_id, ws, CASE WHEN len(ws) = 0 THEN '' ELSE text END AS same FROM w
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 10 * k >= 8 * (nx.n + ny.n - k)
+  UNION SELECT a.doc_id, b.doc_id FROM t a JOIN t b ON a.same = b.same AND a.doc_id < b.doc_id
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(node, root) AS (SELECT doc_id, doc_id FROM t UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node
+), c AS (SELECT node, min(root) AS class_id FROM r GROUP BY node
+), d AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT t.doc_id, c.class_id, min(t.doc_id) OVER (PARTITION BY t.same) AS text_id, coalesce(d.links, 0) AS n_links
+FROM t JOIN c ON c.node = t.doc_id LEFT JOIN d ON d.x = t.doc_id
 """,
     "op10_mixing": mixing.ORACLE_SQL,
 }
