@@ -111,9 +111,13 @@ def paired_deltas(labels: DataFrame, trials: DataFrame, least_shared: int = 20,
     return net.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("cfg_a", "cfg_b", "shared", "category_name", "delta", "place")
 
 
-def top_categories(labels: DataFrame, polarity: str, n: int = 5, examples: int = 3) -> DataFrame:
-    """The n most frequent categories of a polarity, each with its first examples by trial."""
-    of = F.broadcast(taxonomy.table(labels.sparkSession).filter(F.col("polarity") == polarity).select(F.col("name").alias("category_name")))
+def top_categories(labels: DataFrame, polarity: str, n: int = 5, examples: int = 3, legacy_polarity: bool = False) -> DataFrame:
+    """The n most frequent categories of a polarity, each with its first examples by trial.
+
+    With legacy_polarity every polarity counts as unknown, as in reports that looked it up in flat taxonomies only.
+    """
+    known = F.lit("unknown") if legacy_polarity else F.col("polarity")
+    of = F.broadcast(taxonomy.table(labels.sparkSession).filter(known == polarity).select(F.col("name").alias("category_name")))
     own = labels.join(of, "category_name")
     top = own.groupBy("category_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category_name").limit(n)
     some = own.join(F.broadcast(top), "category_name").withColumn("place", F.row_number().over(W.partitionBy("category_name").orderBy("trial_id")))
