@@ -80,7 +80,7 @@ def test_phi_and_rates(spark):
     m = {(r.a, r.b): r.value for r in report.phi_matrix(labels).collect()}
     assert m["near_miss", "near_miss"] == 0.5 and m["near_miss", "clean_success"] == pytest.approx(0.0)
     assert m["near_miss", "over_exploration"] == pytest.approx(-1 / math.sqrt(3)) and len(m) == 9
-    assert report.top_categories(labels, "failure").count() == 1 and report.top_categories(labels, "failure", legacy_polarity=True).count() == 0
+    assert report.top_categories(labels, "failure").count() == 3 and report.top_categories(labels, "failure", legacy_polarity=True).count() == 0
     assert [(r.cat_a, r.cat_b, r.co_occurrences) for r in report.cooccurrence(labels).collect()] == [("clean_success", "near_miss", 1)]
 
 
