@@ -166,7 +166,7 @@ def host_docs(spark):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     rows = []
     for i in range(200):
-        body = " ".join(word() for _ in range(40 if i >= 30 else 3))
+        body = " ".join(word() for _ in range(40 if i >= 30 else 2))
         rows.append((i, (("The shared line of this host that everyone has here\n" * 1) if i < 60 else "") + body, "h"))
     rows += [(1000 + i, rows[150][1], "h") for i in range(25)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
