@@ -55,7 +55,7 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow with batches as dicts of Python lists, cut into pieces of bounded text; fn yields dicts of lists or arrays."""
+    """mapInArrow with batches as dicts of Python lists, cut into pieces of about 1 MB; fn yields dicts of lists or arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -66,7 +66,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[dict]:
             for b in batches:
-                step = max(1, int(len(b) * (4 << 20) / max(1, b.nbytes)))
+                step = max(1, int(len(b) * (1 << 20) / max(1, b.nbytes)))
                 for i in range(0, len(b), step):
                     part = b.slice(i, step)
                     yield {name: part.column(j).to_pylist() for j, name in enumerate(part.schema.names)}
