@@ -125,7 +125,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # kept, so that both sides of the join are plain shuffles: adaptive execution can then split the rows of a hub
+        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         out = both.join(least, "a")
         if large:
             out = out.filter("b > a").select(F.col("m").alias("x"), F.col("b").alias("y"))
