@@ -4,12 +4,13 @@ A text is the set of its five-word shingles. Each of TREES prefix tries holds ev
 by signature, the texts below a trie node are one stretch. The matched prefix starts at full depth and is shortened until a pair at
 the threshold is found with the target recall; the texts that share that prefix in a tree are candidates.
 
-Exact copies become one node first, so that their number never matters. In a trie stretch every text is tied to the smallest id only,
+Exact copies become one node first, so that their number never matters. In a trie stretch every text is first tied to the smallest id,
 a number of ties linear in the texts, kept if an estimate from a sketch is above LOOSE; tied texts form a loose group, found by
-distributed label passing. A pair that is linked is then in one loose group unless, in every one of its common stretches, a text
-less like it than LOOSE comes first. Within a loose group every pair is verified on the exact shingle sets, as products of sparse
-blocks of at most BLOCK texts; a group of many blocks is dealt out by pairs of blocks, and no pair is ever a row: a block gives the
-number of links of each text and a spanning forest of the links. The links found give the classes.
+distributed label passing. Where the texts of a stretch then lie in more than one group, all its pairs across groups are compared by
+their sketches, in blocks, and a pair whose estimate is within MARGIN of the threshold joins its groups. So every pair of every
+stretch is in one loose group, or compared and found apart. Within a loose group every pair is verified on the exact shingle sets, as
+products of sparse blocks of at most BLOCK texts; a group of many blocks is dealt out by pairs of blocks, and no pair is ever a row: a
+block gives the number of links of each text and a spanning forest of the links. The links found give the classes.
 
 Defined cases. Null and empty texts and texts without words have no shingles, and no links but to their copies (all count as equal).
 A text of one to four words is one shingle. Copies (equal texts) link to one another. Rows with a null id are kept, unlinked,
@@ -35,6 +36,8 @@ N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 10, 0.999
 #: Sketch values (one byte each) and the estimate below which a tie is dropped; texts of a verification block.
 SKETCH, LOOSE, BLOCK = 96, 0.5, 1024
+#: How far below the threshold the estimate of a linked pair may fall: five standard deviations at 0.8.
+MARGIN = 0.2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,16 +109,85 @@ def _agreement(x: str, y: str):
     return F.expr(f"(aggregate(sequence(1, {SKETCH}), 0, (s, i) -> s + if(substring({x}, i, 1) = substring({y}, i, 1), 1, 0)) / {SKETCH}D - 1D/256) / (1 - 1D/256)")
 
 
-def loose_ties(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: each text and the smallest id of a trie stretch that it lies in, if their sketches agree enough."""
+def stretches(nodes: DataFrame) -> DataFrame:
+    """(tree, band, node, a, k): the texts of every trie stretch of k > 1 texts, with its smallest id."""
     rows = nodes.select("node", F.posexplode("bands").alias("tree", "band"))
-    first = rows.groupBy("tree", "band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    ties = rows.join(first, ["tree", "band"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = rows.groupBy("tree", "band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return rows.join(first, ["tree", "band"])
+
+
+def loose_ties(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: each text and the smallest id of a trie stretch that it lies in, if their sketches agree enough."""
+    ties = held.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     s = nodes.select("node", "sketch")
     ties = ties.join(s.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
     return ties.filter(_agreement("sa", "sb") >= LOOSE).select("a", "b")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which sketches of x agree with which of y, corrected as in _agreement, in at least this share."""
+    equal = np.zeros((len(x), len(y)), np.uint8)
+    for p, q in zip(x.T, y.T, strict=True):
+        equal += p[:, None] == q[None, :]
+    return equal >= SKETCH * (least * (1 - 1 / 256) + 1 / 256) - 1e-6
+
+
+def group_ties(held: DataFrame, placed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): groups that a pair of a stretch joins, of all pairs whose texts lie in different groups.
+
+    held: stretches(); placed: node, component, sketch. A stretch of at most block texts is one unit; a larger one is a unit for each
+    pair of its blocks. A unit gives a spanning forest of the groups that it joins.
+    """
+    rows = held.filter("k > 2").select("tree", "band", "node").join(placed.select("node", "component"), "node")
+    mixed = rows.groupBy("tree", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    units = rows.join(mixed.filter("lo <> hi").select("tree", "band", "parts"), ["tree", "band"])
+    units = units.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = units.select("tree", "band", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+
+    def run(key, table):
+        import pyarrow as pa
+
+        part, group = (table.column(c).to_numpy() for c in ("part", "component"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        left, right = (np.flatnonzero(part == k.as_py()) for k in key[2:4])
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            apart = group[left][:, None] != group[right][None, :]
+            if apart.any():
+                x, y = np.nonzero(apart & _alike(sketch[left], sketch[right], least))
+                pairs = np.unique(np.sort(np.c_[group[left[x]], group[right[y]]], axis=1), axis=0)
+                parent: dict[int, int] = {}
+                for a, b in pairs.tolist():
+                    a, b = _root(parent, a), _root(parent, b)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((min(a, b), max(a, b)))
+        return pa.table([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return units.join(placed.select("node", "sketch"), "node").groupBy("tree", "band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def loose_groups(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component): the loose groups of more than one text."""
+    held = written(stretches(nodes), "forest-stretches")
+    grouped = cut(components(loose_ties(held, nodes)))
+    tied = F.col("component").isNotNull().alias("tied")
+    placed = nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", tied)
+    ties = cut(group_ties(held, placed, threshold - MARGIN))
+    if ties.isEmpty():
+        return grouped
+    roots = components(ties).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    out = placed.drop("sketch").join(roots, "component", "left").filter("tied or root is not null")
+    return out.select("node", F.coalesce("root", "component").alias("component"))
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node of each connected component; alternating star passes, each kept in the shared folder.
 
@@ -193,18 +265,12 @@ def _verify(members: dict[int, list], threshold: float) -> tuple[list, list, lis
         other += [None] * len(at)
     parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     for i, j in zip(*np.nonzero(np.triu(linked) if same else linked), strict=True):
-        x, y = root(left[i][0]), root(right[j][0])
+        x, y = _root(parent, left[i][0]), _root(parent, right[j][0])
         if x != y:
             parent[max(x, y)] = min(x, y)
     for x in list(parent):
-        if (r := root(x)) != x:
+        if (r := _root(parent, x)) != x:
             nodes.append(x)
             links.append(0)
             other.append(r)
@@ -247,7 +313,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = cut(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     nodes = known.filter("n > 0").select("h1", "h2", "doc_id", "bands", "sketch").join(texts, ["h1", "h2"]).filter("doc_id = node")
     nodes = written(nodes.dropDuplicates(["node"]).select("node", "copies", "bands", "sketch"), "forest-nodes")
-    grouped = cut(components(loose_ties(nodes)))
+    grouped = cut(loose_groups(nodes, threshold))
     members = cut(grouped.join(nodes.select("node", "copies"), "node"))
     found = cut(verified(members, docs.select(F.col("doc_id").alias("node"), "text"), threshold))
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))

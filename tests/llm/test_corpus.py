@@ -75,6 +75,26 @@ def test_forest_blocks_give_the_same(spark):
     assert count(1000) == count(16)
 
 
+def test_forest_links_behind_less_similar_texts(spark, monkeypatch):
+    """Near copies in stretches that are all headed by texts unlike them: every text is put into the same stretch of each tree."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    rows = [(i, " ".join(words(100))) for i in range(60)]
+    for i in range(60, 80, 2):
+        x = words(100)
+        rows += [(i, " ".join(x)), (i + 1, " ".join(x[:-8] + words(8)))]
+    signed = forest.signatures
+    monkeypatch.setattr(forest, "signatures", lambda docs, **k: signed(docs, **k).selectExpr("doc_id", "h1", "h2", "n", "transform(bands, x -> 1L) AS bands", "sketch"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in forest.classes(docs).collect()}
+    assert got == brute_links(rows) and sum(n for _, n in got.values()) == 20
+    # a stretch of many blocks gives the same groups
+    nodes = signed(docs).selectExpr("doc_id AS node", "transform(bands, x -> 1L) AS bands", "sketch")
+    placed = nodes.selectExpr("node", "node AS component", "sketch")
+    ties = forest.group_ties(forest.stretches(nodes), placed, 0.6, block=16).collect()
+    assert {(r["a"], r["b"]) for r in ties} == {(i, i + 1) for i in range(60, 80, 2)}
+
+
 def test_forest_prefix_meets_the_recall():
     d = forest.prefix_depth()
     assert 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** forest.TREES
