@@ -5,8 +5,10 @@ models of characters: counts of every character after each of its contexts of up
 next lower one. A URL that no rule fits is judged by the difference of its log-likelihoods, divided by its length, against a
 threshold that lets all but FALSE_BLOCKS of the accepted URLs pass, set on a tenth of the URLs that the counts leave out.
 
-Counts are summed in a fixed number of slots (hash of class and context-with-character), so the models are of one size however
-large the table: every task adds up its own slots before anything is shuffled.
+Counts are of the real characters and contexts, so the models grow with the table and stay distributed. What a character adds to a
+score depends on its window alone (its ORDER predecessors and itself): URLs are cut into windows, the counts of all orders are sums
+over the distinct windows, and each distinct window gets its value once. Values are whole multiples of 1 / UNIT, so that sums do not
+depend on the order of rows. Windows with their values are broadcast if they are few, else joined by a shuffle.
 
 Defined cases. A null URL or one without :// has an empty host and path, fits no rule and is judged as an empty string, which is
 allowed. Without accepted or without rejected URLs the method allows everything. Repeated rows stay repeated and count as often as
@@ -15,22 +17,19 @@ they occur; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import broadcast_if_small, cut
 
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Longest context, slots of the count table of each order, weight of the lower order, and the share of accepted URLs that may fall.
-ORDER, SLOTS, LOWER, FALSE_BLOCKS = 5, 1 << 16, 4.0, 0.01
+#: Longest context, weight of the lower order, and the share of accepted URLs that may fall.
+ORDER, LOWER, FALSE_BLOCKS = 5, 4.0, 0.01
 #: One of so many URLs is left out of the counts and calibrates the threshold.
 FOLDS, BINS, SPAN = 10, 2048, 8.0
+#: Parts of one that window values are rounded to; windows that are broadcast, more are joined by a shuffle.
+UNIT, BROADCAST_WINDOWS = 1e9, 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -57,71 +56,64 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", named).withColumn("rule_verdict", verdict)
 
 
-def _contexts(url: str) -> list[list[int]]:
-    """For each order, the slots of every character with its context of that many characters, and of the context alone."""
-    text = "\x02" * ORDER + url + "\x03"
-    out = []
+def windows_of(url: Column) -> Column:
+    """Every character, the end included, after its ORDER predecessors; the start is padded."""
+    text = F.concat(F.lit("\x02" * ORDER), url, F.lit("\x03"))
+    return F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(text, i, F.lit(ORDER + 1)))
+
+
+def window_values(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(window, value): the difference of the logarithms of both models, in 1 / UNIT, for every window of known and asked.
+
+    known: url, accepted (boolean), of the URLs that are counted; asked: url. Without accepted or without rejected URLs all values are 0.
+    """
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    rows = known.select("url", one(F.col("accepted")).alias("n1"), one(~F.col("accepted")).alias("n0"))
+    rows = rows.unionByName(asked.select("url", F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n0")))
+    rows = rows.select(F.explode(windows_of(F.col("url"))).alias("window"), "n0", "n1")
+    grams = cut(rows.groupBy("window").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    total = grams.agg(F.sum("n0"), F.sum("n1")).first()
+    if not total[0] or not total[1]:
+        return grams.select("window", F.lit(0).cast("long").alias("value"))
+    p = [F.lit(1 / 256), F.lit(1 / 256)]
+    out = grams
     for k in range(ORDER + 1):
-        full = [xxhash.xxh3_64_intdigest(text[i - k : i + 1], k) % SLOTS for i in range(ORDER, len(text))]
-        ctx = [xxhash.xxh3_64_intdigest(text[i - k : i], 100 + k) % SLOTS for i in range(ORDER, len(text))]
-        out += [full, ctx]
-    return out
-
-
-def count_slots(urls: DataFrame) -> DataFrame:
-    """(slot, count): url and accepted (boolean) to the sums of all slots."""
-
-    def run(pieces: Iterator[dict]) -> Iterator[dict]:
-        sums: Counter = Counter()
-        for p in pieces:
-            for url, accepted in zip(p["url"], p["accepted"], strict=True):
-                for k, slots in enumerate(_contexts(url)):
-                    base = (2 * k + bool(accepted)) * SLOTS
-                    sums.update([base + s for s in slots])
-        yield {"slot": list(sums), "n": list(sums.values())}
-
-    return map_arrow(urls.select("url", "accepted"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-class Ratio:
-    """Both models: log-likelihood differences by length."""
-
-    def __init__(self, slots: np.ndarray, counts: np.ndarray) -> None:
-        flat = np.zeros(4 * (ORDER + 1) * SLOTS)
-        flat[slots] = counts
-        # [order][character or context][rejected, accepted][slot]
-        self.tables = flat.reshape(ORDER + 1, 2, 2, SLOTS)
-        self.empty = not all(self.tables[0, 1, c].any() for c in (0, 1))
-
-    def score(self, url: str) -> float:
-        if self.empty or not url:
-            return 0.0
-        at, total = _contexts(url), []
-        for c in (0, 1):
-            p = np.full(len(at[0]), 1 / 256)
-            for k in range(ORDER + 1):
-                seen, ctx = self.tables[k, 0, c, at[2 * k]], self.tables[k, 1, c, at[2 * k + 1]]
-                p = (np.minimum(seen, ctx) + LOWER * p) / (ctx + LOWER)
-            total.append(np.log(p).sum() / len(p))
-        return float(total[1] - total[0])
-
-
-def fit(ruled: DataFrame) -> tuple[Ratio, float]:
-    """The models of all URLs that a rule decides, but for one fold, and the threshold set on that fold."""
+        seen, ctx = [F.col("n0"), F.col("n1")], [F.lit(total[0]), F.lit(total[1])]
+        if k < ORDER:
+            name = f"seen{k}"
+            out = out.withColumn(name, F.substring("window", ORDER + 1 - k, k + 1))
+            out = out.join(grams.groupBy(F.substring("window", ORDER + 1 - k, k + 1).alias(name)).agg(F.sum("n0").alias(f"{name}_0"), F.sum("n1").alias(f"{name}_1")), name).drop(name)
+            seen = [F.col(f"{name}_0"), F.col(f"{name}_1")]
+        if k:
+            name = f"ctx{k}"
+            out = out.withColumn(name, F.substring("window", ORDER + 1 - k, k))
+            out = out.join(grams.groupBy(F.substring("window", ORDER + 1 - k, k).alias(name)).agg(F.sum("n0").alias(f"{name}_0"), F.sum("n1").alias(f"{name}_1")), name).drop(name)
+            ctx = [F.col(f"{name}_0"), F.col(f"{name}_1")]
+        p = [(seen[c] + LOWER * p[c]) / (ctx[c] + LOWER) for c in (0, 1)]
+    return out.select("window", F.round((F.log(p[1]) - F.log(p[0])) * UNIT).cast("long").alias("value"))
+
+
+def scores(ruled: DataFrame) -> DataFrame:
+    """(url, score): the log-likelihood difference by length of every distinct URL that no rule decides or that calibrates."""
+    known = _known(ruled)
+    asked = ruled.filter("rule_verdict is null and url <> ''").select("url").unionByName(known.filter("left_out and accepted").select("url"))
+    asked = cut(asked.distinct().withColumn("id", F.monotonically_increasing_id()))
+    values, _ = broadcast_if_small(window_values(known.filter("not left_out"), asked), BROADCAST_WINDOWS)
+    rows = asked.select("id", F.explode(windows_of(F.col("url"))).alias("window"))
+    per = rows.join(values, "window").groupBy("id").agg((F.sum("value") / UNIT / F.count(F.lit(1))).alias("score"))
+    return cut(asked.join(per, "id").select("url", "score"))
+
+
+def _known(ruled: DataFrame) -> DataFrame:
+    """The URLs that a rule decides, whether it accepts them, and whether they are of the fold that is left out."""
     known = ruled.filter(F.col("rule_verdict").isNotNull() & F.col("url").isNotNull())
-    known = known.select("url", (F.col("rule_verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("left_out"))
-    counted = count_slots(known.filter("not left_out")).toArrow()  # two numbers for each slot at most: 25 MB when every slot is taken
-    model = Ratio(counted.column("slot").to_numpy(), counted.column("n").to_numpy())
-    shared = ruled.sparkSession.sparkContext.broadcast(model)
-
-    def bins(pieces: Iterator[dict]) -> Iterator[dict]:
-        sums: Counter = Counter()
-        for p in pieces:
-            for url in p["url"]:
-                sums[int(min(BINS - 1, max(0, (shared.value.score(url) + SPAN) * BINS / (2 * SPAN))))] += 1
-        yield {"bin": list(sums), "n": list(sums.values())}
-
-    passed = map_arrow(known.filter("left_out and accepted").select("url"), bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return known.select("url", (F.col("rule_verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("left_out"))
+
+
+def threshold_of(ruled: DataFrame, scored: DataFrame) -> float:
+    """The threshold set on the accepted URLs of the fold that the counts leave out."""
+    at = F.floor((F.col("score") + SPAN) * BINS / (2 * SPAN))
+    passed = _known(ruled).filter("left_out and accepted").join(scored, "url").groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     rows, gone, threshold = sorted(passed.collect()), 0, -SPAN
     total = sum(n for _, n in rows)
     for b, n in rows:
@@ -129,20 +121,19 @@ def fit(ruled: DataFrame) -> tuple[Ratio, float]:
         if gone > FALSE_BLOCKS * total:
             threshold = b * 2 * SPAN / BINS - SPAN
             break
-    return model, min(threshold, 0.0)
+    return min(threshold, 0.0)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, and the score of the method where it decides."""
-    ruled = with_rule(pages.select("page_id", "url"), rules)
-    model, threshold = fit(cut(ruled.select("url", "rule_verdict")))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(pieces: Iterator[dict]) -> Iterator[dict]:
-        for p in pieces:
-            scores = [None if v is not None else shared.value.score(u or "") for u, v in zip(p["url"], p["rule_verdict"], strict=True)]
-            yield {k: p[k] for k in ("page_id", "host", "path", "rule", "rule_verdict")} | {"score": scores}
-
-    out = map_arrow(ruled, run, "page_id long, host string, path string, rule string, rule_verdict string, score double")
+    ruled = cut(with_rule(pages.select("page_id", "url"), rules))
+    scored = scores(ruled)
+    threshold = threshold_of(ruled, scored)
+    decided = ruled.filter("rule_verdict is not null").withColumn("score", F.lit(None).cast("double"))
+    # null and empty URLs have no windows and are no keys
+    blank = F.coalesce(F.col("url") == "", F.lit(True))
+    other = ruled.filter("rule_verdict is null")
+    judged = other.filter(~blank).join(scored, "url", "left").unionByName(other.filter(blank).withColumn("score", F.lit(0.0)))
+    out = decided.unionByName(judged)
     method = F.when(F.col("score") < threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "score")

@@ -205,6 +205,38 @@ def test_url_model_tells_styles_apart(spark):
     assert got[800] == "allow" and got[801] == "block"
 
 
+def test_url_scores_of_many_contexts(spark):
+    """More contexts than any fixed table holds, against counts in dictionaries."""
+    rng = random.Random(9)
+    tail = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(n))
+    urls = [f"http://{tail(9)}.com/{tail(30)}" for _ in range(2000)] + [f"http://{tail(9)}.net/es/{tail(30)}" for _ in range(2000)]
+    urls += [f"http://{tail(9)}.org/{tail(30)}" for _ in range(100)] + ["x", "", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    seen, ctx, order = (collections.Counter(), collections.Counter()), (collections.Counter(), collections.Counter()), url_lm.ORDER
+    text = lambda u: "\x02" * order + u + "\x03"
+    for r in url_lm.with_rule(pages).filter(f"rule is not null and pmod(xxhash64(url), {url_lm.FOLDS}) <> 0").collect():
+        t, c = text(r["url"]), int(r["rule_verdict"] == "allow")
+        for i in range(order, len(t)):
+            seen[c].update(t[i - k : i + 1] for k in range(order + 1))
+            ctx[c].update((k, t[i - k : i]) for k in range(order + 1))
+    assert len(seen[0]) > 1 << 16
+
+    def score(u):
+        t, total = text(u), [0.0, 0.0]
+        for i in range(order, len(t)):
+            for c in (0, 1):
+                p = 1 / 256
+                for k in range(order + 1):
+                    p = (seen[c][t[i - k : i + 1]] + url_lm.LOWER * p) / (ctx[c][k, t[i - k : i]] + url_lm.LOWER)
+                total[c] += np.log(p)
+        return (total[1] - total[0]) / (len(t) - order)
+
+    got = {r["page_id"]: r["score"] for r in url_lm.judge(pages).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        assert got[i] is None if i < 4000 else abs(got[i] - (score(u) if u else 0.0)) < 1e-6
+
+
 # Learned scores -------------------------------------------------------------------------------------------------------------------
 
 
