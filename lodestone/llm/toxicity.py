@@ -187,10 +187,10 @@ class Model:
         n_quoted = n_fuzzy = 0
         last = -(10**9)
         strongest = 0.0
+        in_marks = quoted_at(low, [pos for *_, pos in hits])
         for i, (at, term, edits, pos) in enumerate(hits):
             w = self.weights[term] / (1 + edits)
-            before, after = low[max(0, pos - 80) : pos], low[pos : pos + 80]
-            is_quoted = _open_quote(before) and _closes(after) or bool(REPORTING & set(_WORD.findall(before)[-3:]))
+            is_quoted = in_marks[i] or bool(REPORTING & set(_WORD.findall(low[max(0, pos - 80) : pos])[-3:]))
             near = at - last <= WINDOW or (i + 1 < len(hits) and hits[i + 1][0] - at <= WINDOW)
             last = at
             n_quoted += is_quoted
@@ -213,14 +213,31 @@ class Model:
 _QUOTES = "\"“”„«»‘’"
 
 
-def _open_quote(before: str) -> bool:
-    """Whether a quotation is open: an odd number of straight marks in the line so far, or an opening mark not closed."""
-    line = before.rsplit("\n", 1)[-1]
-    return line.count('"') % 2 == 1 or max(line.rfind(c) for c in "“„«") > max(line.rfind(c) for c in "”»")
+_MARKS = re.compile(f"[\n{_QUOTES}]")
 
 
-def _closes(after: str) -> bool:
-    return any(c in after.split("\n", 1)[0] for c in _QUOTES)
+def quoted_at(text: str, at: list[int]) -> list[bool]:
+    """Whether each of the ascending positions lies in a quotation of its line: an odd number of straight marks before it, or an
+    opening mark not closed, and any mark after it. One walk over the marks."""
+    out, n, waiting, straight, opened, closed = [False] * len(at), 0, [], 0, -1, -1
+    for m in _MARKS.finditer(text):
+        if n == len(at) and not waiting:
+            break
+        while n < len(at) and at[n] < m.start():
+            if straight % 2 or opened > closed:
+                waiting.append(n)
+            n += 1
+        c = m[0]
+        if c == "\n":
+            straight, opened, closed = 0, -1, -1
+        else:
+            for i in waiting:
+                out[i] = True
+            straight += c == '"'
+            opened = m.start() if c in "“„«" else opened
+            closed = m.start() if c in "”»" else closed
+        waiting = []
+    return out
 
 
 def sketch_of(text: str) -> int:
@@ -300,17 +317,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
     weight = {g: math.log((n + 0.1) / (n_toxic + 1)) - math.log((other.get(g, 0) + 0.1) / (n_clean + 1)) for g, n in there.items()}
     order = sorted((g for g in there if weight[g] >= LEAST_WEIGHT), key=lambda g: (-weight[g] * math.sqrt(there[g]), g))
     terms: list[str] = []
+    covered: list[str] = []
     chosen: set[str] = set()
     for g in order:
-        if len(terms) == TERMS:
-            break
-        # a beginning that is as telling stands for the longer ones, and for the words, that start with it
+        # a beginning that is as telling stands for the longer ones that start with it; words stay beside it, for their misspellings
         word = g.removeprefix("=")
         if any(word[:k] in chosen for k in STEMS if k < len(word) or (k == len(word) and g[0] == "=")):
-            continue
-        terms.append(g)
-        if g[0] != "=":
-            chosen.add(g)
+            if g[0] == "=":
+                covered.append(g)
+        elif len(terms) < TERMS:
+            terms.append(g)
+            if g[0] != "=":
+                chosen.add(g)
+    terms += covered
     model = Model([(g.removeprefix("="), g[0] != "=") for g in terms], [weight[g] for g in terms], [], prior)
     shared = spark.sparkContext.broadcast(model)
 

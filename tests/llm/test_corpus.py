@@ -290,6 +290,20 @@ def test_fuzzy_trie_is_exact_levenshtein():
         assert (term >= 0) == bool(want) and (not want or edits == min(want)[0])
 
 
+def test_words_stay_beside_their_beginnings(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("bcfghlmnprtv") for _ in range(7)) for _ in range(60)]
+    rows = [(i, " ".join([*rng.choices(words, k=12), *([rng.choice(["idiot", "idiot", "idiots"])] if i % 2 else []), *rng.choices(words, k=12)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))
+    assert any(stem and "idiot".startswith(t) for t, stem in model.terms) and ("idiot", False) in model.terms
+    assert model.features("idjot")[1:] == (1, 1, 0) and model.features("idiotic")[1:] == (1, 0, 0)
+    # the marks of a quotation longer than 80 characters
+    long = " ".join(words[:20])
+    assert model.features(f'he "{long} idiot {long}" no')[3] == 1 and model.features(f'"{long}" idiot "{long}"')[3] == 0
+    assert model.features(f"“{long} idiot\n {long}”")[3] == 0
+
+
 def test_crf_marginals_against_enumeration():
     rng = np.random.default_rng(3)
     lines = np.array([1, 4, 3, 2])
