@@ -1,19 +1,23 @@
 """Toxicity scores from a learned lexicon, fuzzy term matching and the context of each match.
 
 Lexicon. Words and word beginnings that mark toxic documents are learned from labelled rows: counted in the toxic documents of a
-bounded sample (near copies once), then in the clean ones; those far more frequent in the former become terms with a log-odds weight.
+bounded sample (near copies once), then in the clean ones. A term is what stands in toxic documents more often than chance explains
+among all candidates (a likelihood ratio that few false terms pass), with its log-odds as weight; their number has no cap.
 
 Matching. The terms form a trie. The Levenshtein automata of all terms, intersected with the trie, are made deterministic on demand:
 a state is a set of (trie node, edits) pairs, and each transition is computed once, so that a word costs a few look-ups and most
-words die after two or three letters. Long words may differ by one or two edits; beginnings must match exactly.
-
-Context. Matches inside quotation marks or next to reporting words count apart from others, as do matches with another match within
-WINDOW words: a lone quoted term weighs less than abuse. A logistic regression on these sums, fitted on the half of the sample that
-the lexicon has not seen, gives the score.
-
-Defined cases. Null and empty texts have no match and get the score of a text without matches. Equal texts have equal scores. Rows
-without a label are not learned from; without any toxic or clean label the score is the share of toxic labels. Repeated rows stay
-repeated; an empty table gives an empty result; other columns are ignored.
+words die after two or three letters. Words of five letters and more may differ by one or two edits; beginnings match exactly, where
+no whole word does. A near form that clean documents of the sample use is a word of its own and no misspelling.
+
+Context. A match counts by its weight, less for each edit. Inside a quotation that opens and closes in its line, or right after a word
+that reports speech, it counts only the share `discount`, which the likelihood of the sample moves from QUOTED_SHARE where it has quoted
+matches to learn from. Matches with another one within WINDOW words count again. A logistic regression without negative coefficients
+on these sums, fitted on the half of the sample that the lexicon has not seen, gives the score: no match ever speaks for innocence.
+
+Defined cases. Null and empty texts have no match and get the score of a text without matches. Equal texts have equal scores. Scores do
+not depend on the order or partitions of rows: of near copies in the sample that with the least id stays, of labels of one id the
+least. Rows without a label are not learned from; without any toxic or clean label the score is the share of toxic labels. Repeated
+rows stay repeated; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,11 @@ from .common import cut, hash_share, map_arrow, sample_share, split_of
 
 #: Labelled rows that are learned from, at most (about; chosen by hash).
 FIT_ROWS = 16_000
-#: Terms of the lexicon, least weight and least share of toxic documents of a term, lengths of word beginnings.
-TERMS, LEAST_WEIGHT, LEAST_SHARE, STEMS = 400, 2.5, 0.004, (4, 5, 6)
+#: Least weight of a term, the number of false terms to be expected among all candidates, lengths of word beginnings, how much
+#: more a longer beginning must weigh than the one it goes on.
+LEAST_WEIGHT, FALSE_TERMS, STEMS, PURER = 1.5, 30.0, (4, 5, 6, 7, 8), 0.5
+#: Share of its weight that a quoted match keeps without evidence, the shares tried, and how firmly the first is held.
+QUOTED_SHARE, SHARES, HOLD = 0.3, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), 1.0
 #: Words around a match that count as its context, and the edits allowed by a term's length.
 WINDOW, EDITS = 12, ((9, 2), (5, 1), (0, 0))
 THRESHOLD = 0.3
@@ -126,7 +133,7 @@ class FuzzyTrie:
         return to
 
     def match(self, word: str) -> tuple[int, int]:
-        """(term, edits) of the best match of a whole word, or of the longest beginning; (-1, 0) for none."""
+        """(term, edits) of the nearest whole word, else of the longest beginning; (-1, 0) for none."""
         if len(self.sets) > self.most:
             self._clear()
         s, stem, moves = self.start, -1, self.moves
@@ -135,12 +142,12 @@ class FuzzyTrie:
             if to is None:
                 to = self._move(s, c)
             if to < 0:
-                return stem, 0
+                return stem, 0  # no whole word is near any more
             s = to
             if self.stems[s] >= 0:
                 stem = self.stems[s]
         term, e = self.accepts[s]
-        return (term, e) if term >= 0 and (e == 0 or stem < 0) else (stem, 0)
+        return (term, e) if term >= 0 else (stem, 0)
 
 
 @dataclass
@@ -149,16 +156,23 @@ class Model:
     weights: list[float]
     coef: list[float]
     prior: float = 0.0
+    discount: float = QUOTED_SHARE
+    own_words: frozenset[str] = frozenset()  # near forms that are words of their own
 
     def __post_init__(self) -> None:
         self.trie: FuzzyTrie | None = None
         self.seen: dict[str, tuple[int, int]] = {}
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(word number, term, edits, character position) of all matches."""
+    def match(self, word: str) -> tuple[int, int]:
         if self.trie is None:
             self.trie = FuzzyTrie(self.terms)
-        low = text.lower()
+        m = self.trie.match(word)
+        if m[0] < 0 and not word.isalpha() and not word.isdigit():
+            m = self.trie.match(word.translate(_STANDS_FOR))
+        return (-1, 0) if m[1] and word in self.own_words else m
+
+    def matches(self, low: str) -> list[tuple[int, int, int, int, bool]]:
+        """(word number, term, edits, character position, whether a reporting word stands right before) of all matches."""
         words = _WORD.findall(low)
         seen, new = self.seen, set(words)
         if len(seen) > 300_000:
@@ -167,76 +181,79 @@ class Model:
         for w in new:
             m = seen.get(w)
             if m is None:
-                m = self.trie.match(w)
-                if m[0] < 0 and not w.isalpha() and not w.isdigit():
-                    m = self.trie.match(w.translate(_STANDS_FOR))
-                seen[w] = m
+                m = seen[w] = self.match(w)
             if m[0] >= 0:
                 found[w] = m
         if not found:
             return []
-        return [(i, *found[m[0]], m.start()) for i, m in enumerate(_WORD.finditer(low)) if m[0] in found]
+        return [(i, *found[m[0]], m.start(), not REPORTING.isdisjoint(words[max(0, i - 3) : i])) for i, m in enumerate(_WORD.finditer(low)) if m[0] in found]
 
-    def features(self, text: str | None) -> tuple[list[float], int, int, int]:
-        """Sums over the matches; the numbers of matches, of fuzzy and of quoted ones."""
-        hits = self.matches(text or "")
+    def evidence(self, text: str | None) -> tuple[list[float], int, int, int]:
+        """Sums over the matches, quoted ones apart; the numbers of matches, of fuzzy and of quoted ones."""
+        low = (text or "").lower()
+        hits = self.matches(low)
         if not hits:
             return [0.0] * 8, 0, 0, 0
-        low = text.lower()
-        plain = quoted = close = fuzzy = 0.0
+        plain = quoted = close = best = best_quoted = 0.0
         n_quoted = n_fuzzy = 0
-        last = -(10**9)
-        strongest = 0.0
-        in_marks = quoted_at(low, [pos for *_, pos in hits])
-        for i, (at, term, edits, pos) in enumerate(hits):
+        inside = quoted_at(low, [h[3] for h in hits])
+        is_quoted = [q or h[4] for q, h in zip(inside, hits, strict=True)]
+        for i, (at, term, edits, _, _) in enumerate(hits):
             w = self.weights[term] / (1 + edits)
-            is_quoted = in_marks[i] or bool(REPORTING & set(_WORD.findall(low[max(0, pos - 80) : pos])[-3:]))
-            near = at - last <= WINDOW or (i + 1 < len(hits) and hits[i + 1][0] - at <= WINDOW)
-            last = at
-            n_quoted += is_quoted
             n_fuzzy += edits > 0
-            quoted += w * is_quoted
-            plain += w * (not is_quoted)
-            close += w * (near and not is_quoted)
-            fuzzy += w * (edits > 0)
-            strongest = max(strongest, w * (0.5 if is_quoted else 1.0))
-        distinct = len({t for _, t, _, _ in hits})
+            if is_quoted[i]:
+                n_quoted += 1
+                quoted += w
+                best_quoted = max(best_quoted, w)
+                continue
+            plain += w
+            best = max(best, w)
+            close += w * ((i > 0 and at - hits[i - 1][0] <= WINDOW) or (i + 1 < len(hits) and hits[i + 1][0] - at <= WINDOW))
+        open_terms = {h[1] for h, q in zip(hits, is_quoted, strict=True) if not q}
         n_words = max(1, low.count(" ") + low.count("\n") + 1)
-        x = [1.0, math.log1p(plain), math.log1p(quoted), math.log1p(close), math.log1p(fuzzy), strongest, math.log1p(distinct), math.log1p(100 * (plain + quoted) / n_words)]
-        return x, len(hits), n_fuzzy, n_quoted
+        return [plain, quoted, close, best, best_quoted, float(len(open_terms)), float(len({h[1] for h in hits} - open_terms)), float(n_words)], len(hits), n_fuzzy, n_quoted
 
-    def score(self, x: list[float]) -> float:
-        z = self.coef[0] + sum(c * v for c, v in zip(self.coef[1:], x, strict=True)) if self.coef else self.prior
+    def score(self, raw: list[float]) -> float:
+        z = self.coef[0] + sum(c * v for c, v in zip(self.coef[1:], figures(raw, self.discount), strict=True)) if self.coef else self.prior
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_QUOTES = "\"“”„«»‘’"
+def figures(raw: list[float], discount: float) -> list[float]:
+    """What the regression sees of the sums, with quoted matches at a discount."""
+    if not raw[0] and not raw[1]:
+        return [0.0] * 6
+    plain, quoted, close, best, best_quoted, n_open, n_quoted, n_words = raw
+    sum_ = plain + discount * quoted
+    best = max(best, discount * best_quoted)
+    return [min(1.0, best / LEAST_WEIGHT), math.log1p(sum_), math.log1p(close), best, math.log1p(n_open + discount * n_quoted), math.log1p(100 * sum_ / n_words)]
 
 
-_MARKS = re.compile(f"[\n{_QUOTES}]")
+#: What closes an opening mark.
+_CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+_MARKS = re.compile("[\n\"“”„«»‘’]")
 
 
 def quoted_at(text: str, at: list[int]) -> list[bool]:
-    """Whether each of the ascending positions lies in a quotation of its line: an odd number of straight marks before it, or an
-    opening mark not closed, and any mark after it. One walk over the marks."""
-    out, n, waiting, straight, opened, closed = [False] * len(at), 0, [], 0, -1, -1
+    """Whether each of the ascending positions lies in a quotation that opens and closes in its line. One walk over the marks.
+
+    A straight mark opens where no letter or digit stands before it (inches do not), ‘ likewise, and ’ closes where no letter follows
+    (apostrophes do not). What never closes in its line is no quotation.
+    """
+    out, n, first, mark = [False] * len(at), 0, 0, ""
     for m in _MARKS.finditer(text):
-        if n == len(at) and not waiting:
+        if n == len(at) and not mark:
             break
-        while n < len(at) and at[n] < m.start():
-            if straight % 2 or opened > closed:
-                waiting.append(n)
+        c, i = m[0], m.start()
+        while n < len(at) and at[n] < i:
             n += 1
-        c = m[0]
         if c == "\n":
-            straight, opened, closed = 0, -1, -1
-        else:
-            for i in waiting:
-                out[i] = True
-            straight += c == '"'
-            opened = m.start() if c in "“„«" else opened
-            closed = m.start() if c in "”»" else closed
-        waiting = []
+            mark = ""
+        elif mark:
+            if c in _CLOSES[mark] and not (c == "’" and text[i + 1 : i + 2].isalpha()):
+                out[first:n] = [True] * (n - first)
+                mark = ""
+        elif c in _CLOSES and not (c in "\"‘" and i and text[i - 1].isalnum()):
+            mark, first = c, n
     return out
 
 
@@ -271,9 +288,10 @@ def _counts(rows: DataFrame, keep: set[str] | None) -> DataFrame:
 
 def learnable(docs: DataFrame, labels: DataFrame, label: str, bound: int, keys: tuple[str, ...] = ("text",)) -> DataFrame:
     """A bounded sample, chosen by hash, of the labelled rows that may be learned from: keys, y, and the half it belongs to."""
-    known = labels.filter(F.col(label).isNotNull() & (split_of(F.col("doc_id")) != 2)).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = labels.filter(F.col(label).isNotNull() & (split_of(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    known = cut(known)
     share = sample_share(known.count(), bound)
-    known = cut(known.filter(hash_share(F.col("doc_id"), share, 11)).dropDuplicates(["doc_id"]))
+    known = cut(known.filter(hash_share(F.col("doc_id"), share, 11)))
     # at most about `bound` rows of two numbers: the bound is what makes this broadcast safe
     out = docs.select("doc_id", *keys).join(F.broadcast(known), "doc_id")
     return out.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)))
@@ -293,16 +311,74 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w.tolist()
 
 
+def fit_monotone(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
+    """A logistic regression whose coefficients, but for the constant, are not negative: the most negative is left out until none is."""
+    use = list(range(x.shape[1]))
+    while True:
+        got = fit_logistic(x[:, use], y, ridge)
+        worst = min(range(len(use)), key=lambda i: got[i + 1], default=None)
+        if worst is None or got[worst + 1] >= 0:
+            break
+        del use[worst]
+    out = [got[0]] + [0.0] * x.shape[1]
+    for i, c in zip(use, got[1:], strict=True):
+        out[i + 1] = c
+    return out
+
+
+def fit_context(raw: list[list[float]], y: list[int]) -> tuple[list[float], float]:
+    """(coefficients, discount of quoted matches): of the shares tried the likeliest, with a pull towards QUOTED_SHARE."""
+    target, best = np.array(y, float), None
+    for d in SHARES if any(r[1] for r in raw) else (QUOTED_SHARE,):
+        x = np.array([figures(r, d) for r in raw])
+        coef = fit_monotone(x, target)
+        z = np.clip(coef[0] + x @ np.array(coef[1:]), -30, 30)
+        fit = float((target * z - np.logaddexp(0, z)).sum()) - HOLD * math.log(d / QUOTED_SHARE) ** 2
+        if best is None or fit > best[0] + 1e-9:
+            best = (fit, coef, d)
+    return best[1], best[2]
+
+
+def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[tuple[str, float]]:
+    """(gram, weight) of the terms, from the numbers of toxic and clean documents that have each gram.
+
+    A gram's likelihood ratio against the share of toxic documents must pass the level at which among all candidates a false one is
+    found with a chance of FALSE_TERMS. A beginning is taken beside whole words if it stands in a fifth
+    more toxic documents than each; of beginnings of one another the likeliest first, a longer one beside it if its weight is greater
+    by PURER, a shorter one if it stands in a fifth more toxic documents.
+    """
+    share, level, weight, ratio = n_toxic / (n_toxic + n_clean), math.log(max(1, len(toxic)) / FALSE_TERMS), {}, {}
+    for g, a in toxic.items():
+        b = clean.get(g, 0)
+        w = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
+        r = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)
+        if w >= LEAST_WEIGHT and r >= level:
+            weight[g], ratio[g] = w, r
+    order = sorted(weight, key=lambda g: (-ratio[g], g))
+    words = [g for g in order if g[0] == "="]
+    most: dict[str, int] = {}
+    for g in words:
+        for k in STEMS:
+            most[g[1 : k + 1]] = max(most.get(g[1 : k + 1], 0), toxic[g])
+    stems: list[str] = []
+    for g in order:
+        longer_is_no_purer = any(g.startswith(x) and weight[g] < weight[x] + PURER for x in stems)
+        if g[0] != "=" and toxic[g] * 5 >= 6 * most.get(g, 0) and not longer_is_no_purer and not any(x.startswith(g) and toxic[g] * 5 < 6 * toxic[x] for x in stems):
+            stems.append(g)
+    return [(g, weight[g]) for g in words + stems]
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
     rows = learnable(docs, labels, "toxic", bound)
 
     def slim(pieces: Iterator[dict]) -> Iterator[dict]:
         for p in pieces:
-            yield {"text": p["text"], "y": p["y"], "half": p["half"], "sketch": [sketch_of(t or "") for t in p["text"]]}
+            yield {"doc_id": p["doc_id"], "text": p["text"], "y": p["y"], "half": p["half"], "sketch": [sketch_of(t or "") for t in p["text"]]}
 
-    # a bounded sample: its texts are kept once, for three passes
-    rows = map_arrow(rows.select("text", "y", "half"), slim, "text string, y int, half long, sketch long").dropDuplicates(["sketch", "y"])
+    # a bounded sample: its texts are kept once, for the passes below
+    rows = map_arrow(rows.select("doc_id", "text", "y", "half"), slim, "doc_id long, text string, y int, half long, sketch long")
+    rows = rows.groupBy("sketch", "y").agg(F.min(F.struct("doc_id", "half", "text")).alias("r")).select("r.text", "y", "r.half")
     rows = cut(rows)
     per = {(r["half"], r["y"]): r["n"] for r in rows.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = per.get((0, 1), 0), per.get((0, 0), 0)
@@ -310,38 +386,46 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
     prior = math.log((toxic + 0.5) / (clean + 0.5))
     if not n_toxic or not n_clean or not per.get((1, 1)) or not per.get((1, 0)):
         return Model([], [], [], prior)
-    least = max(2, math.ceil(LEAST_SHARE * n_toxic))
-    found = _counts(rows.filter("half = 0 and y = 1"), None).filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(50_000).collect()
-    there = {r[0]: r[1] for r in found}
+    # grams of two or more toxic documents of the bounded sample, and their clean documents
+    there = dict(_counts(rows.filter("half = 0 and y = 1"), None).filter("n >= 2").collect())
     other = dict(_counts(rows.filter("half = 0 and y = 0"), set(there)).collect())
-    weight = {g: math.log((n + 0.1) / (n_toxic + 1)) - math.log((other.get(g, 0) + 0.1) / (n_clean + 1)) for g, n in there.items()}
-    order = sorted((g for g in there if weight[g] >= LEAST_WEIGHT), key=lambda g: (-weight[g] * math.sqrt(there[g]), g))
-    terms: list[str] = []
-    covered: list[str] = []
-    chosen: set[str] = set()
-    for g in order:
-        # a beginning that is as telling stands for the longer ones that start with it; words stay beside it, for their misspellings
-        word = g.removeprefix("=")
-        if any(word[:k] in chosen for k in STEMS if k < len(word) or (k == len(word) and g[0] == "=")):
-            if g[0] == "=":
-                covered.append(g)
-        elif len(terms) < TERMS:
-            terms.append(g)
-            if g[0] != "=":
-                chosen.add(g)
-    terms += covered
-    model = Model([(g.removeprefix("="), g[0] != "=") for g in terms], [weight[g] for g in terms], [], prior)
+    terms = lexicon(there, other, n_toxic, n_clean)
+    model = Model([(g.removeprefix("="), g[0] != "=") for g, _ in terms], [w for _, w in terms], [], prior)
+    model.own_words = own_words(rows.filter("half = 0"), model, n_toxic, n_clean)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(pieces: Iterator[dict]) -> Iterator[dict]:
         for p in pieces:
-            yield {"x": [shared.value.features(t)[0] for t in p["text"]], "y": p["y"]}
+            yield {"x": [shared.value.evidence(t)[0] for t in p["text"]], "y": p["y"]}
 
-    got = map_arrow(rows.filter("half = 1").select("text", "y"), measure, "x array<double>, y int").collect()  # the bounded sample's other half
-    model.coef = fit_logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
+    # the bounded sample's other half; in a fixed order, as sums of floating point depend on it
+    got = sorted(map_arrow(rows.filter("half = 1").select("text", "y"), measure, "x array<double>, y int").collect())
+    model.coef, model.discount = fit_context([list(r["x"]) for r in got], [r["y"] for r in got])
     return model
 
 
+def own_words(rows: DataFrame, model: Model, n_toxic: int, n_clean: int) -> frozenset[str]:
+    """Near forms of terms that two or more clean documents of the bounded sample use, and toxic ones not tellingly more often."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def near(pieces: Iterator[dict]) -> Iterator[dict]:
+        m = shared.value
+        for p in pieces:
+            out = {"form": [], "y": []}
+            for text, y in zip(p["text"], p["y"], strict=True):
+                for w in set(_WORD.findall((text or "").lower())):
+                    if w not in m.seen:
+                        m.seen[w] = m.match(w)
+                    if m.seen[w][1]:
+                        out["form"].append(w)
+                        out["y"].append(y)
+            yield out
+
+    forms = map_arrow(rows.select("text", "y"), near, "form string, y int").groupBy("form").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    ratio = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
+    return frozenset(r["form"] for r in forms.filter((F.col("b") >= 2) & (ratio < math.exp(LEAST_WEIGHT))).select("form").collect())
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the numbers of matches for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -351,8 +435,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for p in pieces:
             out = {k: [] for k in ("doc_id", "score", "n_matches", "n_fuzzy", "n_quoted")}
             for doc_id, text in zip(p["doc_id"], p["text"], strict=True):
-                x, *n = m.features(text)
-                for k, v in zip(out, (doc_id, m.score(x), *n), strict=True):
+                raw, *n = m.evidence(text)
+                for k, v in zip(out, (doc_id, m.score(raw), *n), strict=True):
                     out[k].append(v)
             yield out
 
