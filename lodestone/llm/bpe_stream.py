@@ -2,13 +2,18 @@
 
 Encoding. A merge at one place can depend on what stands to its right only through a chain of merges of ever lower rank, each of
 which takes the left part of the next; sufficient_lookahead() follows these chains through the merge list once and gives the number
-of symbols after which a token boundary can no longer move. StreamEncoder keeps only the text that is not yet stable: a pretoken
-that has ended is encoded at once, one that goes on for longer than the window gives off the tokens whose end lies more than the
-lookahead before the end of what was read. Memory is the window, the lookahead and a cache of bounded size, however long the text.
+of symbols after which a token boundary can no longer move. Every text, of any length, goes through StreamEncoder in pieces: it keeps
+only what is not stable yet. A pretoken that ends gives off its tokens; one that goes on for longer than the window gives off those
+whose end lies more than the lookahead before the end of what was read. What a finished pretoken gave is remembered in a cache of
+bounded size. Memory is a piece, the window and the cache, however long the text; ids and decoded bytes are hashed as they come.
 
-Decoding. The tokenizer file names no decoder, so that its decoded text is the tokens joined by single spaces; StreamDecoder emits
-these piece by piece. BytesDecoder is the state machine from ids to readable text: it maps token symbols to bytes, holds back the
-bytes of an unfinished UTF-8 sequence, turns word ends into spaces and replaces what can never become valid.
+Decoding. ByteDecoder is the state machine from ids to text: every id adds bytes, an unfinished UTF-8 sequence is held back, and what
+can never become valid is replaced. Fed with the tokens as the file decodes them (it names no decoder, so that tokens are joined by
+single spaces) it gives the library's text; fed with the bytes behind the tokens' symbols, and word ends as spaces, readable text.
+
+Unicode. The library's tables are older than Python's in what is a letter or number and in how marks combine. Texts of the blocks that
+have not changed since are normalised and cut by Python; for all others the library's own normaliser and classes are asked, once for
+each character.
 
 Defined cases. A null text is the empty text, which has no tokens; the digest of no ids is the digest of no bytes. Equal texts have
 equal ids. Special tokens' strings in a text become their ids. Lone surrogates cannot occur in Spark strings. Repeated rows stay
@@ -17,6 +22,7 @@ repeated; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -27,16 +33,18 @@ from functools import lru_cache
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import map_arrow
 
 #: Characters fed at once, and words in the cache.
-CHUNK, CACHE = 1 << 16, 300_000
+PIECE, CACHE = 1 << 16, 300_000
 #: White space as Unicode's property has it (Python's own \s has four controls more).
 SPACE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 END = "</w>"
 
-ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +57,10 @@ def byte_symbols() -> list[str]:
     return table
 
 
+_BYTES = byte_symbols()
+_TO_BYTE = {s: b for b, s in enumerate(_BYTES)}
+
+
 class Vocabulary:
     """A tokenizer file: ids, merges, special tokens and the pattern of pretokens."""
 
@@ -69,60 +81,19 @@ class Vocabulary:
         self.plain = pretoken[0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.runs = {k: regex.compile(p) for k, p in (("letter", r"\p{L}+"), ("other", rf"[^{SPACE}\p{{L}}\p{{N}}]+"))}
         self.lookahead = sufficient_lookahead(merges) + 1  # the end of a word is a symbol more
-        self.starts = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}  # of tokens: a fixed set, as large as the vocabulary
-        self.sound: dict[str, bool] = {}
-        self.pairs = 0
-        self.adjacent: dict[str, dict[str, bool]] = {}  # by the left token
-
-    def stands(self, a: str, b: str = "") -> bool:
-        """Whether the merges of a's and b's symbols end in just these tokens."""
-        symbols = [*a.removesuffix(END), *b.removesuffix(END)]
-        if (b or a).endswith(END):
-            symbols[-1] += END
-        return merge_word(symbols, self.rank) == ([a, b] if b else [a])
-
-    def _next_stands(self, a: str, b: str) -> bool:
-        if self.pairs >= CACHE:
-            self.pairs = 0
-            for x in self.adjacent.values():
-                x.clear()
-        self.pairs += 1
-        return (self.sound.get(b) or self.stands(b)) and (not a or self.stands(a, b))
-
-    def tokens_of(self, word: str) -> list[str]:
-        """The tokens of one pretoken's symbols, from left to right.
-
-        A sequence of tokens is what the merges give exactly if every token and every pair of neighbours stands by itself; so the
-        longest token that stands next to the one before is tried first, and taken back if nothing can follow it.
-        """
-        n, starts, sound, ids, adjacent = len(word), self.starts, self.sound, self.ids, self.adjacent
-        out: list[str] = []
-        ends: list[int] = []
-        at, limit, after = 0, n, sound
-        while at < n:
-            end = at
-            while end < limit and word[at : end + 1] in starts:
-                end += 1
-            while end > at:
-                token = word[at:end] if end < n else word[at:] + END
-                ok = after.get(token)
-                if ok is None:
-                    ok = after[token] = token in ids and self._next_stands(out[-1] if out else "", token)
-                if ok:
-                    break
-                end -= 1
-            if end > at:
-                out.append(token)
-                ends.append(end)
-                at, limit = end, n
-            else:
-                limit = ends.pop() - 1
-                at = ends[-1] if ends else 0
-                out.pop()
-            after = adjacent.get(out[-1]) if out else sound
-            if after is None:
-                after = adjacent[out[-1]] = {}
-        return out
+        self.decoded, self.bytes = self._decoded(), self._bytes()
+
+    def _decoded(self) -> dict[int, bytes]:
+        """What each id adds to the text as the file decodes it: the token behind a space."""
+        return {i: b" " + t.encode() for i, t in self.tokens.items()}
+
+    def _bytes(self) -> dict[int, bytes]:
+        """What each id adds to readable text: the bytes of its symbols, with a space for the end of a word."""
+        out = {}
+        for t, i in self.ids.items():
+            body = t.removesuffix(END)
+            out[i] = bytes(_TO_BYTE[s] for s in body if s in _TO_BYTE) + (b" " if body != t else b"")
+        return out | {i: t.encode() for t, i in self.special.items()}
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
@@ -176,51 +147,84 @@ def merge_word(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str
     return symbols
 
 
-_BYTES = byte_symbols()
-_TO_BYTE = {s: b for b, s in enumerate(_BYTES)}
+#: Characters outside the blocks that are alike in all Unicode tables at hand: Latin to Cyrillic, Hebrew, Arabic, Devanagari, Thai,
+#: punctuation, kana, CJK, Hangul, full-width forms and the older pictographs.
+_UNSETTLED = re.compile("[^\x00-\u0527\u0591-\u05ea\u0600-\u06ff\u0904-\u0939\u0e01-\u0e3a\u1e00-\u1fff\u2000-\u2064\u20a0-\u20b9\u2100-\u218b\u2190-\u23cf\u2500-\u27bf\u3000-\u3029\u3041-\u30ff\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uffee\U0001f300-\U0001f64f]")
+_ALIKE = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+_CLASSES = [(c, pre_tokenizers.Split(Regex(p), "removed")) for c, p in (("L", r"\p{L}"), ("N", r"\p{N}"))]
+#: Stands for characters that the library takes for neither letter, number nor space.
+_OTHER = "\ue000"
 
 
 def normalise(text: str) -> str:
     """NFC, and each character lower-cased by itself. White space stays: pretokens have none, so that runs of it need not be joined."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+    if text.isascii():
+        return text.lower()
+    if _UNSETTLED.search(text):
+        return _ALIKE.normalize_str(text)
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+@lru_cache(maxsize=65536)
+def _shadow_of(c: str) -> str:
+    """A character of the class that the library puts c in: c itself unless newer tables differ."""
+    for name, split in _CLASSES:
+        if not split.pre_tokenize_str(c):
+            return c if regex.match(rf"\p{{{name}}}", c) else {"L": "a", "N": "1"}[name]
+    return _OTHER if regex.match(r"[\p{L}\p{N}]", c) else c
 
 
-_SPACES = regex.compile(f"[{SPACE}]+")
+def shadow(text: str) -> str:
+    """The text as patterns shall see it, character by character."""
+    return _UNSETTLED.sub(lambda m: _shadow_of(m[0]), text)
+
+
+_SPACES = re.compile(f"[{SPACE}]+")
 
 
 def _cut(text: str) -> int:
-    """The last place before which nothing composes with what follows, and where white space does not go on: a space, or any boundary."""
-    for i in range(len(text) - 1, max(0, len(text) - 4096), -1):
-        if text[i] == " " and text[i - 1] not in " ":
-            return i
+    """The last place of a text without white space before which nothing composes with what follows."""
     for i in range(len(text) - 1, 0, -1):
         c = text[i]
-        if not unicodedata.combining(c) and not _SPACES.match(c) and unicodedata.normalize("NFC", text[i - 1] + c) == unicodedata.normalize("NFC", text[i - 1]) + unicodedata.normalize("NFC", c):
+        if not unicodedata.combining(c) and normalise(text[i - 1] + c) == normalise(text[i - 1]) + normalise(c):
             return i
     return 0
 
 
+#: The same pretokens for texts of Latin-1, where the standard library's faster patterns can name all letters and numbers.
+_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa00-9a-zA-Z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class StreamEncoder:
-    """feed() takes any piece of a text and gives the ids that have become stable; end() gives the rest."""
+    """feed() takes any piece of a text and gives the ids that have become stable; end() gives the rest, and makes ready for a new text."""
 
     def __init__(self, vocab: Vocabulary, cache: dict[str, tuple[int, ...]] | None = None) -> None:
         self.v, self.cache = vocab, {} if cache is None else cache
-        self.window = 4 * vocab.lookahead
+        self.window = 2 * vocab.lookahead
         longest = max(map(len, vocab.special), default=1)
-        self.hold, self.specials = longest - 1, regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
+        self.hold, self.specials = longest - 1, re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
         self.raw = self.text = ""
         self.going: str | None = None  # the kind of run that an unfinished pretoken goes on with
         self.pending: list[str] = []  # its symbols that are not stable yet
 
-    def word(self, word: str) -> tuple[int, ...]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            symbols = word if word.isascii() and word.isprintable() else "".join([_BYTES[b] for b in word.encode()])
-            got = self.cache[word] = tuple(self._ids(self.v.tokens_of(symbols)))  # tuples of numbers are no work for the garbage collector
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The ids of a finished pretoken, by the same transducer."""
+        out = [*self._go_on(word), *self._finish()]
+        if len(word) > self.window:
+            return tuple(out)
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        got = self.cache[word] = tuple(out)  # tuples of numbers are no work for the garbage collector
         return got
 
     def _ids(self, tokens: Iterable[str]) -> list[int]:
@@ -239,159 +243,126 @@ class StreamEncoder:
         self.pending = self.pending[len(self.pending) - left :]
         return self._ids(out)
 
-    def _go_on(self, part: str) -> Iterator[int]:
+    def _go_on(self, part: str) -> list[int]:
+        out: list[int] = []
         for i in range(0, len(part), self.window):
-            self.pending += [_BYTES[b] for b in part[i : i + self.window].encode()]
+            piece = part[i : i + self.window]
+            self.pending += piece if piece.isascii() and piece.isprintable() else [_BYTES[b] for b in piece.encode()]
             if len(self.pending) > self.window:
-                yield from self._stable()
+                out += self._stable()
+        return out
 
-    def _finish(self) -> Iterator[int]:
+    def _finish(self) -> list[int]:
+        out: list[int] = []
         if self.pending:
             self.pending[-1] += END
-            yield from self._ids(merge_word(self.pending, self.v.rank))
+            out = self._ids(merge_word(self.pending, self.v.rank))
         self.pending, self.going = [], None
+        return out
+
+    def _words(self, text: str) -> list[str]:
+        if self.v.plain and _is_latin(text):
+            return _LATIN.findall(text)
+        if _UNSETTLED.search(text):
+            return [text[m.start() : m.end()] for m in self.v.pattern.finditer(shadow(text))]
+        return self.v.pattern.findall(text)
+
+    def _whole(self, text: str) -> list[int]:
+        """Of a stretch whose pretokens all end in it: what lies between white space, or before a special token or the end."""
+        self.text += normalise(text)
+        text, self.text, out = self.text, "", []
+        if self.going:
+            m = self.v.runs[self.going].match(shadow(text))
+            if m:
+                out, text = self._go_on(text[: m.end()]), text[m.end() :]
+            out += self._finish()
+        known, word = self.cache, self._word
+        for w in self._words(text):
+            out += known[w] if w in known else word(w)
+        return out
 
-    def _pretokens(self, last: bool) -> Iterator[int]:
-        """Encodes the normalised text but for a last pretoken that may go on."""
-        text, at = self.text, 0
+    def _open(self, text: str) -> list[int]:
+        """Of a stretch whose last pretoken may go on."""
+        self.text += normalise(text)
+        text, out, at = self.text, [], 0
+        seen = shadow(text)
         if self.going:
-            m = self.v.runs[self.going].match(text)
+            m = self.v.runs[self.going].match(seen)
             if m:
-                yield from self._go_on(m[0])
-                at = m.end()
-            if at < len(text) or last:
-                yield from self._finish()
-        word = self.word
-        if last:
-            for m in self.v.pattern.findall(text, at):
-                yield from word(m)
-            self.text = ""
-            return
-        held: list = []  # the last pretokens, which the next characters can still change: 's, 're and the like look two ahead
-        for m in self.v.pattern.finditer(text, at):
-            held.append(m)
-            while held[0].end() < len(text) - 1 and len(held) > 1:
-                yield from word(held.pop(0)[0])
-        while held and held[0].end() < len(text) - 1:
-            yield from word(held.pop(0)[0])
-        self.text = text[held[0].start() :] if held else ""
-        if len(held) == 1 and len(self.text) > self.window:
-            kind = next((k for k, p in self.v.runs.items() if p.fullmatch(self.text)), None)
+                out, at = self._go_on(text[: m.end()]), m.end()
+            if at < len(text):
+                out += self._finish()
+        spans = [m.span() for m in self.v.pattern.finditer(seen, at)]
+        while spans and spans[0][1] < len(text) - 2:  # what ends later, the next characters can still change: 's, 're and the like look two ahead
+            w = text[slice(*spans.pop(0))]
+            out += self.cache[w] if w in self.cache else self._word(w)
+        self.text, seen = (text[spans[0][0] :], seen[spans[0][0] :]) if spans else ("", "")
+        if len(spans) == 1 and len(self.text) > self.window:
+            kind = next((k for k, p in self.v.runs.items() if p.fullmatch(seen)), None)
             if kind:
                 self.going, run, self.text = kind, self.text, ""
-                yield from self._go_on(run)
-
-    def _segment(self, text: str, last: bool) -> Iterator[int]:
-        self.text += normalise(text)
-        yield from self._pretokens(last)
+                out += self._go_on(run)
+        return out
 
-    def feed(self, piece: str) -> Iterator[int]:
+    def feed(self, piece: str) -> list[int]:
         self.raw += piece
-        yield from self._specials()
-        at = _cut(self.raw[: len(self.raw) - self.hold]) if len(self.raw) > self.hold else 0
+        out = self._specials() if self.specials else []
+        at = max(self.raw.rfind(" "), self.raw.rfind("\n"))
+        if at <= 0:
+            at = max((m.start() for m in _SPACES.finditer(self.raw)), default=0)
         if at:
             part, self.raw = self.raw[:at], self.raw[at:]
-            yield from self._segment(part, False)
+            out += self._whole(part)
+        if (m := _SPACES.match(self.raw)) and m.end() < len(self.raw):
+            self.raw = self.raw[m.end() :]
+            out += self._whole("")  # white space ends what went before it
+        if len(self.raw) > self.window and (at := _cut(self.raw[: len(self.raw) - self.hold])):
+            part, self.raw = self.raw[:at], self.raw[at:]
+            out += self._open(part)
+        return out
 
-    def _specials(self) -> Iterator[int]:
-        while self.specials and (m := self.specials.search(self.raw)):
+    def _specials(self) -> list[int]:
+        out: list[int] = []
+        while m := self.specials.search(self.raw):
             part, self.raw = self.raw[: m.start()], self.raw[m.end() :]
-            yield from self._segment(part, True)
-            yield self.v.special[m[0]]
-
-    def end(self) -> Iterator[int]:
-        yield from self._specials()
-        part, self.raw = self.raw, ""
-        yield from self._segment(part, True)
-
-
-#: The same pretokens for texts of Latin-1, where the standard library's faster patterns can name all letters and numbers.
-_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa00-9a-zA-Z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-
-
-def encode(text: str, vocab: Vocabulary, cache: dict | None = None, chunk: int = CHUNK) -> list[int]:
-    """The ids of a whole text: a text of at most one chunk is fed and ended at once, a longer one piece by piece."""
-    e, out = StreamEncoder(vocab, cache), []
-    if len(text) <= chunk and not (e.specials and e.specials.search(text)):
-        text = normalise(text)
-        words = (_LATIN if vocab.plain and _is_latin(text) else vocab.pattern).findall(text)
-        known, word = e.cache, e.word
-        for w in words:
-            out += known[w] if w in known else word(w)
+            out += self._whole(part)
+            out.append(self.v.special[m[0]])
         return out
-    if len(text) > chunk:
-        for i in range(0, len(text), chunk):
-            out.extend(e.feed(text[i : i + chunk]))
-    else:
-        e.raw = text
-    out.extend(e.end())
-    return out
 
-
-def _is_latin(text: str) -> bool:
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+    def end(self) -> list[int]:
+        out = self._specials() if self.specials else []
+        part, self.raw = self.raw, ""
+        return out + self._whole(part)
 
 
-class StreamDecoder:
-    """Text of the ids as the tokenizer file decodes them: tokens joined by single spaces. Unknown ids are left out."""
+def stream(text: str, encoder: StreamEncoder, piece: int = PIECE) -> Iterator[list[int]]:
+    """The ids of a text, in lists as they become stable."""
+    for i in range(0, len(text), piece):
+        yield encoder.feed(text[i : i + piece])
+    yield encoder.end()
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.tokens, self.begun = vocab.tokens, False
 
-    def feed(self, ids: Iterable[int]) -> str:
-        out = " ".join([self.tokens[i] for i in ids if i in self.tokens])
-        out, self.begun = (" " + out if self.begun and out else out), self.begun or bool(out)
-        return out
+def encode(text: str, vocab: Vocabulary, cache: dict | None = None, piece: int = PIECE) -> list[int]:
+    """All ids of a text at once."""
+    return [i for ids in stream(text, StreamEncoder(vocab, cache), piece) for i in ids]
 
 
-class BytesDecoder:
-    """Readable text of the ids: bytes of the symbols, complete UTF-8 sequences only, word ends as spaces."""
+class ByteDecoder:
+    """Text of the ids, of which each adds the given bytes; unknown ids add none. Bytes of an unfinished UTF-8 sequence wait."""
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.v, self.held = vocab, b""
-        self.special = {i: t for t, i in vocab.special.items()}
+    def __init__(self, pieces: dict[int, bytes], joined: bool = False) -> None:
+        self.pieces, self.skip = pieces, int(joined)  # tokens joined by spaces begin without one
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = []
-        for i in ids:
-            if i in self.special:
-                out.append(self._drop() + self.special[i])
-                continue
-            token = self.v.tokens.get(i, "")
-            ends = token.endswith(END)
-            self.held += bytes(_TO_BYTE[s] for s in (token[: -len(END)] if ends else token))
-            text, n = self._ready()
-            self.held = self.held[n:]
-            out.append(text)
-            if ends:
-                out.append(self._drop() + " ")
-        return "".join(out)
-
-    def _ready(self) -> tuple[str, int]:
-        """Decodes all but an unfinished sequence at the end."""
-        b, n = self.held, len(self.held)
-        for k in range(1, min(4, n) + 1):
-            lead = b[n - k]
-            if lead & 0xC0 == 0x80:
-                continue
-            need = 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
-            if need > k:
-                n -= k
-            break
-        return b[:n].decode("utf-8", "replace"), n
-
-    def _drop(self) -> str:
-        out, self.held = self.held.decode("utf-8", "replace"), b""
+        get = self.pieces.get
+        out = self.machine.decode(b"".join([get(i, b"") for i in ids]))
+        if self.skip and out:
+            out, self.skip = out[1:], 0
         return out
 
     def end(self) -> str:
-        return self._drop()
+        return self.machine.decode(b"", True)
 
 
 @lru_cache(maxsize=4)
@@ -403,23 +374,38 @@ def load(path: str) -> Vocabulary:
 _caches: dict[str, dict] = {}
 
 
+def digests(text: str, vocab: Vocabulary, encoder: StreamEncoder, keep: list | None = None) -> tuple[int, str, str, str]:
+    """(number of ids, digests of the ids, of the library's decoded text and of the readable text), in one pass of bounded memory."""
+    n, ids_hash, decoded_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+    decoded, readable = ByteDecoder(vocab.decoded, True), ByteDecoder(vocab.bytes)
+    for ids in stream(text, encoder):
+        if ids:
+            n += len(ids)
+            ids_hash.update(np.array(ids, "<u4").tobytes())
+            decoded_hash.update(decoded.feed(ids).encode())
+            text_hash.update(readable.feed(ids).encode())
+            if keep is not None:
+                keep.extend(ids)
+    decoded_hash.update(decoded.end().encode())
+    text_hash.update(readable.end().encode())
+    return n, ids_hash.hexdigest(), decoded_hash.hexdigest(), text_hash.hexdigest()
+
+
 def encode_column(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text; the ids themselves on demand."""
+    """doc_id, n_tokens and the digests of the ids, of the decoded and of the readable text; on demand the ids, an array in each row."""
 
     def run(pieces: Iterator[dict]) -> Iterator[dict]:
-        vocab, cache = load(path), _caches.setdefault(path, {})
+        vocab = load(path)
+        encoder = StreamEncoder(vocab, _caches.setdefault(path, {}))
         for p in pieces:
-            out = {"doc_id": p["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+            out = {"doc_id": p["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "text_sha256": [], "ids": []}
             for text in p["text"]:
-                ids = encode(text or "", vocab, cache)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                d, h = StreamDecoder(vocab), hashlib.sha256()
-                for i in range(0, len(ids), CHUNK):
-                    h.update(d.feed(ids[i : i + CHUNK]).encode())
-                out["decoded_sha256"].append(h.hexdigest())
+                ids: list[int] | None = [] if with_ids else None
+                row = digests(text or "", vocab, encoder, ids)
+                for k, v in zip(("n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"), row, strict=True):
+                    out[k].append(v)
                 if with_ids:
                     out["ids"].append(ids)
             yield out
 
-    return map_arrow(docs.select("doc_id", "text"), run, ENCODED + (", ids array<int>" if with_ids else ""))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ENCODED + (", ids array<int>" if with_ids else ""))
