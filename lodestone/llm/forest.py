@@ -1,16 +1,19 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-A text is the set of its five-word shingles. Each of TREES prefix tries holds every text under a signature of DEPTH hash values; sorted
-by signature, the texts below a trie node are one stretch. The matched prefix starts at full depth and is shortened until a pair at
-the threshold is found with the target recall; the texts that share that prefix in a tree are candidates.
+A text is the set of its five-word shingles. Each of TREES prefix tries holds every text under a label of DEPTH MinHash values, a byte
+each; sorted by label, the texts below a trie node are one stretch. The matched prefix starts at the full depth and is shortened, level by
+level, until the pairs found so far say that the target recall is met: each pair of similarity s, estimated from sketches, was to be found
+with probability 1 - (1 - s^d)^TREES at depth d, so that the found pairs over the sum of their reciprocals estimate the recall. The
+shortest prefix that can be asked for is the one at which a pair at the threshold itself meets the target; texts that share not even
+that prefix with another are put aside first.
 
 Exact copies become one node first, so that their number never matters. In a trie stretch every text is first tied to the smallest id,
-a number of ties linear in the texts, kept if an estimate from a sketch is above LOOSE; tied texts form a loose group, found by
-distributed label passing. Where the texts of a stretch then lie in more than one group, all its pairs across groups are compared by
-their sketches, in blocks, and a pair whose estimate is within MARGIN of the threshold joins its groups. So every pair of every
-stretch is in one loose group, or compared and found apart. Within a loose group every pair is verified on the exact shingle sets, as
-products of sparse blocks of at most BLOCK texts; a group of many blocks is dealt out by pairs of blocks, and no pair is ever a row: a
-block gives the number of links of each text and a spanning forest of the links. The links found give the classes.
+a number of ties linear in the texts, kept if the estimate from the sketches is within MARGIN of the threshold; tied texts form a loose
+group, found by distributed label passing. Where the texts of a stretch then lie in more than one group, all its pairs across groups are
+compared by their sketches, in blocks, and a pair within MARGIN joins its groups. So every pair of every stretch is in one loose group, or
+compared and found apart. Within a loose group every pair is verified on the exact shingle sets, as products of sparse blocks of bounded
+numbers of texts and shingles; a group of many blocks is dealt out by pairs of blocks, and no pair is ever a row: a block gives the number
+of links of each text and a spanning forest of the links. The links found give the classes.
 
 Defined cases. Null and empty texts and texts without words have no shingles, and no links but to their copies (all count as equal).
 A text of one to four words is one shingle. Copies (equal texts) link to one another. Rows with a null id are kept, unlinked,
@@ -32,17 +35,17 @@ from .common import cut, map_arrow, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 N, THRESHOLD = 5, 0.8
-#: Tries, longest signature prefix, and the recall of a pair at the threshold.
+#: Tries, length of labels, and the recall aimed at.
 TREES, DEPTH, RECALL = 32, 10, 0.999
-#: Sketch values (one byte each) and the estimate below which a tie is dropped; texts of a verification block.
-SKETCH, LOOSE, BLOCK = 96, 0.5, 1024
+#: Sketch values (one byte each); texts and shingles of a verification block.
+SKETCH, BLOCK, BLOCK_SHINGLES = 96, 256, 1 << 20
 #: How far below the threshold the estimate of a linked pair may fall: five standard deviations at 0.8.
 MARGIN = 0.2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The matched prefix, shortened from full depth until a pair at the threshold meets in some tree with the target probability."""
+def shortest_prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix at which a pair at the threshold meets in some tree with the target probability: none shorter is needed."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -77,27 +80,25 @@ def minhashes(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, h1 long, h2 long, n long, labels array<binary>, sketch binary"
 
 
-def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None) -> DataFrame:
-    """One row for each row of docs: the text's 128-bit hash, the number of shingles, a prefix hash for each tree, a sketch."""
-    depth = depth or prefix_depth(trees=trees)
+def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """One row for each row of docs: the text's 128-bit hash, the number of shingles, a label for each tree, a sketch."""
     a, b = _seeds(trees * depth + SKETCH)
 
     def run(pieces: Iterator[dict]) -> Iterator[dict]:
-        powers = np.array([pow(0x100000001B3, i + 1, 1 << 64) for i in range(depth)], np.uint64)
         for p in pieces:
-            out = {k: [] for k in ("doc_id", "h1", "h2", "n", "bands", "sketch")}
+            out = {k: [] for k in ("doc_id", "h1", "h2", "n", "labels", "sketch")}
             for doc_id, text in zip(p["doc_id"], p["text"], strict=True):
                 sh = shingles(text)
                 key = xxhash.xxh3_128_intdigest(text or "") if len(sh) else 0
-                bands, sketch = None, None
+                labels, sketch = None, None
                 if len(sh):
-                    m = minhashes(sh, a, b)
-                    bands = (m[: trees * depth].reshape(trees, depth).astype(np.uint64) * powers).sum(1).view(np.int64)
-                    sketch = (m[trees * depth :] & np.uint32(255)).astype(np.uint8).tobytes()
-                for k, v in zip(out, (doc_id, (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63), len(sh), bands, sketch), strict=True):
+                    m = (minhashes(sh, a, b) & np.uint32(255)).astype(np.uint8).tobytes()
+                    labels = [m[i * depth : (i + 1) * depth] for i in range(trees)]
+                    sketch = m[trees * depth :]
+                for k, v in zip(out, (doc_id, (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63), len(sh), labels, sketch), strict=True):
                     out[k].append(v)
             yield out
 
@@ -109,19 +110,40 @@ def _agreement(x: str, y: str):
     return F.expr(f"(aggregate(sequence(1, {SKETCH}), 0, (s, i) -> s + if(substring({x}, i, 1) = substring({y}, i, 1), 1, 0)) / {SKETCH}D - 1D/256) / (1 - 1D/256)")
 
 
-def stretches(nodes: DataFrame) -> DataFrame:
-    """(tree, band, node, a, k): the texts of every trie stretch of k > 1 texts, with its smallest id."""
-    rows = nodes.select("node", F.posexplode("bands").alias("tree", "band"))
-    first = rows.groupBy("tree", "band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return rows.join(first, ["tree", "band"])
+def leaves(nodes: DataFrame, shortest: int) -> DataFrame:
+    """(tree, label, node) of the texts that share at least the shortest prefix of a tree with another text."""
+    rows = nodes.select("node", F.posexplode("labels").alias("tree", "label")).withColumn("prefix", F.substring("label", 1, shortest))
+    many = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    return rows.join(many, ["tree", "prefix"]).select("tree", "label", "node")
 
 
-def loose_ties(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: each text and the smallest id of a trie stretch that it lies in, if their sketches agree enough."""
+def stretches(held: DataFrame, depth: int) -> DataFrame:
+    """(tree, prefix, node, a, k): the texts of every trie stretch of k > 1 texts at this depth, with its smallest id."""
+    rows = held.withColumn("prefix", F.substring("label", 1, depth)).drop("label")
+    first = rows.groupBy("tree", "prefix").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return rows.join(first, ["tree", "prefix"])
+
+
+def tied(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, s), a < b: each text and the smallest id of a trie stretch that it lies in, with the estimate of their similarity."""
     ties = held.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     s = nodes.select("node", "sketch")
     ties = ties.join(s.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-    return ties.filter(_agreement("sa", "sb") >= LOOSE).select("a", "b")
+    return ties.select("a", "b", _agreement("sa", "sb").alias("s"))
+
+
+def matched(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, int]:
+    """(stretches, ties with their estimates, depth): the prefix is shortened from the full depth until the target recall."""
+    shortest = shortest_prefix(threshold, recall=recall)
+    held = written(leaves(nodes, shortest), "forest-leaves")
+    for depth in range(DEPTH, shortest - 1, -1):
+        found = stretches(held, depth)
+        ties = cut(tied(found, nodes))
+        met = 1 - F.pow(1 - F.pow(F.least("s", F.lit(1.0)), F.lit(depth)), F.lit(TREES))
+        n, expected = ties.filter(F.col("s") >= threshold).agg(F.count(F.lit(1)), F.sum(1 / met)).first()
+        if depth == shortest or (n and n >= recall * expected):
+            return written(found, "forest-stretches"), ties, depth
+    raise AssertionError
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -135,14 +157,14 @@ def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 def group_ties(held: DataFrame, placed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b): groups that a pair of a stretch joins, of all pairs whose texts lie in different groups.
 
-    held: stretches(); placed: node, component, sketch. A stretch of at most block texts is one unit; a larger one is a unit for each
+    held: stretches of matched(); placed: node, component, sketch. A stretch of at most block texts is one unit; a larger one is a unit for each
     pair of its blocks. A unit gives a spanning forest of the groups that it joins.
     """
-    rows = held.filter("k > 2").select("tree", "band", "node").join(placed.select("node", "component"), "node")
-    mixed = rows.groupBy("tree", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    units = rows.join(mixed.filter("lo <> hi").select("tree", "band", "parts"), ["tree", "band"])
+    rows = held.filter("k > 2").select("tree", "prefix", "node").join(placed.select("node", "component"), "node")
+    mixed = rows.groupBy("tree", "prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    units = rows.join(mixed.filter("lo <> hi").select("tree", "prefix", "parts"), ["tree", "prefix"])
     units = units.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    units = units.select("tree", "band", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    units = units.select("tree", "prefix", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
 
     def run(key, table):
         import pyarrow as pa
@@ -164,16 +186,17 @@ def group_ties(held: DataFrame, placed: DataFrame, least: float, block: int = BL
                         out.append((min(a, b), max(a, b)))
         return pa.table([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return units.join(placed.select("node", "sketch"), "node").groupBy("tree", "band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return units.join(placed.select("node", "sketch"), "node").groupBy("tree", "prefix", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def loose_groups(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component): the loose groups of more than one text."""
-    held = written(stretches(nodes), "forest-stretches")
-    grouped = cut(components(loose_ties(held, nodes)))
-    tied = F.col("component").isNotNull().alias("tied")
-    placed = nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", tied)
-    ties = cut(group_ties(held, placed, threshold - MARGIN))
+    held, ties, _ = matched(nodes, threshold)
+    least = threshold - MARGIN
+    grouped = cut(components(ties.filter(F.col("s") >= least).select("a", "b")))
+    is_tied = F.col("component").isNotNull().alias("tied")
+    placed = nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", is_tied)
+    ties = cut(group_ties(held, placed, least))
     if ties.isEmpty():
         return grouped
     roots = components(ties).select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -188,8 +211,9 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node of each connected component; alternating star passes, each kept in the shared folder.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each connected component; alternating star passes to the fixed point, each kept in the
+    shared folder.
 
     A pass ties every node to the smallest of its neighbourhood: first the larger neighbours (large star), then the smaller ones
     (small star). Minima are combined before their shuffle, and the joins back are on keys whose one side has a row each.
@@ -208,7 +232,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         e = cut(star(star(e, True), False))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
@@ -277,14 +301,14 @@ def _verify(members: dict[int, list], threshold: float) -> tuple[list, list, lis
     return nodes, links, other
 
 
-def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, links, other): exact links of each text within its loose group, and a spanning forest of them.
 
-    members: node, component, copies; texts: node, text. A group of at most block texts is one unit; a larger one is a unit for each
-    pair of its blocks, in which each text appears once for each other block.
+    members: node, component, copies, n (shingles); texts: node, text. A group of at most block texts and block_shingles shingles is one
+    unit; a larger one is a unit for each pair of its blocks, in which each text appears once for each other block.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int")
     placed = members.join(sizes, "component").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     units = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = units.select("node", "component", "copies", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
@@ -306,15 +330,15 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id of its class), text_id (smallest id with this text), n_links (other documents linked to it)."""
-    signed = written(signatures(docs, depth=prefix_depth(threshold)), "forest-signatures")
+    signed = written(signatures(docs), "forest-signatures")
     known = signed.filter("doc_id is not null")
     # copies meet by the hash of their text; minima are combined before the shuffle
     ids = known.select("doc_id", "h1", "h2").distinct()
     texts = cut(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    nodes = known.filter("n > 0").select("h1", "h2", "doc_id", "bands", "sketch").join(texts, ["h1", "h2"]).filter("doc_id = node")
-    nodes = written(nodes.dropDuplicates(["node"]).select("node", "copies", "bands", "sketch"), "forest-nodes")
+    nodes = known.filter("n > 0").select("h1", "h2", "doc_id", "n", "labels", "sketch").join(texts, ["h1", "h2"]).filter("doc_id = node")
+    nodes = written(nodes.dropDuplicates(["node"]).select("node", "copies", "n", "labels", "sketch"), "forest-nodes")
     grouped = cut(loose_groups(nodes, threshold))
-    members = cut(grouped.join(nodes.select("node", "copies"), "node"))
+    members = cut(grouped.join(nodes.select("node", "copies", "n"), "node"))
     found = cut(verified(members, docs.select(F.col("doc_id").alias("node"), "text"), threshold))
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.filter("other is not null").select(F.col("other").alias("a"), F.col("node").alias("b")))
