@@ -1,16 +1,17 @@
 """Quality rules with cross-document line frequency.
 
 Base rules look at one text: words, symbols, repeated lines, repeated five-word windows. The cross-document rule hashes every
-normalised line (case folded, white space joined, digits as one), counts in how many distinct texts of a host it occurs, removes
-lines above the limit, and rejects documents of which too little is left. A line is above the limit if more than MIN_DOCS texts and
-more than MAX_SHARE of the host's texts have it, so that the rule behaves alike at every size of host. Exact copies of a text count
-once: they are a matter for deduplication, and must not make each other's lines look like boilerplate.
+normalised line (case folded, white space joined, digits as one), counts the distinct documents of a host that have it, removes lines
+above the limits, and rejects documents of which too little is left. A line is above the limits if more than MIN_DOCS documents and more
+than MAX_SHARE of the host's documents have it, so that the rule behaves alike at every size of host. Documents are told apart by id:
+copies of a text are documents, so that lines which only copies or mirrored pages share are removed as well.
 
-Counting moves one small row for each distinct (host, line, text); the second count is combined before its shuffle, so that a line
-that a third of all texts share is no hot key. At most 1 / MAX_SHARE x (mean lines of a text) lines of a host can lie above the
+Counting moves one small row for each distinct (host, line, document); the second count is combined before its shuffle, so that a line
+that a third of all documents share is no hot key. At most 1 / MAX_SHARE x (mean lines of a text) lines of a host can lie above the
 limit; this set is broadcast if it is small, else joined by a shuffle.
 
-Defined cases. A null text has no words and fails the base rules. A null source is a host of its own. Equal texts of a host have
+Defined cases. A null text has no words and fails the base rules. A null source is a host of its own. Rows without an id
+count as one document, as do rows that repeat an id. Equal texts of a host have
 equal verdicts. Repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from .common import cut, map_arrow
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
-#: A line of more texts than this, and of more than this share of the host's texts, is boilerplate.
+#: A line of more documents than this, and of more than this share of the host's documents, is boilerplate.
 MIN_DOCS, MAX_SHARE = 10, 0.01
 #: A document is depleted if the lines that stay have less than this share of its words. How long a text must be is a base rule's matter.
 MIN_KEPT = 0.2
@@ -89,21 +90,20 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MA
 
     def lines(pieces: Iterator[dict]) -> Iterator[dict]:
         for p in pieces:
-            out = {"host": [], "line": [], "text_key": []}
-            for host, text in zip(p["source"], p["text"], strict=True):
+            out = {"host": [], "line": [], "doc_id": []}
+            for doc_id, host, text in zip(p["doc_id"], p["source"], p["text"], strict=True):
                 keys = {line_key(x) for x in (text or "").split("\n")} - {None}
-                text_key = xxhash.xxh3_64_intdigest(text or "") - (1 << 63)
-                # one row without a line stands for the text itself
+                # one row without a line stands for the document itself
                 out["host"] += [host] * (len(keys) + 1)
                 out["line"] += [None, *keys]
-                out["text_key"] += [text_key] * (len(keys) + 1)
+                out["doc_id"] += [doc_id] * (len(keys) + 1)
             yield out
 
-    rows = map_arrow(docs.select("source", "text"), lines, "host string, line long, text_key long").distinct()
-    per = cut(rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("line").isNull() | (F.col("texts") > min_docs)))
-    texts = per.filter("line is null").select(F.col("host").alias("h"), F.col("texts").alias("all_texts"))
-    found = per.filter("line is not null").join(texts, F.col("host").eqNullSafe(F.col("h")))
-    return found.filter(F.col("texts") > F.lit(max_share) * F.col("all_texts")).select("host", "line")
+    rows = map_arrow(docs.select("doc_id", "source", "text"), lines, "host string, line long, doc_id long").distinct()
+    per = cut(rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("line").isNull() | (F.col("docs") > min_docs)))
+    hosts = per.filter("line is null").select(F.col("host").alias("h"), F.col("docs").alias("all_docs"))
+    found = per.filter("line is not null").join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    return found.filter(F.col("docs") > F.lit(max_share) * F.col("all_docs")).select("host", "line")
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
