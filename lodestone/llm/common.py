@@ -20,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = getattr(spark.sparkContext, "_lodestone_shared", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-            spark.sparkContext._lodestone_shared = root
-            spark.sparkContext.setCheckpointDir(root)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.sparkContext._lodestone_shared = root
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -47,7 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    fs, path = open_fs(df.written_to)
+    fs.delete_dir(path)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, written
+from .common import cut, discard, map_arrow, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 N, THRESHOLD = 5, 0.8
@@ -142,7 +142,9 @@ def matched(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         met = 1 - F.pow(1 - F.pow(F.least("s", F.lit(1.0)), F.lit(depth)), F.lit(TREES))
         n, expected = ties.filter(F.col("s") >= threshold).agg(F.count(F.lit(1)), F.sum(1 / met)).first()
         if depth == shortest or (n and n >= recall * expected):
-            return written(found, "forest-stretches"), ties, depth
+            found = written(found, "forest-stretches")
+            discard(held)
+            return found, ties, depth
     raise AssertionError
 
 
@@ -197,6 +199,7 @@ def loose_groups(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is_tied = F.col("component").isNotNull().alias("tied")
     placed = nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", is_tied)
     ties = cut(group_ties(held, placed, least))
+    discard(held)
     if ties.isEmpty():
         return grouped
     roots = components(ties).select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -339,6 +342,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = written(nodes.dropDuplicates(["node"]).select("node", "copies", "n", "labels", "sketch"), "forest-nodes")
     grouped = cut(loose_groups(nodes, threshold))
     members = cut(grouped.join(nodes.select("node", "copies", "n"), "node"))
+    discard(nodes)
     found = cut(verified(members, docs.select(F.col("doc_id").alias("node"), "text"), threshold))
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.filter("other is not null").select(F.col("other").alias("a"), F.col("node").alias("b")))

@@ -3,11 +3,12 @@
 A payload is stored as an 8-bit grey PNG of fixed width (lossless) named by the digest of the payload. Every writing task has shards
 of its own in the shared folder, with names that no other attempt uses, and stores a payload once for each shard however often it
 occurs there; the table of digest, shard, offset and length is written through Spark's commit protocol, so the shards of failed or
-repeated attempts are never referred to. Readers need no listing: metadata columns come from one range read of the PNG's first 33
-bytes, payloads from one range read each.
+repeated attempts are never referred to. Of the places of a payload the least is its address: every row with that payload refers to it,
+and the others are never read. (Choosing owners before writing would shuffle all texts, to save a payload once for each further task that
+meets it.) Readers need no listing: a pass of header-only range reads, of 33 bytes for each address, fills the metadata columns, and
+payloads are read back once for each address.
 
-Defined cases. A null text is the empty text, whose payload is one row of spaces. Equal texts have equal values in every column
-but the place. Repeated rows stay repeated. An empty table writes no shard. Other columns are ignored.
+Defined cases. A null text is the empty text, whose payload is one row of spaces. Equal texts have equal values in every column. Repeated rows stay repeated. An empty table writes no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_arrow, open_fs, shared_dir, written
 
@@ -33,8 +35,9 @@ HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 INDEX = "doc_id long, n_bytes long, payload_digest string, shard string, offset long, length long"
-METADATA = "doc_id long, width long, height long, bit_depth long, color_type long"
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+ADDRESS = "payload_digest string, shard string, offset long, length long"
+METADATA = ADDRESS + ", width long, height long, bit_depth long, color_type long"
+MEDIA = METADATA + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -142,11 +145,17 @@ def store(docs: DataFrame, root: str | None = None) -> DataFrame:
     return written(map_arrow(docs.select("doc_id", "text"), write, INDEX), "media-index")
 
 
-def in_place_order(index: DataFrame, bytes_each: int = 64 << 20) -> DataFrame:
-    """The index dealt into contiguous stretches of the shards, of about so many stored bytes each."""
-    total = index.agg({"length": "sum"}).first()[0] or 0
-    n = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // bytes_each))
-    return index.repartitionByRange(n, "shard", "offset")
+def addresses(index: DataFrame) -> DataFrame:
+    """One row for each payload: its digest and the place that stands for it."""
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return index.groupBy("payload_digest").agg(place).select("payload_digest", "place.*")
+
+
+def in_place_order(places: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
+    """The places dealt into contiguous stretches of the shards, of about so many stored bytes each."""
+    total = places.agg({"length": "sum"}).first()[0] or 0
+    n = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // bytes_each))
+    return places.repartitionByRange(n, "shard", "offset")
 
 
 class _Reader:
@@ -167,40 +176,47 @@ class _Reader:
         return data
 
 
-def metadata(index: DataFrame) -> DataFrame:
-    """The metadata columns of every row, from header-only range reads."""
+def metadata(places: DataFrame) -> DataFrame:
+    """The places with their metadata columns, from header-only range reads."""
 
     def read(pieces: Iterator[dict]) -> Iterator[dict]:
         reader = _Reader()
         for p in pieces:
             heads = [read_header(reader.read(s, o, HEADER_BYTES)) for s, o in zip(p["shard"], p["offset"], strict=True)]
             w, h, d, c = (list(x) for x in zip(*heads, strict=True)) if heads else ([], [], [], [])
-            yield {"doc_id": p["doc_id"], "width": w, "height": h, "bit_depth": d, "color_type": c}
+            yield p | {"width": w, "height": h, "bit_depth": d, "color_type": c}
 
-    return map_arrow(index.select("doc_id", "shard", "offset"), read, METADATA)
+    return map_arrow(in_place_order(places), read, METADATA)
 
 
-def features(index: DataFrame) -> DataFrame:
-    """Reads every stored payload back, and computes its digests and feature."""
+def features(places: DataFrame) -> DataFrame:
+    """Reads the stored payload of every place back, and adds its digests and feature."""
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
     def read(pieces: Iterator[dict]) -> Iterator[dict]:
-        reader, last = _Reader(), {}
+        reader = _Reader()
         for p in pieces:
-            out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for doc_id, n, digest, shard, offset, length in zip(*(p[k] for k in ("doc_id", "n_bytes", "payload_digest", "shard", "offset", "length")), strict=True):
-                if (shard, offset) not in last:
-                    width, height, _, _ = read_header(reader.read(shard, offset, HEADER_BYTES))
-                    media = reader.read(shard, offset, length)
-                    samples = decode_png(media)
-                    payload = samples.tobytes()
-                    sha = hashlib.sha256(payload).hexdigest()
-                    if sha != digest or len(payload) != width * height:
-                        raise OSError(f"{shard} at {offset}: the payload does not match its address")
-                    if len(last) >= 256:
-                        last.clear()
-                    last[shard, offset] = (len(payload), sha, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples))
-                for k, v in zip(out, (doc_id, n, *last[shard, offset]), strict=True):
+            out = {k: [] for k in names}
+            for digest, shard, offset, length, width, height in zip(*(p[k] for k in ("payload_digest", "shard", "offset", "length", "width", "height")), strict=True):
+                media = reader.read(shard, offset, length)
+                samples = decode_png(media)
+                payload = samples.tobytes()
+                sha = hashlib.sha256(payload).hexdigest()
+                if sha != digest or len(payload) != width * height:
+                    raise OSError(f"{shard} at {offset}: the payload does not match its address")
+                row = (len(payload), sha, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples))
+                for k, v in zip(names, row, strict=True):
                     out[k].append(v)
-            yield out
+            yield p | out
+
+    return map_arrow(places, read, MEDIA)
+
 
-    return map_arrow(in_place_order(index.select("doc_id", "n_bytes", "payload_digest", "shard", "offset", "length")), read, MEDIA)
+def media_columns(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: what features() says of its payload, and where and as what it is stored."""
+    index = store(docs)
+    described = written(metadata(addresses(index)), "media-metadata")
+    read = features(in_place_order(described))
+    # one row for each payload on the right: a payload that many documents share makes a long left side, which adaptive execution splits
+    out = index.select("doc_id", "n_bytes", "payload_digest").join(read, "payload_digest")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "shard", "offset", "length")

@@ -5,8 +5,9 @@ Within a source every document expects target / source size copies. The expected
 stretch crosses. The order groups documents of like size, so that the words taken stay near the target.
 
 The prefix sum needs no single task per source: documents fall into blocks (size class x hash bucket), a window numbers the rows of a
-block, and a running sum over the few thousand blocks of a source gives each block its start. The blocks of a source that holds a
-third of all rows are spread over all tasks.
+block, and a running sum over the blocks of a source gives each block its start. There are more buckets the more documents there are,
+so that no block outgrows a task; the blocks of a source that holds a third of all rows are spread over all tasks. The window and the
+join with the starts share one shuffle.
 
 Defined cases. A null text has size 0. A null source is a source of its own, last in order. A source of size 0 has target 0 and
 none of its documents is taken. Equal documents are told apart by nothing but their order; repeated rows are separate documents.
@@ -23,8 +24,9 @@ from .common import cut
 
 #: Weights in the code-point order of sources, repeating; the share of all words to take, and the cap in times of a source's size.
 WEIGHTS, SHARE_2X, CAP = (3, 1, 2), 3, 2
-#: Hash buckets of a block, and the multipliers of the bucket hash and of the offsets.
-BUCKETS, MIX, SEED = 256, 40503, 7
+#: Hash buckets of a size class: at least so many, and more by powers of two so that there is one for ROWS_EACH documents of the table;
+#: the multipliers of the bucket hash and of the offsets.
+BUCKETS, ROWS_EACH, MIX, SEED = 256, 65_536, 40503, 7
 
 
 def word_count(text):
@@ -63,20 +65,30 @@ def targets(blocks: DataFrame, weights=WEIGHTS, share_2x: int = SHARE_2X, cap: i
     return x.select("source", "source_size", F.col("rank").cast("long").alias("rank"), target.alias("target"))
 
 
+def buckets_of(rows: int) -> int:
+    n = BUCKETS
+    while n * ROWS_EACH < rows:
+        n *= 2
+    return n
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share_2x: int = SHARE_2X, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, the kept columns, size, source_size, target and copies."""
+    n_buckets = buckets_of(docs.count())
     doc = F.coalesce(F.col("doc_id"), F.lit(0))
-    spread = F.pmod(doc * MIX + F.floor(doc / BUCKETS) * 97, F.lit(BUCKETS))
+    spread = F.pmod(doc * MIX + F.floor(doc / BUCKETS) * 97, F.lit(n_buckets))
     sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
-    sized = sized.withColumn("block", (size_class(F.col("size")) * BUCKETS + spread).cast("long"))
+    sized = sized.withColumn("block", (size_class(F.col("size")) * n_buckets + spread).cast("long"))
     if not keep:
         sized = cut(sized)  # ids and sizes only: the texts are read once
     blocks = cut(sized.groupBy("source", "block").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))
     t = targets(blocks, weights, share_2x, cap)
-    numbered = sized.withColumn("nth", (F.row_number().over(W.partitionBy("source", "block").orderBy("size", "doc_id")) - 1).cast("long"))
-    start = F.coalesce(F.sum("rows").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), start.alias("start"))
-    placed = numbered.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    # a key without nulls, so that window and join need the same partitioning
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))
+    sized, blocks = sized.withColumn("key", key), blocks.withColumn("key", key)
+    numbered = sized.withColumn("nth", (F.row_number().over(W.partitionBy("key", "block").orderBy("size", "doc_id")) - 1).cast("long"))
+    start = F.coalesce(F.sum("rows").over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.join(blocks.select("key", "block", start.alias("start")), ["key", "block"]).drop("key")
     # one row for each source: as many as the data has, so Spark itself decides by size whether it is broadcast
     placed = placed.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -114,11 +126,13 @@ WITH words AS (
   SELECT source, source_size, rk,
          CASE WHEN cut_n IS NULL OR n < cut_n THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(w * cut_left AS DOUBLE) / CAST(2 * cut_w AS DOUBLE) END AS target
   FROM level LEFT JOIN cutoff ON true
+), buckets AS (
+  SELECT CAST(greatest({BUCKETS}, pow(2, ceil(log2(greatest(1, count(*)) / {ROWS_EACH}.0)))) AS BIGINT) AS nb FROM documents
 ), blocked AS (
   SELECT doc_id, source, size,
-         (CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) END) * {BUCKETS}
-           + ((doc_id * {MIX} + CAST(floor(doc_id / {BUCKETS}) AS BIGINT) * 97) % {BUCKETS}) AS block
-  FROM words
+         (CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) END) * nb
+           + ((doc_id * {MIX} + CAST(floor(doc_id / {BUCKETS}) AS BIGINT) * 97) % nb) AS block
+  FROM words, buckets
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, size, doc_id) - 1 AS pos FROM blocked
 ), rated AS (

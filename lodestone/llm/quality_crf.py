@@ -23,11 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, split_of
+from .common import hash_share, map_arrow, sample_share, split_of
 from .toxicity import fit_logistic, learnable
 
-#: Labelled rows that are learned from, at most (about; chosen by hash); lines of one training sequence.
-FIT_ROWS, SEQUENCE = 6_000, 128
+#: Labelled rows that are learned from, at most (about; chosen by hash), lines of such a row, lines of all of them (about), and
+#: lines of one training sequence. Longer labelled rows are not learned from; every row is scored on all of its lines.
+FIT_ROWS, ROW_LINES, FIT_LINES, SEQUENCE = 6_000, 1_000, 300_000, 128
 THRESHOLD = 0.7
 ROUNDS, RELABEL_ROUNDS, RATE, RIDGE = 120, 60, 0.1, 1e-3
 
@@ -191,7 +192,10 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, lines: np.ndarray, weights: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Crf:
-    rows = learnable(docs, labels, "quality", bound).select("text", "y", "half")
+    rows = learnable(docs, labels, "quality", bound)
+    rows = rows.withColumn("lines", F.length("text") - F.length(F.translate("text", "\n", "")) + 1).filter(F.coalesce("lines", F.lit(1)) <= ROW_LINES)
+    share = sample_share(rows.agg(F.sum("lines")).first()[0] or 0, FIT_LINES)
+    rows = rows.filter(hash_share(F.col("doc_id"), share, 12)).select("text", "y", "half")
 
     def figures(pieces: Iterator[dict]) -> Iterator[dict]:
         for p in pieces:

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(table(spark, sf_dir, "documents")))
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.histories(table(spark, sf_dir, "pages"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +65,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_warc": """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d,
+  coalesce(nullif(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE url END, ''), url, '') AS rest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id, split_part(rest, '/', 1) AS host FROM p),
+k AS (SELECT *, CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || regexp_extract(substr(rest, length(host) + 1), '^[^#]*') END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 315360000), '%Y%m%d%H%M%S') AS ts FROM f)
+SELECT page_id, url_key, ts, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
-FROM f
+       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to,
+       row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS capture_no
+FROM k
 """,
     "op8_jaccard_join": """
 WITH RECURSIVE w AS (

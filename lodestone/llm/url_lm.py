@@ -3,7 +3,8 @@
 Rules decide the URLs they fit. Those decisions over all rows are the accepted and rejected corpora of two variable-order Markov
 models of characters: counts of every character after each of its contexts of up to ORDER characters, each order smoothed by the
 next lower one. A URL that no rule fits is judged by the difference of its log-likelihoods, divided by its length, against a
-threshold that lets all but FALSE_BLOCKS of the accepted URLs pass, set on a tenth of the URLs that the counts leave out.
+threshold set on a tenth of the decided URLs, which the counts leave out: at most FALSE_BLOCKS of the accepted ones fall below it, and it
+is no higher than is needed to have all but MISSED of the rejected ones below. A URL of neither kind that lies between both is allowed.
 
 Counts are of the real characters and contexts, so the models grow with the table and stay distributed. What a character adds to a
 score depends on its window alone (its ORDER predecessors and itself): URLs are cut into windows, the counts of all orders are sums
@@ -24,8 +25,8 @@ from .common import broadcast_if_small, cut
 
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Longest context, weight of the lower order, and the share of accepted URLs that may fall.
-ORDER, LOWER, FALSE_BLOCKS = 5, 4.0, 0.01
+#: Longest context, weight of the lower order, the share of accepted URLs that may fall, and of rejected ones that may stay.
+ORDER, LOWER, FALSE_BLOCKS, MISSED = 5, 4.0, 0.01, 0.01
 #: One of so many URLs is left out of the counts and calibrates the threshold.
 FOLDS, BINS, SPAN = 10, 2048, 8.0
 #: Parts of one that window values are rounded to; windows that are broadcast, more are joined by a shuffle.
@@ -96,7 +97,7 @@ def window_values(known: DataFrame, asked: DataFrame) -> DataFrame:
 def scores(ruled: DataFrame) -> DataFrame:
     """(url, score): the log-likelihood difference by length of every distinct URL that no rule decides or that calibrates."""
     known = _known(ruled)
-    asked = ruled.filter("rule_verdict is null and url <> ''").select("url").unionByName(known.filter("left_out and accepted").select("url"))
+    asked = ruled.filter("rule_verdict is null and url <> ''").select("url").unionByName(known.filter("left_out").select("url"))
     asked = cut(asked.distinct().withColumn("id", F.monotonically_increasing_id()))
     values, _ = broadcast_if_small(window_values(known.filter("not left_out"), asked), BROADCAST_WINDOWS)
     rows = asked.select("id", F.explode(windows_of(F.col("url"))).alias("window"))
@@ -110,25 +111,29 @@ def _known(ruled: DataFrame) -> DataFrame:
     return known.select("url", (F.col("rule_verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("left_out"))
 
 
-def threshold_of(ruled: DataFrame, scored: DataFrame) -> float:
-    """The threshold set on the accepted URLs of the fold that the counts leave out."""
+def calibrated(ruled: DataFrame, scored: DataFrame) -> tuple[float, float, float]:
+    """(threshold, share of accepted URLs below it, share of rejected URLs not below it), on the fold that the counts leave out."""
     at = F.floor((F.col("score") + SPAN) * BINS / (2 * SPAN))
-    passed = _known(ruled).filter("left_out and accepted").join(scored, "url").groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    rows, gone, threshold = sorted(passed.collect()), 0, -SPAN
-    total = sum(n for _, n in rows)
-    for b, n in rows:
-        gone += n
-        if gone > FALSE_BLOCKS * total:
-            threshold = b * 2 * SPAN / BINS - SPAN
+    bins = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).alias("bin")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    rows = _known(ruled).filter("left_out").join(scored, "url").groupBy(bins).agg(one(F.col("accepted")), one(~F.col("accepted"))).collect()
+    edge = lambda b: b * 2 * SPAN / BINS - SPAN
+    accepted, rejected = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    gone, below, found = 0, 0, (edge(0), 0, 0)
+    for b, n1, n0 in sorted(rows):
+        if gone + n1 > FALSE_BLOCKS * accepted or (rejected and below >= (1 - MISSED) * rejected):
             break
-    return min(threshold, 0.0)
+        gone, below = gone + n1, below + n0
+        found = (edge(b + 1), gone, below)
+    threshold = min(found[0], 0.0)
+    return threshold, found[1] / max(1, accepted), 1 - found[2] / max(1, rejected)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, and the score of the method where it decides."""
     ruled = cut(with_rule(pages.select("page_id", "url"), rules))
     scored = scores(ruled)
-    threshold = threshold_of(ruled, scored)
+    threshold, _, _ = calibrated(ruled, scored)
     decided = ruled.filter("rule_verdict is not null").withColumn("score", F.lit(None).cast("double"))
     # null and empty URLs have no windows and are no keys
     blank = F.coalesce(F.col("url") == "", F.lit(True))

@@ -6,8 +6,9 @@ of a bounded number of records, which it sorts and writes as one run: locally so
 
 Merging. Runs are merged by a loser tree, k at a time: while there are more runs than FAN_IN, groups of runs become longer runs; the
 last merge is dealt out by ranges of the whole key, whose borders come from a bounded sample, so that one URL with a third of all
-captures is split too. Each range reads only the row groups of a run that can hold its keys, and streams. The outcome, range by
-range, is the globally ordered capture history, from which each record is read back by offset and length.
+captures is split too. Each range reads only the row groups of a run that can hold its keys, by URL and by timestamp, and streams. Each
+record is read back by offset and length. The outcome is the globally ordered capture history: capture_no numbers it from 0. Runs are
+deleted once the history is written; the archives stay, as what the operator makes.
 
 Defined cases. A null html is an empty payload. Payloads shorter than MIN_PAYLOAD are always responses. Repeated rows with the
 smallest id are all responses. A null id has no order and is always a response. A null url has the empty key. An empty table has no
@@ -19,13 +20,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
-from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, map_arrow, open_fs, shared_dir, written
@@ -95,7 +97,7 @@ class _Run:
         self.root, self.entries = root, []
 
     def write(self) -> dict:
-        uri = f"{self.root}/run-{uuid.uuid4().hex}.parquet"
+        uri = f"{self.root}/runs/run-{uuid.uuid4().hex}.parquet"
         self.entries.sort(key=lambda e: (e[0], e[1], -1 if e[2] is None else e[2]))
         sample = write_run(uri, iter(self.entries))
         n, self.entries = len(self.entries), []
@@ -105,6 +107,7 @@ class _Run:
 def write_run(uri: str, entries: Iterable[tuple]) -> list[dict]:
     """Writes sorted entries in row groups; returns every GROUP_ROWS-th key."""
     fs, path = open_fs(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     sample, rows = [], []
     with fs.open_output_stream(path) as out, pq.ParquetWriter(out, _ENTRY, compression="zstd") as w:
         def flush() -> None:
@@ -204,8 +207,10 @@ def read_run(uri: str, low: tuple | None = None, high: tuple | None = None) -> I
     with fs.open_input_file(path) as f:
         file = pq.ParquetFile(f)
         for g in range(file.num_row_groups):
-            stats = file.metadata.row_group(g).column(0).statistics
-            if stats is not None and stats.has_min_max and ((low and stats.max < low[0]) or (high and stats.min > high[0])):
+            first, last = _bounds(file.metadata.row_group(g))
+            if high and first > high[: len(first)]:
+                return
+            if low and last and last < low[: len(last)]:
                 continue
             for e in zip(*(c.to_pylist() for c in file.read_row_group(g).columns), strict=True):
                 k = _key(e)
@@ -215,6 +220,15 @@ def read_run(uri: str, low: tuple | None = None, high: tuple | None = None) -> I
                     yield e
 
 
+def _bounds(group: pq.RowGroupMetaData) -> tuple[tuple, tuple]:
+    """Beginnings of keys between which a row group's keys lie: the URL key, and where it is one the timestamp too; empty if unknown."""
+    stats = [group.column(i).statistics for i in (0, 1)]
+    if any(s is None or not s.has_min_max for s in stats):
+        return (), ()
+    (a, b), (c, d) = ((s.min, s.max) for s in stats)
+    return ((a, c), (b, d)) if a == b else ((a,), (b,))
+
+
 def merge_runs(uris: list[str], low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
     return iter(LoserTree([read_run(u, low, high) for u in uris], _key))
 
@@ -228,7 +242,7 @@ def captures(spark: SparkSession, runs: DataFrame, root: str, fan_in: int = FAN_
         def longer(pieces: Iterator[dict], groups=groups) -> Iterator[dict]:
             for p in pieces:
                 for i in p["id"]:
-                    uri = f"{root}/run-{uuid.uuid4().hex}.parquet"
+                    uri = f"{root}/runs/run-{uuid.uuid4().hex}.parquet"
                     write_run(uri, merge_runs(groups[i]))
                     yield {"run": [uri]}
 
@@ -272,12 +286,15 @@ def _batches(range_no: int, entries: Iterator[tuple], rows: int = 512) -> Iterat
 
 
 def histories(pages: DataFrame) -> DataFrame:
-    """Archives pages and returns their merged capture history, read back from the archives."""
+    """Archives pages and returns their merged capture history, read back from the archives, with its global number."""
     spark = pages.sparkSession
     root = shared_dir(spark, "warc")
-    return captures(spark, archive(pages, root), root)
-
-
-def capture_place(key: tuple, borders: list[tuple]) -> int:
-    """The range that a key falls in."""
-    return bisect_right(borders, key)
+    history = written(captures(spark, archive(pages, root), root), "warc-history")
+    fs, path = open_fs(f"{root}/runs")
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+    # one row for each range of the merge
+    sizes = history.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("range_no", before.alias("start"))
+    return history.join(F.broadcast(starts), "range_no").withColumn("capture_no", (F.col("start") + F.col("seq")).cast("long")).drop("start", "range_no", "seq")

@@ -70,9 +70,9 @@ def test_forest_against_brute_force(spark):
 def test_forest_blocks_give_the_same(spark):
     rows = [(i, t) for i, t in family_docs() if t]
     docs = spark.createDataFrame(rows, "node long, text string")
-    members = docs.selectExpr("node", "cast(0 as long) as component", "cast(1 as long) as copies")
-    count = lambda block: {r["node"]: r["n"] for r in forest.verified(members, docs, block=block).groupBy("node").sum("links").withColumnRenamed("sum(links)", "n").collect() if r["n"]}
-    assert count(1000) == count(16)
+    members = docs.selectExpr("node", "cast(0 as long) as component", "cast(1 as long) as copies", "cast(1 as long) as n")
+    count = lambda block, shingles=1 << 20: {r["node"]: r["n"] for r in forest.verified(members, docs, block=block, block_shingles=shingles).groupBy("node").sum("links").withColumnRenamed("sum(links)", "n").collect() if r["n"]}
+    assert count(1000) == count(16) == count(1000, 20)
 
 
 def test_forest_links_behind_less_similar_texts(spark, monkeypatch):
@@ -84,22 +84,37 @@ def test_forest_links_behind_less_similar_texts(spark, monkeypatch):
         x = words(100)
         rows += [(i, " ".join(x)), (i + 1, " ".join(x[:-8] + words(8)))]
     signed = forest.signatures
-    monkeypatch.setattr(forest, "signatures", lambda docs, **k: signed(docs, **k).selectExpr("doc_id", "h1", "h2", "n", "transform(bands, x -> 1L) AS bands", "sketch"))
+    monkeypatch.setattr(forest, "signatures", lambda docs, **k: signed(docs, **k).selectExpr("doc_id", "h1", "h2", "n", "transform(labels, x -> unhex('01010101010101010101')) AS labels", "sketch"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in forest.classes(docs).collect()}
     assert got == brute_links(rows) and sum(n for _, n in got.values()) == 20
     # a stretch of many blocks gives the same groups
-    nodes = signed(docs).selectExpr("doc_id AS node", "transform(bands, x -> 1L) AS bands", "sketch")
+    nodes = signed(docs).selectExpr("doc_id AS node", "transform(labels, x -> unhex('01010101010101010101')) AS labels", "sketch")
     placed = nodes.selectExpr("node", "node AS component", "sketch")
-    ties = forest.group_ties(forest.stretches(nodes), placed, 0.6, block=16).collect()
+    ties = forest.group_ties(forest.stretches(forest.leaves(nodes, 7), 8), placed, 0.6, block=16).collect()
     assert {(r["a"], r["b"]) for r in ties} == {(i, i + 1) for i in range(60, 80, 2)}
 
 
-def test_forest_prefix_meets_the_recall():
-    d = forest.prefix_depth()
+def test_forest_shortest_prefix_meets_the_recall():
+    d = forest.shortest_prefix()
     assert 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** forest.TREES
 
 
+def test_forest_shortens_prefixes_by_what_it_finds(spark):
+    """Pairs that are nearly copies are all found at the full depth; pairs near the threshold ask for shorter prefixes."""
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    for changed, depths in ((1, {10}), (45, {7, 8})):
+        rows = []
+        for i in range(120):
+            x = words(400)
+            rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(x[:-changed] + words(changed)))]
+        nodes = forest.signatures(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc_id", "node")
+        found, ties, depth = forest.matched(nodes)
+        assert depth in depths and {(r["a"], r["b"]) for r in ties.collect()} >= {(2 * i, 2 * i + 1) for i in range(120)}
+        assert found.count() >= 240
+
+
 def test_forest_hard(spark, hard, nothing):
     rows = forest.classes(hard).collect()
     assert len(rows) == hard.count()
@@ -166,11 +181,32 @@ def test_warc_histories(spark):
             assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == 3 else ("revisit", 3))
         else:
             assert r["record_type"] == "response" and r["refers_to"] is None
-    order = [(r["url_key"], r["ts"], -1 if r["page_id"] is None else r["page_id"]) for r in sorted(out, key=lambda r: (r["range_no"], r["seq"]))]
-    assert order == sorted(order)
+    order = [(r["url_key"], r["ts"], -1 if r["page_id"] is None else r["page_id"]) for r in sorted(out, key=lambda r: r["capture_no"])]
+    assert order == sorted(order) and sorted(r["capture_no"] for r in out) == list(range(len(rows)))
     assert warc.histories(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_warc_long_values_and_clashing_names(spark):
+    """Very long payloads and URLs, and columns whose names are those of the operator's own."""
+    long_ = "x" * 2_000_000
+    rows = [(1, "http://h/" + "p" * 50_000, long_, "a", "b"), (2, "http://h/2", long_, "c", None), (3, "http://H/\u00e9\n", "\u6f22" * 100_000, None, None), (4, "", "", "d", "e")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to string")
+    out = {r["page_id"]: r for r in warc.histories(pages).collect()}
+    assert (out[2]["record_type"], out[2]["refers_to"], out[2]["payload_bytes"]) == ("revisit", 1, 2_000_000) and out[3]["payload_bytes"] == 300_000 and out[4]["url_key"] == ""
+
+
+def test_warc_ranges_skip_row_groups_of_one_url(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "GROUP_ROWS", 10)
+    uri = f"file://{tmp_path}/run.parquet"
+    entries = [("com,h)/", f"{i:014d}", i, "f", i, 1) for i in range(1000)]
+    warc.write_run(uri, iter(entries))
+    read = []
+    group = warc.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(warc.pq.ParquetFile, "read_row_group", lambda self, i, *a: read.append(i) or group(self, i, *a))
+    low, high = ("com,h)/", f"{500:014d}", 500), ("com,h)/", f"{520:014d}", 520)
+    assert list(warc.read_run(uri, low, high)) == entries[500:520] and len(read) <= 4
+
+
 def test_warc_merges_in_passes(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}"
     monkeypatch.setattr(warc, "RUN_ENTRIES", 20)
@@ -237,6 +273,23 @@ def test_url_scores_of_many_contexts(spark):
         assert got[i] is None if i < 4000 else abs(got[i] - (score(u) if u else 0.0)) < 1e-6
 
 
+def test_urls_with_long_values_and_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 20_000, "r", 1.0), (2, "http://b.net/es/" + "y" * 20_000, "s", 2.0), (3, "z" * 20_000, None, None), (3, "z" * 20_000, None, None), (None, None, None, None)], "page_id long, url string, rule string, score double")
+    out = url_lm.judge(pages).collect()
+    assert len(out) == 5 and {(r["page_id"], r["rule"]) for r in out} == {(1, "com/"), (2, "net/es/"), (3, None), (None, None)}
+
+
+def test_url_threshold_is_set_on_both_sides(spark):
+    """Of classes far apart the threshold lies at the rejected ones; where they overlap few accepted URLs fall."""
+    ruled = spark.range(4000).selectExpr("id AS page_id", "concat('u', id) AS url", "if(id % 2 = 0, 'allow', 'block') AS rule_verdict")
+    apart = ruled.selectExpr("url", "if(rule_verdict = 'allow', 2.0, -2.0) + (page_id % 100) / 1000 AS score")
+    t, gone, missed = url_lm.calibrated(ruled, apart)
+    assert -2.0 < t < -1.8 and gone == 0 and missed <= 0.01
+    same = ruled.selectExpr("url", "cast((page_id div 2) % 200 as double) / 100 - 1 AS score")
+    t, gone, missed = url_lm.calibrated(ruled, same)
+    assert gone <= 0.01 and missed > 0.9 and t < -0.9
+
+
 # Learned scores -------------------------------------------------------------------------------------------------------------------
 
 
@@ -347,3 +400,76 @@ def test_pipeline(spark):
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert len(out) == mixed.count() and all(r["n_tokens"] == len(lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids) for r in out)
     assert [name for name, _ in p.STAGES] == ["quality_classifier", "jaccard_join", "pii", "mixing", "bpe"]
+
+
+# Toxicity in context ---------------------------------------------------------------------------------------------------------------
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    labels = labels.unionByName(labels.limit(20).selectExpr("doc_id", "1 - quality AS quality", "1 - toxic AS toxic"))  # ids with two labels
+    for op in (toxicity, quality_crf):
+        one = {r["doc_id"]: r["score"] for r in op.classify(docs, labels).collect()}
+        other = {r["doc_id"]: r["score"] for r in op.classify(docs.repartition(13), labels.repartition(5)).collect()}
+        assert one == other
+
+
+def quoting_model():
+    terms = ["moron", "worthless", "disgusting"]
+    model = toxicity.Model([(t, False) for t in terms], [5.0] * 3, [], 0.0)
+    words = "the plan was good and we went there by train to see".split()
+    rng = random.Random(3)
+    raw, y = [], []
+    for i in range(200):
+        text = " ".join(rng.choice(words) for _ in range(40))
+        raw.append(model.evidence(text + (f" you {rng.choice(terms)} and {rng.choice(terms)} lot" if i % 4 == 0 else ""))[0])
+        y.append(int(i % 4 == 0))
+    model.coef, model.discount = toxicity.fit_context(raw, y)
+    return model
+
+
+@pytest.mark.parametrize(
+    ("quoted", "plain"),
+    [
+        ('he said "you are worthless" to them and left the room', "he thinks you are worthless to them and left the room"),
+        ("er rief „du moron“ und ging", "er rief du moron und ging"),
+        ("she told us of «a disgusting man» there", "she told us of a disgusting man there"),
+        ("the word moron stands in the list", "the real moron stands in the list"),
+        ("a long way off he began “" + "and so on " * 30 + "you moron” and left", "a long way off he began " + "and so on " * 30 + "you moron and left"),
+    ],
+)
+def test_quoted_matches_weigh_less(quoted, plain):
+    model = quoting_model()
+    (q, nq, _, quotes), (p, np_, _, none) = model.evidence(quoted), model.evidence(plain)
+    assert nq == np_ == quotes == 1 and none == 0 and 0 < model.discount < 1
+    blank = model.score(model.evidence("nothing of the kind")[0])
+    assert blank < model.score(q) < model.score(p)
+
+
+@pytest.mark.parametrize("text", ['a 5" disk: you are worthless, don’t talk', "you don’t see, moron, what it’s worth", 'an open " mark, moron', "“opened\nmoron” there", "‘twas a moron’s day"])
+def test_what_is_no_quotation(text):
+    assert quoting_model().evidence(text)[3] == 0
+
+
+def test_quotation_share_is_learned_where_there_is_something_to_learn_from():
+    raw = lambda p, q: [p, q, 0.0, min(p, 5.0), min(q, 5.0), float(p > 0), float(q > 0), 50.0]
+    clean_quotes = [raw(0, 10.0)] * 40 + [raw(0, 0)] * 200 + [raw(10.0, 0)] * 40
+    toxic_quotes = clean_quotes
+    assert toxicity.fit_context(clean_quotes, [0] * 240 + [1] * 40)[1] < toxicity.QUOTED_SHARE
+    assert toxicity.fit_context(toxic_quotes, [1] * 40 + [0] * 200 + [1] * 40)[1] > toxicity.QUOTED_SHARE
+
+
+def test_misspelling_is_never_innocence():
+    model = quoting_model()
+    score = lambda t: model.score(model.evidence(t)[0])
+    assert score("nothing here") < score("you m0ron you") <= score("you moron you") and all(c >= 0 for c in model.coef[1:])
+    assert score("nothing here") < score("you wortless one") < score("you worthless one")
+
+
+def test_near_forms_of_clean_documents_are_words_of_their_own(spark):
+    model = toxicity.Model([("trash", False)], [5.0], [], 0.0)
+    rows = spark.createDataFrame([("a brash one", 0), ("brash again", 0), ("trach here", 1), ("trash", 1)], "text string, y int")
+    assert toxicity.own_words(rows, model, 2, 2) == {"brash"}
+    model = toxicity.Model([("trash", False)], [5.0], [], 0.0, 0.3, frozenset({"brash"}))
+    assert model.match("brash") == (-1, 0) and model.match("trach") == (0, 1)
