@@ -3,8 +3,8 @@
 Rules decide the URLs they fit. Those decisions over all rows are the accepted and rejected corpora of two variable-order Markov
 models of characters: counts of every character after each of its contexts of up to ORDER characters, each order smoothed by the
 next lower one. A URL that no rule fits is judged by the difference of its log-likelihoods, divided by its length, against a
-threshold set on a tenth of the decided URLs, which the counts leave out: at most FALSE_BLOCKS of the accepted ones fall below it, and it
-is no higher than is needed to have all but MISSED of the rejected ones below. A URL of neither kind that lies between both is allowed.
+threshold set on a tenth of the decided URLs, which the counts leave out: at most FALSE_BLOCKS of the accepted ones fall below it. Where that and having
+all but MISSED of the rejected ones below leaves a gap, it is the middle of the gap: what rules do not decide leans to either side.
 
 Counts are of the real characters and contexts, so the models grow with the table and stay distributed. What a character adds to a
 score depends on its window alone (its ORDER predecessors and itself): URLs are cut into windows, the counts of all orders are sums
@@ -119,14 +119,22 @@ def calibrated(ruled: DataFrame, scored: DataFrame) -> tuple[float, float, float
     rows = _known(ruled).filter("left_out").join(scored, "url").groupBy(bins).agg(one(F.col("accepted")), one(~F.col("accepted"))).collect()
     edge = lambda b: b * 2 * SPAN / BINS - SPAN
     accepted, rejected = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    gone, below, found = 0, 0, (edge(0), 0, 0)
-    for b, n1, n0 in sorted(rows):
-        if gone + n1 > FALSE_BLOCKS * accepted or (rejected and below >= (1 - MISSED) * rejected):
+    rows.sort()
+    upper, gone = edge(BINS if accepted else 0), 0  # as many accepted URLs as allowed lie below it
+    for b, n1, _ in rows:
+        gone += n1
+        if gone > FALSE_BLOCKS * accepted:
+            upper = edge(b)
             break
-        gone, below = gone + n1, below + n0
-        found = (edge(b + 1), gone, below)
-    threshold = min(found[0], 0.0)
-    return threshold, found[1] / max(1, accepted), 1 - found[2] / max(1, rejected)
+    lower, left = upper, 0  # so many rejected URLs as allowed lie above it
+    for b, _, n0 in reversed(rows):
+        if left + n0 > MISSED * rejected:
+            lower = edge(b + 1)
+            break
+        left += n0
+    threshold = min((lower + upper) / 2 if lower < upper else upper, 0.0)
+    share = lambda i, keep: sum(r[i] for r in rows if keep(edge(r[0]))) / max(1, sum(r[i] for r in rows))
+    return threshold, share(1, lambda e: e < threshold), share(2, lambda e: e >= threshold)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
