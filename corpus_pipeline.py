@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe_stream, forest, mixing, pii, quality_crf
-from lodestone.llm.common import table, written
+from lodestone.llm.common import discard, table, written
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -30,8 +30,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of every document that is left."""
-    return bpe_stream.encode_column(docs, tokenizer_path())
+    """The tokens of every document that is left: ids, their number and digests."""
+    return bpe_stream.encode_column(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [("quality_classifier", quality), ("jaccard_join", near_duplicates), ("pii", personal_data), ("mixing", source_mix), ("bpe", tokens)]
@@ -42,6 +42,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(docs)  # its successor stands in the shared folder
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
