@@ -1,19 +1,24 @@
-"""Trials from the `events` table: a deterministic stand-in for trial directories, the same in Spark and in SQL.
+"""Trials from the `events` table: documents of trials, as files would hold them, and the tables that the operators make of them.
 
 An event is a step with one call. A user's events fall into trials by user and time; tools, paths, rewards and the dimensions are
-integer functions of the event. One shuffle by trial gathers the calls of a trial in one row (a trial has at most a few hundred);
-everything after it is a projection.
+integer functions of the event. One shuffle by trial gathers the steps of a trial (at most a few hundred) into its two documents, a
+result and a trajectory, both JSON text; the signals are what extract() reads out of these documents, and the categories what the rules
+say of the signals. Documents, signals and categories are tables that are written once for each session and state of the input.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import sealed
 from ..operators.rules import annotate, narrow
-from ..operators.signals import call_signals
+from ..operators.signals import extract
 from ..schemas import SIGNAL_TYPES
+from ..session import written
 
 MODELS = ("model-a", "model-b", "model-c", "model-d")
 AGENTS = ("alpha", "beta", "gamma")
@@ -48,40 +53,88 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_CALLS.replace("FROM steps", "FROM {steps}"), steps=steps)
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signals table of all trials, with the trial key (u, seg), started_at and trial_path."""
+EDITING = ("Edit", "Write", "NotebookEdit")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trial_path, result, trajectory): the two documents of every trial as JSON text."""
     c = calls(spark, sf_dir)
-    one = F.struct("ts", "event_id", F.col("tool"), "path", F.coalesce("path", F.lit("")).alias("args"), F.col("k").cast("int").alias("lines"))
-    t = c.groupBy("u", "seg").agg(F.array_sort(F.collect_list(one)).alias("calls"), F.count_if("is_error").alias("error_count"), F.count(F.lit(1)).alias("total_turns"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    # an edit carries as many lines as the event's number says
+    content = F.when(F.col("tool").isin(*EDITING) & (F.col("k") > 0), F.concat(F.repeat(F.lit("x\n"), F.col("k").cast("int") - 1), F.lit("x")))
+    arguments = F.struct(F.col("path").alias("file_path"), content.alias("content"))
+    said = F.when(~F.col("is_error"), "done").when(F.col("k") % 2 == 0, "Traceback: it did not work").otherwise('{"results": [{"content": "an "}, {"content": "Error"}]}')
+    step = F.struct("ts", "event_id", F.array(F.struct(F.col("tool").alias("function_name"), arguments.alias("arguments"))).alias("tool_calls"), said.alias("observation"))
+    t = c.groupBy("u", "seg").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names) + 1).cast("int"))
+    stamp = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
     u, seg = F.col("u"), F.col("seg")
     r = (F.floor(u / 3) + seg * 5) % 6
     reward = F.when(r == 0, F.lit(None)).when(r <= 2, 0.0).when(r == 3, 0.3).when(r == 4, 0.7).otherwise(1.0).cast("double")
-    t = t.withColumns({
-        "task_id": F.concat(F.lit("task-"), u % 40), "model": pick(MODELS, u), "agent_name": pick(AGENTS, u), "config_name": pick(CONFIGS, seg),
-        "benchmark": F.concat(F.lit("bench-"), u % 7), "started_at": F.date_format("first_ts", "yyyy-MM-dd'T'HH:mm:ss"), "reward": reward,
-    })
-    full = F.sha2(F.concat_ws("||", "task_id", "config_name", "started_at", "model"), 256)
-    more = {
-        "trial_id": F.substring(full, 1, 32), "trial_id_full": full, "benchmark_source": F.lit("manifest"), "passed": F.coalesce(F.col("reward") > 0, F.lit(False)),
-        "has_verifier_result": F.col("reward").isNotNull(), "has_result_json": F.lit(True), "has_trajectory": F.lit(True), "rate_limited": (u + seg) % 58 == 0,
-        "exception_crashed": (u + seg) % 29 == 0, "duration_seconds": F.floor((F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1_000_000).cast("double"),
-        **call_signals(F.col("calls"), F.col("agent_name")),
-    }
-    path = F.concat(F.lit("runs/"), F.col("config_name"), F.lit("/"), F.col("config_name"), F.lit("_"), F.col("task_id"), F.lit("__"), u, F.lit("-"), seg)
-    return t.select("u", "seg", "started_at", path.alias("trial_path"), *[more.get(k, F.col(k)).cast(v).alias(k) for k, v in SIGNAL_TYPES.items()])
+    given = F.when(u % 2 == 0, F.struct(reward.alias("reward"), F.lit(None).cast("double").alias("score"))).otherwise(F.struct(F.lit(None).cast("double").alias("reward"), reward.alias("score")))
+    task = F.concat(F.lit("task-"), u % 40)
+    result = F.struct(
+        task.alias("task_name"), pick(CONFIGS, seg).alias("config_name"), stamp("first_ts").alias("started_at"), stamp("last_ts").alias("finished_at"),
+        F.struct(pick(AGENTS, u).alias("name"), F.struct(pick(MODELS, u).alias("name")).alias("model_info")).alias("agent_info"),
+        F.when(reward.isNotNull(), F.struct(given.alias("rewards"))).alias("verifier_result"),
+        F.when((u + seg) % 58 == 0, "RateLimitError: rate limit reached").when((u + seg) % 29 == 0, "ValueError: crashed").alias("exception_info"),
+    )
+    path = F.concat(F.lit("runs/"), pick(CONFIGS, seg), F.lit("/"), pick(CONFIGS, seg), F.lit("_"), task, F.lit("__"), u, F.lit("-"), seg)
+    steps = F.transform("steps", lambda x: F.struct(x["tool_calls"], x["observation"]))
+    return t.select(path.alias("trial_path"), F.to_json(result).alias("result"), F.to_json(F.struct(steps.alias("steps"))).alias("trajectory"))
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule engine's rows for all trials, with the trial key."""
-    return keyed_annotations(signals(spark, sf_dir))
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", documents)
+    key = lambda p, i: F.regexp_extract(p, r"__(\d+)-(\d+)$", i).cast("long")
+    out = extract(
+        docs.select("trial_path", F.col("result").alias("raw")), docs.select("trial_path", F.col("trajectory").alias("raw")),
+        resolve_benchmark=lambda p: F.concat(F.lit("bench-"), key(p, 1) % 7),
+    )
+    started = F.get_json_object("result", "$.started_at").alias("started_at")
+    out = out.join(docs.select(F.col("trial_path").alias("p"), started), F.col("trial_path") == F.col("p")) if "started_at" not in SIGNAL_TYPES else out
+    return out.select(key(F.col("trial_path"), 1).alias("u"), key(F.col("trial_path"), 2).alias("seg"), "started_at", "trial_path", *[c for c in SIGNAL_TYPES if c != "started_at"])
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate(sealed(signals(spark, sf_dir))).select("u", "seg", "trial_id", *DIMENSIONS, "categories", "annotation_result_status")
+
+
+DIMENSIONS = ("agent_name", "model", "benchmark", "config_name", "trial_path", "passed", "reward", "has_trajectory")
+_tables: dict[tuple, DataFrame] = {}
+
 
+def table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The table as make() gives it, written once for each session and, where the file system tells it, state of the events."""
+    place = f"{sf_dir}/events.parquet"
+    state = os.stat(place) if os.path.exists(place) else None
+    key = (spark.sparkContext.applicationId, sf_dir, name, state and (state.st_mtime_ns, state.st_size))
+    if key not in _tables:
+        _tables[key] = written(make(spark, sf_dir), f"trials-{name}")
+    return _tables[key]
 
-def keyed_annotations(s: DataFrame) -> DataFrame:
-    rows = annotate(sealed(s)).select("u", "seg", "trial_id", F.posexplode("categories").alias("ordinal", "c"))
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals table of all trials, with the trial key (u, seg), started_at and trial_path."""
+    return table(spark, sf_dir, "signals", _extracted)
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule engine's row for each trial: its key and dimensions, categories and status."""
+    return table(spark, sf_dir, "annotated", _annotated)
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule engine's rows for all trials, with the trial key and the place among a trial's categories."""
+    rows = annotated(spark, sf_dir).select("u", "seg", "trial_id", F.posexplode("categories").alias("ordinal", "c"))
     return rows.select("u", "seg", "trial_id", "ordinal", F.col("c.name").alias("category_name"), F.col("c.confidence").alias("confidence"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories with the dimensions of their trial."""
+    rows = annotated(spark, sf_dir).select("u", "seg", "trial_id", *DIMENSIONS, F.explode("categories").alias("c"))
+    return rows.withColumn("category_name", F.col("c.name")).withColumn("confidence", F.col("c.confidence")).drop("c")
+
+
 def second_opinion(a: DataFrame) -> DataFrame:
     """A second annotator: the rules' rows but for every fifth by (u + seg + length of the name)."""
     return a.filter((F.col("u") + F.col("seg") + F.length("category_name")) % 5 != 0).withColumn("confidence", F.greatest(F.lit(0.0), F.col("confidence") - F.lit(0.125)))
@@ -94,7 +147,8 @@ SQL_SIGNALS = f"""
 steps AS ({_STEPS.format(k="CAST(json_extract_string(props, '$.k') AS INTEGER)", div_day="(day(ts) - 1) // 7", u3="user_id // 3", events="events")}),
 calls AS ({_CALLS}),
 lagged AS (
-  SELECT *, lag(tool) OVER w AS tool_before, lag(coalesce(path, '')) OVER w AS path_before FROM calls WINDOW w AS (PARTITION BY u, seg ORDER BY ts, event_id)
+  SELECT *, lag(tool) OVER w AS tool_before, lag(args) OVER w AS args_before
+  FROM (SELECT *, concat(coalesce(path, ''), '|', CASE WHEN tool IN ('Edit', 'Write', 'NotebookEdit') THEN k ELSE 0 END) AS args FROM calls) WINDOW w AS (PARTITION BY u, seg ORDER BY ts, event_id)
 ), grouped AS (
   SELECT u, seg, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, count(*) FILTER (WHERE is_error) AS errors,
          count(*) FILTER (WHERE tool IN ('Grep', 'Glob', 'mcp__sourcegraph__keyword_search', 'mcp__sourcegraph__diff_search', 'mcp__sourcegraph__commit_search')) AS srch,
@@ -103,7 +157,7 @@ lagged AS (
          count(*) FILTER (WHERE tool IN ('mcp__sourcegraph__nls_search', 'mcp__sourcegraph__deepsearch', 'mcp__sourcegraph__deepsearch_read')) AS sem,
          coalesce(list_sort(list(DISTINCT path) FILTER (WHERE path IS NOT NULL AND tool IN ('Read', 'read_file', 'mcp__sourcegraph__read_file', 'mcp__sourcegraph__go_to_definition', 'mcp__sourcegraph__find_references', 'mcp__sourcegraph__list_files', 'mcp__sourcegraph__compare_revisions'))), []) AS files_read,
          coalesce(list_sort(list(DISTINCT path) FILTER (WHERE path IS NOT NULL AND tool IN ('Edit', 'Write', 'NotebookEdit', 'file_write'))), []) AS files_edited,
-         count(*) FILTER (WHERE tool = tool_before AND coalesce(path, '') = path_before) AS retries,
+         count(*) FILTER (WHERE tool = tool_before AND args = args_before) AS retries,
          coalesce(sum(k) FILTER (WHERE tool IN ('Edit', 'Write', 'NotebookEdit')), 0) AS patch, list(tool ORDER BY ts, event_id) AS seq
   FROM lagged GROUP BY u, seg
 ), named AS (
@@ -117,7 +171,7 @@ lagged AS (
          task_id, model, agent_name, config_name, benchmark, reward, coalesce(reward > 0, false) AS passed, n AS total_turns, n AS tool_calls_total, n AS trajectory_length,
          srch AS search_tool_calls, ed AS edit_tool_calls, nav AS code_nav_tool_calls, sem AS semantic_search_tool_calls, len(files_read) AS unique_files_read,
          len(files_edited) AS unique_files_edited, files_read AS files_read_list, files_edited AS files_edited_list, errors AS error_count, retries AS retry_count,
-         CAST(floor((epoch_us(last_ts) - epoch_us(first_ts)) / 1000000) AS DOUBLE) AS duration_seconds, (u + seg) % 58 = 0 AS rate_limited, (u + seg) % 29 = 0 AS exception_crashed,
+         CAST(epoch(date_trunc('second', last_ts)) - epoch(date_trunc('second', first_ts)) AS DOUBLE) AS duration_seconds, (u + seg) % 58 = 0 AS rate_limited, (u + seg) % 29 = 0 AS exception_crashed,
          CAST(patch AS BIGINT) AS patch_size_lines, seq AS tool_call_sequence, true AS has_trajectory
   FROM named
 )"""
@@ -159,8 +213,8 @@ _SQL_RULES = [
     ("insufficient_provenance", "r > 0 AND tot <= 5 AND srch = 0 AND nav = 0", "0.6"),
 ]
 SQL_ANNOTATIONS = (
-    SQL_SIGNALS + "," + _SHORT + ", annotations AS (\n  "
+    SQL_SIGNALS + "," + _SHORT + ", annotations AS MATERIALIZED (\n  "
     + "\n  UNION ALL ".join(f"SELECT u, seg, trial_id, '{c}' AS category_name, CAST({conf} AS DOUBLE) AS confidence FROM short WHERE {when}" for c, when, conf in _SQL_RULES)
-    + "\n), second AS (SELECT u, seg, trial_id, category_name, greatest(0.0, confidence - 0.125::DOUBLE) AS confidence FROM annotations WHERE (u + seg + length(category_name)) % 5 <> 0)"
+    + "\n), second AS MATERIALIZED (SELECT u, seg, trial_id, category_name, greatest(0.0, confidence - 0.125::DOUBLE) AS confidence FROM annotations WHERE (u + seg + length(category_name)) % 5 <> 0)"
 )
-__all__ = ["SQL_ANNOTATIONS", "SQL_SIGNALS", "annotations", "calls", "keyed_annotations", "narrow", "second_opinion", "signals"]
+__all__ = ["SQL_ANNOTATIONS", "SQL_SIGNALS", "annotated", "annotations", "calls", "documents", "labels", "narrow", "second_opinion", "signals"]

@@ -34,14 +34,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_DIMENSIONS = ("agent_name", "model", "benchmark", "config_name", "trial_path", "passed", "reward", "has_trajectory")
-
-
-def _labels(s: DataFrame) -> DataFrame:
-    """Categories with the dimensions of their trial: one projection over the signals, which are sealed since every rule uses them."""
-    from ..operators.rules import annotate
-
-    return annotate(C.sealed(s)).select("u", "seg", "trial_id", *_DIMENSIONS, F.explode("categories").alias("c")).withColumn("category_name", F.col("c.name")).withColumn("confidence", F.col("c.confidence")).drop("c")
+_DIMENSIONS = adapter.DIMENSIONS
 
 
 _LABELS = A + f", labels AS (SELECT s.u, s.seg, s.trial_id, {', '.join('s.' + c for c in _DIMENSIONS)}, a.category_name, a.confidence FROM annotations a JOIN signals s ON a.u = s.u AND a.seg = s.seg)"
@@ -176,16 +169,12 @@ def rules_all(spark, d):
 
 @query(A + " SELECT s.u, s.seg, CASE WHEN count(a.category_name) > 0 THEN 'ok' ELSE 'no_categories' END AS status, count(a.category_name) AS n FROM signals s LEFT JOIN annotations a ON s.u = a.u AND s.seg = a.seg GROUP BY s.u, s.seg")
 def rule_status(spark, d):
-    from ..operators.rules import annotate
-
-    return annotate(C.sealed(adapter.signals(spark, d))).select("u", "seg", F.col("annotation_result_status").alias("status"), F.size("categories").cast("long").alias("n"))
+    return adapter.annotated(spark, d).select("u", "seg", F.col("annotation_result_status").alias("status"), F.size("categories").cast("long").alias("n"))
 
 
 @query(A + ", t AS (SELECT CASE WHEN count(a.category_name) > 0 THEN 'ok' ELSE 'no_categories' END AS s FROM signals x LEFT JOIN annotations a ON x.u = a.u AND x.seg = a.seg GROUP BY x.u, x.seg) SELECT count(*) FILTER (WHERE s = 'ok') AS ok, count(*) FILTER (WHERE s = 'no_categories') AS no_categories, 0::BIGINT AS error, count(*) AS total FROM t")
 def status_counts(spark, d):
-    from ..operators.rules import annotate
-
-    return stats.status_counts(annotate(C.sealed(adapter.signals(spark, d))))
+    return stats.status_counts(adapter.annotated(spark, d))
 
 
 # Report aggregates ----------------------------------------------------------------------------------------------------------------
@@ -229,17 +218,17 @@ def corpus_stats(spark, d):
 any_value(t) AS denominator, count(*)::DOUBLE / any_value(t) AS rate FROM annotations, n GROUP BY category_name""")
 def category_rates(spark, d):
     s = adapter.signals(spark, d)
-    return report.category_rates(_labels(s), s)
+    return report.category_rates(adapter.labels(spark, d), s)
 
 
 @query(_LABELS + " SELECT config_name, category_name, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY config_name) AS BIGINT) AS slice_total FROM labels GROUP BY config_name, category_name")
 def category_by_config(spark, d):
-    return report.category_by(_labels(adapter.signals(spark, d)), "config_name")
+    return report.category_by(adapter.labels(spark, d), "config_name")
 
 
 @query(_LABELS + " SELECT benchmark, category_name, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY benchmark) AS BIGINT) AS slice_total FROM labels GROUP BY benchmark, category_name")
 def category_by_suite(spark, d):
-    return report.category_by(_labels(adapter.signals(spark, d)), "benchmark")
+    return report.category_by(adapter.labels(spark, d), "benchmark")
 
 
 @query(_LABELS + """, c AS (SELECT DISTINCT task_id AS task, config_name AS cfg FROM signals), k AS (SELECT DISTINCT s.task_id AS task, l.config_name AS cfg, l.category_name FROM labels l JOIN signals s ON l.u = s.u AND l.seg = s.seg),
@@ -249,7 +238,7 @@ o AS (SELECT g.cfg_a, g.cfg_b, shared, category_name, CAST(delta AS BIGINT) AS d
 SELECT * FROM o WHERE place <= 5""")
 def paired_config_deltas(spark, d):
     s = adapter.signals(spark, d)
-    return report.paired_deltas(_labels(s), s).withColumn("place", F.col("place").cast("long"))
+    return report.paired_deltas(adapter.labels(spark, d), s).withColumn("place", F.col("place").cast("long"))
 
 
 _TAX = "tax(category_name, dimension, polarity) AS (VALUES " + ", ".join(f"('{c['name']}', '{c['dimension']}', '{c['polarity']}')" for c in report.taxonomy.CATEGORIES) + ")"
@@ -257,18 +246,18 @@ _TAX = "tax(category_name, dimension, polarity) AS (VALUES " + ", ".join(f"('{c[
 
 @query(_LABELS + f", {_TAX}, x AS (SELECT DISTINCT l.u, l.seg, dimension, passed FROM labels l JOIN tax USING (category_name)) SELECT dimension, count(*) AS trials, count(*) FILTER (WHERE NOT passed) AS failed, count(*) FILTER (WHERE NOT passed)::DOUBLE / count(*) AS failure_rate FROM x GROUP BY dimension")
 def dimension_rollup(spark, d):
-    return report.dimension_rollup(_labels(adapter.signals(spark, d)).withColumn("trial_id", F.concat_ws("/", "u", "seg")))
+    return report.dimension_rollup(adapter.labels(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")))
 
 
 @query(_LABELS + f", {_TAX}, own AS (SELECT * FROM labels JOIN tax USING (category_name) WHERE polarity = 'failure'), top AS (SELECT category_name, count(*) AS n FROM own GROUP BY ALL ORDER BY n DESC, category_name LIMIT 5), r AS (SELECT category_name, n, row_number() OVER (PARTITION BY category_name ORDER BY concat(own.u, '/', own.seg)) AS place, concat(own.u, '/', own.seg) AS trial_id FROM own JOIN top USING (category_name)) SELECT * FROM r WHERE place <= 3")
 def top_categories_examples(spark, d):
-    out = report.top_categories(_labels(adapter.signals(spark, d)).withColumn("trial_id", F.concat_ws("/", "u", "seg")), "failure")
+    out = report.top_categories(adapter.labels(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")), "failure")
     return out.withColumn("place", F.col("place").cast("long"))
 
 
 @query(_LABELS + ", c AS (SELECT benchmark, category_name, count(*) AS n FROM labels WHERE NOT passed GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY n DESC, category_name) AS place FROM c) SELECT * FROM r WHERE place <= 3")
 def top_failures_per_benchmark(spark, d):
-    return report.top_failures(_labels(adapter.signals(spark, d)), "benchmark").withColumn("place", F.col("place").cast("long"))
+    return report.top_failures(adapter.labels(spark, d), "benchmark").withColumn("place", F.col("place").cast("long"))
 
 
 # Statistics -----------------------------------------------------------------------------------------------------------------------

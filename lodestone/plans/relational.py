@@ -9,7 +9,7 @@ from ..operators import model, report, store
 from ..operators.signals import normalize_lists
 from ..streaming import trials as streaming
 from . import adapter
-from .queries import _LABELS, A, S, _labels, _table, query
+from .queries import _LABELS, A, S, _table, query
 
 # Joins ----------------------------------------------------------------------------------------------------------------------------
 
@@ -17,7 +17,7 @@ from .queries import _LABELS, A, S, _labels, _table, query
 @query(_LABELS + " SELECT model, category_name, count(*) AS n, round(avg(confidence), 9) AS mean_confidence FROM labels WHERE passed GROUP BY ALL")
 def signals_annotations_join(spark, d):
     s = adapter.signals(spark, d)
-    a = adapter.keyed_annotations(s).select("u", "seg", "category_name", "confidence")
+    a = adapter.annotations(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")).select("u", "seg", "category_name", "confidence")
     j = s.filter("passed").select("u", "seg", "model").join(a, ["u", "seg"])
     return j.groupBy("model", "category_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("mean_confidence"))
 
@@ -203,14 +203,14 @@ def lr_predict(spark, d):
 @query(A + ", " + _PROBABILITY.removeprefix(S + ", ") + ", h AS (SELECT u, seg, category AS c FROM p WHERE probability >= 0.5), g AS (SELECT u, seg, category_name AS c FROM annotations WHERE category_name IN ('near_miss', 'clean_success')), f AS (SELECT coalesce(h.c, g.c) AS c, h.c IS NOT NULL AS p, g.c IS NOT NULL AS g FROM h FULL JOIN g ON h.u = g.u AND h.seg = g.seg AND h.c = g.c) SELECT c AS category_name, count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM f GROUP BY c")
 def classifier_confusion(spark, d):
     s = adapter.signals(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg"))
-    labels = adapter.keyed_annotations(s).filter(F.col("category_name").isin(*_WEIGHTS))
+    labels = adapter.annotations(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")).filter(F.col("category_name").isin(*_WEIGHTS))
     return model.evaluate(model.predict(s, _fixed_model(spark)), labels).select("category_name", "tp", "fp", "fn")
 
 
 @query(A + ", " + _PROBABILITY.removeprefix(S + ", ") + " SELECT u, seg, category_name, 'heuristic' AS tier FROM annotations WHERE category_name IN ('exception_crash', 'rate_limited_run', 'edit_verify_loop_failure') UNION ALL SELECT u, seg, category, 'classifier' FROM p WHERE probability >= 0.5")
 def ensemble_labels(spark, d):
     s = adapter.signals(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg"))
-    out = model.ensemble(adapter.keyed_annotations(s), model.predict(s, _fixed_model(spark)))
+    out = model.ensemble(adapter.annotations(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")), model.predict(s, _fixed_model(spark)))
     part = lambda i: F.split("trial_id", "/")[i].cast("long")
     return out.select(part(0).alias("u"), part(1).alias("seg"), "category_name", "tier")
 
@@ -224,7 +224,7 @@ def trust_gate(spark, d):
 
 @query(_LABELS + ", j AS (SELECT DISTINCT trial_path, category_name FROM labels WHERE u % 2 = 0 AND category_name <> 'near_miss'), h AS (SELECT DISTINCT trial_path, category_name FROM labels WHERE category_name IN ('tool_argument_error', 'incomplete_solution', 'near_miss', 'minimal_progress', 'premature_termination')) SELECT trial_path, category_name, 'llm' AS source FROM j UNION ALL SELECT trial_path, category_name, 'heuristic' FROM h WHERE (trial_path, category_name) NOT IN (SELECT (trial_path, category_name) FROM j)")
 def blend_labels(spark, d):
-    labels = _labels(adapter.signals(spark, d)).select("u", "trial_path", "category_name", "confidence")
+    labels = adapter.labels(spark, d).select("u", "trial_path", "category_name", "confidence")
     judged = labels.filter("u % 2 = 0 AND category_name <> 'near_miss'")
     return model.blend(labels, judged).select("trial_path", "category_name", "source")
 
@@ -232,8 +232,8 @@ def blend_labels(spark, d):
 @query()
 def lr_train(spark, d):
     s = adapter.signals(spark, d)
-    labels = _labels(s).filter(F.col("category_name").isin("clean_success", "verification_skipped")).select("trial_id", "category_name")
-    return model.train(labels, s, epochs=100).select("category", "n_positive", "n_negative", "train_f1", "eval_f1", "cv_ece", "cv_status")
+    labels = adapter.labels(spark, d).select("trial_id", "category_name")
+    return model.train(labels, s).select("category", "n_positive", "n_negative", "train_f1", "eval_f1", "cv_ece", "cv_status")
 
 
 # Windows over events as a stream would compute them ---------------------------------------------------------------------------------
