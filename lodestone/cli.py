@@ -16,8 +16,8 @@ from . import taxonomy
 from .functions.columns import core_task_name  # noqa: F401  part of the SQL functions
 from .operators import annotators, incremental, model, render, rules, sampling, signals, stats, textops
 from .operators.store import AnnotationStore, resolve_alias
-from .schemas import ANNOTATION_VERSION, TABLES, render_doc
-from .session import session
+from .schemas import ANNOTATION_VERSION, REDACTED, TABLES, render_doc
+from .session import session, written
 from .sources import readers, sinks, suites
 from .sql import MissingTableError, Session
 
@@ -28,36 +28,46 @@ def _now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def _extract(spark: SparkSession, a) -> DataFrame:
+def _suites(spark: SparkSession, a) -> DataFrame | None:
     mapping = suites.load_mapping(a.manifest) if getattr(a, "manifest", None) else {}
-    return signals.extract(readers.trial_results(spark, a.runs_dir), readers.trajectories(spark, a.runs_dir), suites=suites.table(spark, mapping) if mapping else None)
+    return suites.table(spark, mapping) if mapping else None
 
 
 def extract(spark: SparkSession, a) -> int:
-    if a.cache_dir:
-        results = readers.trial_results(spark, a.runs_dir).join(readers.trajectories(spark, a.runs_dir).withColumnRenamed("raw", "t"), "trial_path", "left")
-        hashed = results.select("trial_path", incremental.content_hash(F.col("raw"), F.col("t")).alias("content_hash"))
-        done = _extract(spark, a).join(hashed, "trial_path")
-        if os.path.isdir(a.cache_dir):
-            cached = spark.read.parquet(a.cache_dir)
-            hits, todo = incremental.split_by_cache(hashed, cached, "content_hash")
-            done = done.join(todo.select("trial_path"), "trial_path", "left_semi").unionByName(hits.drop("trial_path").join(hashed, "content_hash"), allowMissingColumns=True)
-        rows = done
-        incremental.put(a.cache_dir, rows, "content_hash")
-        return sinks.write_single(rows.drop("content_hash"), a.output)
-    return sinks.write_single(_extract(spark, a), a.output)
+    """With a cache, only documents whose content it does not know are parsed."""
+    results, trajectories = readers.trial_documents(readers.listing(spark, a.runs_dir))
+    if not a.cache_dir:
+        return sinks.write_single(signals.extract(results, trajectories, suites=_suites(spark, a)), a.output)
+    both = results.join(trajectories.withColumnRenamed("raw", "t"), "trial_path", "left")
+    docs = written(both.withColumn("content_hash", incremental.content_hash(F.col("raw"), F.col("t"))), "documents")
+    rows, todo = None, docs
+    if os.path.isdir(a.cache_dir):
+        hits, todo = incremental.split_by_cache(docs, spark.read.parquet(a.cache_dir), "content_hash")
+        rows = hits.drop("trial_path").join(docs.select("trial_path", "content_hash"), "content_hash")
+    fresh = signals.extract(todo.select("trial_path", "raw"), todo.filter("t is not null").select("trial_path", F.col("t").alias("raw")), suites=_suites(spark, a))
+    fresh = written(fresh.join(docs.select("trial_path", "content_hash"), "trial_path"), "extracted")
+    rows = fresh if rows is None else rows.unionByName(fresh, allowMissingColumns=True)
+    n = sinks.write_single(rows.drop("content_hash"), a.output)
+    incremental.put(a.cache_dir, fresh, "content_hash")
+    return n
 
 
 def ingest(spark: SparkSession, a) -> int:
-    """Only changed trials are read again; the output has all of them, or in delta mode the changed ones."""
-    found = readers.trial_results(spark, a.runs_dir).select("trial_path", F.unix_micros("modified").alias("modified"), "size")
-    state = spark.read.schema("trial_path string, modified long, size long").json(a.state) if a.state and os.path.exists(a.state) else None
-    todo = incremental.changed(found, state).select("trial_path").distinct()
-    delta = _extract(spark, a).join(todo, "trial_path", "left_semi")
+    """Changed trials are found by the metadata of their files, and only theirs are opened; the output has all trials, or in delta mode
+    the changed ones."""
+    found = written(readers.listing(spark, a.runs_dir), "listing")
+    state = spark.read.schema("trial_path string, path string, modified long, size long").json(a.state) if a.state and os.path.exists(a.state) else None
     old = readers.signals(spark, a.output) if a.mode == "merge" and os.path.exists(a.output) and state is not None else None
-    n = sinks.write_single(incremental.merge_signals(old, delta), a.output)
+    if a.mode == "merge" and old is None:
+        state = None  # without the earlier output there is nothing to merge into
+    todo = written(incremental.changed_trials(found, state), "changed")
+    results, trajectories = readers.trial_documents(found.join(todo, "trial_path", "left_semi"))
+    delta = written(signals.extract(results, trajectories, suites=_suites(spark, a)), "delta")
+    # of changed trials that are none any more nothing stays
+    kept = old.join(todo, "trial_path", "left_anti") if old is not None else None
+    n = sinks.write_single(delta if kept is None else kept.unionByName(delta, allowMissingColumns=True), a.output)
     if a.state:
-        sinks.write_single(found, a.state)
+        sinks.write_single(found.select("trial_path", "path", "modified", "size"), a.state)
     return n
 
 
@@ -69,11 +79,24 @@ def annotate(spark: SparkSession, a) -> int:
     return n
 
 
+def prompts(s: DataFrame, files: DataFrame) -> DataFrame:
+    """(trial_id, prompt, keyed_text) of signals with a trial_path, from the listed files of their trials."""
+    texts = readers.contents(files.join(s.select("trial_path").distinct(), "trial_path", "left_semi"))
+    _, steps = readers.trial_documents(files.join(s.select("trial_path").distinct(), "trial_path", "left_semi"))
+    told = texts.filter((F.col("name") == "instruction.txt") & F.col("nested")).select("trial_path", F.col("raw").alias("_told"))
+    rows = s.withColumn("_signals", textops.redacted_json(s, (*REDACTED, "trial_path"))).join(steps.select("trial_path", F.col("raw").alias("_raw")), "trial_path", "left").join(told, "trial_path", "left")
+    rows = rows.withColumn("_nonce", F.expr("uuid()"))  # a column of its own, so that both tags have the same
+    make = lambda nonce: textops.prompt(taxonomy.prompt_text(), F.col("_told"), textops.trajectory_text(F.col("_raw")), F.col("_signals"), nonce)
+    return rows.select("trial_id", make(F.col("_nonce")).alias("prompt"), make(None).alias("keyed_text"))
+
+
 def llm_annotate(spark: SparkSession, a) -> int:
     s = readers.signals(spark, a.signals).filter("has_trajectory")
     s = sampling.simple(s, "trial_id", a.sample_size, a.seed) if a.sample_size else s
-    text = textops.prompt(", ".join(taxonomy.NAMES), F.lit(""), F.array_join("tool_call_sequence", " "), textops.redacted_json(s))
-    out = annotators.annotate(s.select("trial_id", text.alias("prompt")), a.model, annotators.backend(a.backend))
+    first, last = s.agg(F.min("trial_path"), F.max("trial_path")).first()
+    root = a.runs_dir or (os.path.commonpath([first, last]) if first and last else ".")  # of sorted paths the outer two share what all do
+    out = annotators.annotate(prompts(s, readers.listing(spark, root)), a.model, annotators.backend(a.backend))
+    out = written(out, "annotated")  # a reply is asked for once
     n = sinks.write_single(out, a.output, ANNOTATION_VERSION)
     if a.annotations_out:
         rows = rules.narrow(out, "llm", resolve_alias(a.model), at=_now())
@@ -86,7 +109,12 @@ def _assigned(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blend(spark: SparkSession, a) -> int:
-    out = model.blend(_assigned(spark, a.heuristic), _assigned(spark, a.llm), cap=a.cap)
+    trust = model.TRUSTED_RULES
+    if a.calibration:
+        with open(a.calibration, encoding="utf-8") as f:
+            scored = json.load(f).get("categories", {})
+        trust = tuple(k for k, v in scored.items() if (v.get("f1") or 0) >= a.trust_threshold)
+    out = model.blend(_assigned(spark, a.heuristic), _assigned(spark, a.llm), trust, a.cap)
     return sinks.write_single(out, a.output, ANNOTATION_VERSION)
 
 
@@ -96,19 +124,26 @@ def _labels(spark: SparkSession, path: str, s: DataFrame) -> DataFrame:
 
 def train(spark: SparkSession, a) -> int:
     s = readers.signals(spark, a.signals)
-    m = model.train(_labels(spark, a.labels, s), s, min_positive=a.min_positive)
-    model.save(m, a.output)
+    labels = _labels(spark, a.labels, s)
+    model.save(model.train(labels, s, min_positive=a.min_positive, rate=a.lr, epochs=a.epochs, folds=a.cv_folds), a.output)
+    if a.eval:
+        judged = s.join(labels.select("trial_id").distinct(), "trial_id", "left_semi")
+        print(render.evaluation_markdown(model.evaluate(model.predict(judged, model.load(spark, a.output)), labels)))
     return len(json.load(open(a.output))["categories"])  # noqa: SIM115
 
 
 def predict(spark: SparkSession, a) -> int:
-    return sinks.write_single(model.predict(readers.signals(spark, a.signals), model.load(spark, a.model), a.threshold), a.output, ANNOTATION_VERSION)
+    out = model.predict(readers.signals(spark, a.signals), model.load(spark, a.model), a.threshold)
+    if a.annotations_out:
+        rows = out.select("trial_id", "category_name", "confidence", F.lit("classifier").alias("annotator_type"), F.lit("classifier:trained-model").alias("annotator_identity"), F.lit(taxonomy.VERSION).alias("taxonomy_version"), F.lit(_now()).alias("annotated_at"))
+        AnnotationStore(spark, a.annotations_out).upsert(rows.dropDuplicates(["trial_id", "category_name"]), taxonomy.VERSION)
+    return sinks.write_single(out, a.output, ANNOTATION_VERSION)
 
 
 def ensemble(spark: SparkSession, a) -> int:
     s, m = readers.signals(spark, a.signals), model.load(spark, a.model)
     ruled = rules.narrow(rules.annotate(s))
-    out = model.ensemble(ruled, model.predict(s, model.trusted(m, a.min_f1), a.threshold))
+    out = model.ensemble(ruled, model.predict(s, model.trusted(m, a.min_f1, a.max_ece), a.threshold))
     for r in model.tier_counts(out).collect():
         log.info("%s: %d", r["tier"], r["n"])
     if a.annotations_out:
@@ -122,12 +157,27 @@ def report(spark: SparkSession, a) -> int:
 
 
 def calibrate(spark: SparkSession, a) -> int:
-    p, g = (_assigned(spark, x).withColumnRenamed("trial_path", "trial_id") for x in (a.predictor, a.golden))
-    pairs = stats.calibration_pairs(p, g)
+    if bool(a.reference) == bool(a.golden_dir):
+        raise ValueError("calibrate needs either a reference or a golden directory")
+    p = _assigned(spark, a.predictor).withColumnRenamed("trial_path", "trial_id")
+    if a.golden_dir:
+        g = readers.golden_corpus(spark, a.golden_dir).select("trial_id", F.explode_outer("categories").alias("c")).select("trial_id", F.col("c.name").alias("category_name")).filter("category_name is not null")
+    else:
+        g = _assigned(spark, a.reference).withColumnRenamed("trial_path", "trial_id")
+    pairs = written(stats.calibration_pairs(p, g), "pairs")
     stats.validate_pairs(pairs)
     by = ("category_name",)
-    binned = stats.reliability(pairs, by, weight=F.col("weight"))
-    print(render.calibration_markdown(stats.confusion(p, g), stats.ece(binned, by), stats.brier(pairs, by, F.col("weight")), binned))
+    binned, scores = stats.reliability(pairs, by, weight=F.col("weight")), stats.confusion(p, g)
+    text = render.calibration_markdown(scores, stats.ece(binned, by), stats.brier(pairs, by, F.col("weight")), binned)
+    if not a.output_dir:
+        print(text)
+        return 0
+    os.makedirs(a.output_dir, exist_ok=True)
+    with open(f"{a.output_dir}/calibration.md", "w", encoding="utf-8") as f:
+        f.write(text)
+    rows = scores.join(stats.ece(binned, by).select("category_name", "ece"), "category_name", "left").join(stats.brier(pairs, by, F.col("weight")).select("category_name", "brier"), "category_name", "left")
+    with open(f"{a.output_dir}/calibration.json", "w", encoding="utf-8") as f:  # a row for each category
+        json.dump({"categories": {r["category_name"]: {k: v for k, v in r.asDict().items() if k != "category_name"} for r in rows.orderBy("category_name").collect()}}, f, indent=2)
     return 0
 
 
@@ -175,16 +225,16 @@ def pipeline_run(spark: SparkSession | None, a) -> int:
 _O = lambda *flags, **kw: (flags, kw)
 _NEED = {"required": True}
 COMMANDS: dict[str, tuple] = {
-    "extract": (extract, True, [_O("--runs-dir", **_NEED), _O("--output", **_NEED), _O("--cache-dir")]),
+    "extract": (extract, True, [_O("--runs-dir", **_NEED), _O("--output", **_NEED), _O("--cache-dir"), _O("--manifest")]),
     "ingest": (ingest, True, [_O("--runs-dir", **_NEED), _O("--output", **_NEED), _O("--manifest"), _O("--state"), _O("--mode", choices=("merge", "delta"), default="merge")]),
     "annotate": (annotate, True, [_O("--signals", **_NEED), _O("--output", **_NEED), _O("--annotations-out")]),
-    "llm-annotate": (llm_annotate, True, [_O("--signals", **_NEED), _O("--output", **_NEED), _O("--annotations-out"), _O("--sample-size", type=int), _O("--seed", type=int, default=0), _O("--model", default="haiku"), _O("--backend", default="offline")]),
-    "blend": (blend, True, [_O("--heuristic", **_NEED), _O("--llm", **_NEED), _O("--output", **_NEED), _O("--cap", type=int)]),
-    "train": (train, True, [_O("--labels", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--min-positive", type=int, default=3)]),
-    "predict": (predict, True, [_O("--model", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--threshold", type=float, default=0.5)]),
-    "ensemble": (ensemble, True, [_O("--model", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--threshold", type=float, default=0.5), _O("--min-f1", type=float, default=0.7), _O("--annotations-out")]),
+    "llm-annotate": (llm_annotate, True, [_O("--signals", **_NEED), _O("--output", **_NEED), _O("--annotations-out"), _O("--runs-dir"), _O("--sample-size", type=int), _O("--seed", type=int, default=0), _O("--model", default="haiku"), _O("--backend", default="offline")]),
+    "blend": (blend, True, [_O("--heuristic", **_NEED), _O("--llm", **_NEED), _O("--output", **_NEED), _O("--cap", "--max-heuristic-samples", type=int, default=2000), _O("--calibration"), _O("--trust-threshold", type=float, default=0.7)]),
+    "train": (train, True, [_O("--labels", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--min-positive", type=int, default=3), _O("--lr", type=float, default=0.1), _O("--epochs", type=int, default=300), _O("--cv-folds", type=int, default=5), _O("--eval", action="store_true")]),
+    "predict": (predict, True, [_O("--model", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--threshold", type=float, default=0.5), _O("--annotations-out")]),
+    "ensemble": (ensemble, True, [_O("--model", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--threshold", type=float, default=0.5), _O("--min-f1", type=float, default=0.7), _O("--max-ece", type=float), _O("--annotations-out")]),
     "report": (report, True, [_O("--annotations", **_NEED), _O("--output", **_NEED)]),
-    "calibrate": (calibrate, True, [_O("--predictor", **_NEED), _O("--golden", **_NEED)]),
+    "calibrate": (calibrate, True, [_O("--predictor", **_NEED), _O("--reference", "--golden"), _O("--golden-dir"), _O("--output-dir")]),
     "agreement": (agreement, True, [_O("--annotations", **_NEED)]),
     "validate": (validate, True, [_O("--annotations", **_NEED)]),
     "query": (query, True, [_O("sql"), _O("--data-dir", default="data"), _O("--format", choices=("table", "json", "jsonl", "csv"), default="table")]),

@@ -36,7 +36,7 @@ class OfflineAnnotator:
     """Finds category names in the prompt's trajectory: deterministic, for tests and dry runs."""
 
     def __call__(self, prompt: str, model: str) -> str:
-        body = prompt.split("<untrusted", 1)[-1].lower()
+        body = prompt.rpartition("## Trajectory")[2].lower()
         found = [n for n in NAMES if n in body]
         return '{"categories": [' + ", ".join(f'{{"name": "{n}", "confidence": 0.6, "evidence": "named"}}' for n in found) + "]}"
 
@@ -50,7 +50,9 @@ def annotate(prompts: DataFrame, model: str, make: Callable[[], Annotator], cach
     A partition is a worker with one backend, so concurrency is the number of partitions. Replies in the cache (cache_key, reply)
     are not asked for again; errors are never cached.
     """
-    keyed = prompts.withColumn("cache_key", cache_key(F.col("prompt"), F.lit(model)))
+    # what the key is made of: the prompt without its nonce, if the caller gives it
+    asked_for = F.col("keyed_text") if "keyed_text" in prompts.columns else F.col("prompt")
+    keyed = prompts.withColumn("cache_key", cache_key(asked_for, F.lit(model))).drop("keyed_text")
     known = None
     if cache is not None:
         known = keyed.join(cache.select("cache_key", "reply").dropDuplicates(["cache_key"]), "cache_key").withColumn("error", F.lit(None).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shlex
 import subprocess
 import tomllib
 from collections.abc import Callable
@@ -34,10 +35,18 @@ def put(cache_path: str, rows: DataFrame, key: str) -> None:
 
 
 def changed(files: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Files (trial_path, modified, size) that are new or differ from the recorded state."""
+    """Files (path, modified, size, ...) that are new or differ from the recorded state."""
     if state is None:
         return files
-    return files.join(state.select("trial_path", "modified", "size"), ["trial_path", "modified", "size"], "left_anti")
+    return files.join(state.select("path", "modified", "size"), ["path", "modified", "size"], "left_anti")
+
+
+def changed_trials(files: DataFrame, state: DataFrame | None) -> DataFrame:
+    """(trial_path) with a new, changed or vanished file; by metadata alone."""
+    touched = changed(files, state).select("trial_path")
+    if state is not None:
+        touched = touched.unionByName(state.join(files.select("path"), "path", "left_anti").select("trial_path"))
+    return touched.distinct()
 
 
 def merge_signals(old: DataFrame | None, delta: DataFrame) -> DataFrame:
@@ -82,25 +91,27 @@ class Pipeline:
             spec = tomllib.loads(p.read_text())
         except (OSError, tomllib.TOMLDecodeError) as e:
             raise PipelineError(f"{path}: {e}") from e
-        rows = spec.get("stage") or spec.get("stages")
-        if not isinstance(rows, list) or not rows:
-            raise PipelineError(f"{path}: no stages")
+        rows = spec.get("stage")
+        if not isinstance(rows, list):
+            raise PipelineError(f"{path}: no [[stage]] tables")
         stages, seen = [], set()
         for r in rows:
-            name, command = r.get("name"), r.get("command")
-            if not name or not command or name in seen:
-                raise PipelineError(f"{path}: a stage needs a name of its own and a command")
-            seen.add(name)
-            stages.append(Stage(name, tuple(command.split() if isinstance(command, str) else command), tuple(r.get("inputs", ())), tuple(r.get("outputs", ()))))
+            if not isinstance(r, dict) or not {"name", "command", "inputs", "outputs"} <= set(r) or r["name"] in seen or not r["command"]:
+                raise PipelineError(f"{path}: a stage needs a name of its own, a command, inputs and outputs")
+            seen.add(r["name"])
+            command = r["command"]
+            stages.append(Stage(r["name"], tuple(shlex.split(command) if isinstance(command, str) else command), tuple(r["inputs"]), tuple(r["outputs"])))
         return cls(p.parent, stages, p.parent / ".pipeline_state.json")
 
-    def fingerprint(self, stage: Stage) -> str:
-        h = hashlib.sha256()
+    def fingerprint(self, stage: Stage) -> str | None:
+        """A digest of the names and contents of all input files; None if there is none."""
+        found = {}
         for pattern in stage.inputs:
             base = self.root / pattern
-            for f in sorted([base] if base.is_file() else [x for x in base.rglob("*") if x.is_file()]):
-                h.update(str(f.relative_to(self.root)).encode() + b"\0" + hashlib.sha256(f.read_bytes()).digest())
-        return h.hexdigest()
+            for f in [base] if base.is_file() else base.rglob("*"):
+                if f.is_file():
+                    found[os.path.relpath(f, self.root)] = hashlib.sha256(f.read_bytes()).hexdigest()
+        return hashlib.sha256(json.dumps(sorted(found.items())).encode()).hexdigest() if found else None
 
     def state(self) -> dict:
         try:
@@ -111,9 +122,11 @@ class Pipeline:
     def why_stale(self, stage: Stage, state: dict) -> str:
         if any(not (self.root / o).exists() for o in stage.outputs):
             return "an output is missing"
+        if (now := self.fingerprint(stage)) is None:
+            return ""  # nothing to work on: running it again and again would change nothing
         if stage.name not in state:
             return "it has not run yet"
-        return "" if state[stage.name] == self.fingerprint(stage) else "its inputs have changed"
+        return "" if state[stage.name] == now else "its inputs have changed"
 
     def run(self, runner: Callable[[tuple[str, ...], Path], int] | None = None, force: bool = False) -> list[StageResult]:
         """Runs what is stale, in order; stops at the first failure; records each success at once."""
@@ -127,7 +140,8 @@ class Pipeline:
             if runner(s.command, self.root) != 0:
                 self.results.append(StageResult(s.name, "failed", why))
                 break
-            state[s.name] = self.fingerprint(s)
+            if (now := self.fingerprint(s)) is not None:
+                state[s.name] = now
             tmp = self.state_path.with_suffix(".tmp")
             tmp.write_text(json.dumps(state, indent=2))
             os.replace(tmp, self.state_path)

@@ -82,16 +82,33 @@ def versions(rows: DataFrame) -> list[str]:
 
 
 class AnnotationStore:
-    """A Parquet table in a directory, replaced as a whole by renaming; one writer at a time by a lock file."""
+    """Annotation rows in a directory, by buckets of trials: a batch rewrites the buckets that it touches and no others.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    The pointer file names the directory of each bucket. A new generation is written beside the old one and becomes valid by replacing
+    the pointer, which is one atomic step; until then, and after a failure, readers see the old generation. Directories of the generation
+    before stay until the next batch, for readers that have begun. One writer at a time, by a lock file; the directory is local or mounted.
+    """
 
-    def read(self) -> DataFrame:
-        if not os.path.isdir(self.path):
+    BUCKETS, POINTER = 64, "_current.json"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.new_buckets = spark, path.rstrip("/"), buckets
+
+    def _pointer(self) -> dict:
+        try:
+            with open(f"{self.path}/{self.POINTER}", encoding="utf-8") as f:
+                return json.load(f)
+        except FileNotFoundError:
+            return {"buckets": self.new_buckets, "places": {}, "rows": {}, "before": []}
+
+    def _rows(self, places: list[str]) -> DataFrame:
+        """The rows of some buckets' directories; keys are unique within them."""
+        if not places:
             return self.spark.createDataFrame([], ANNOTATIONS)
-        rows = self.spark.read.schema(ANNOTATIONS).parquet(self.path)
-        return last_writes(rows.withColumn("_o", F.monotonically_increasing_id()), "_o").drop("_o")
+        return self.spark.read.schema(ANNOTATIONS).parquet(*[f"{self.path}/{p}" for p in places])
+
+    def read(self) -> DataFrame:
+        return self._rows(sorted(self._pointer()["places"].values()))
 
     def meta(self) -> dict:
         try:
@@ -102,7 +119,7 @@ class AnnotationStore:
 
     @contextlib.contextmanager
     def _locked(self) -> Iterator[None]:
-        os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
+        os.makedirs(self.path, exist_ok=True)
         with open(self.path + ".lock", "w") as lock:
             fcntl.flock(lock, fcntl.LOCK_EX)
             yield
@@ -117,20 +134,37 @@ class AnnotationStore:
         if twice := duplicate_keys(rows).limit(1).collect():
             raise DuplicateKeyError(f"the batch has a key twice: {twice[0].asDict()}")
         with self._locked():
-            old = self.read()
-            if (have := self.meta().get("taxonomy_version", taxonomy_version)) != taxonomy_version:
-                raise MixedVersionError(f"the store has taxonomy version {have}, not {taxonomy_version}")
-            merged = last_writes(old.withColumn("_o", F.lit(0)).unionByName(rows.withColumn("_o", F.lit(1))), "_o").drop("_o")
-            new = f"{self.path}.new-{uuid.uuid4().hex}"
-            merged.orderBy(*ANNOTATION_KEY).write.option("compression", "zstd").parquet(new)
-            n = self.spark.read.schema(ANNOTATIONS).parquet(new).count()
-            gone = f"{self.path}.old-{uuid.uuid4().hex}"
-            if os.path.isdir(self.path):
-                os.rename(self.path, gone)
-            os.rename(new, self.path)
-            shutil.rmtree(gone, ignore_errors=True)
+            have = {"taxonomy_version": taxonomy_version, "schema_version": schema_version} | self.meta()
+            for name, wanted in (("taxonomy_version", taxonomy_version), ("schema_version", schema_version)):
+                if have[name] != wanted:
+                    raise MixedVersionError(f"the store has {name} {have[name]}, not {wanted}")
+            pointer = self._pointer()
+            bucket = F.pmod(F.xxhash64(F.coalesce("trial_id", F.lit(""))), F.lit(pointer["buckets"])).cast("int")
+            touched = [str(r[0]) for r in rows.select(bucket).distinct().collect()]  # at most all buckets
+            old = self._rows([pointer["places"][t] for t in touched if t in pointer["places"]])
+            merged = last_writes(old.withColumn("_o", F.lit(0)).unionByName(rows.withColumn("_o", F.lit(1))), "_o").drop("_o").withColumn("_bucket", bucket)
+            new = f"w-{uuid.uuid4().hex}"
+            sorted_ = merged.repartition("_bucket").sortWithinPartitions("_bucket", *ANNOTATION_KEY)
+            sorted_.write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/{new}")
+            if touched:
+                sizes = self.spark.read.parquet(f"{self.path}/{new}").groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+                replaced = [pointer["places"][t] for t in touched if t in pointer["places"]]
+                pointer["places"] |= {str(r["_bucket"]): f"{new}/_bucket={r['_bucket']}" for r in sizes}
+                pointer["rows"] |= {str(r["_bucket"]): r["n"] for r in sizes}
+                gone, pointer["before"] = pointer["before"], replaced
+                self._switch(pointer)
+                for place in gone:
+                    shutil.rmtree(f"{self.path}/{place}", ignore_errors=True)
             write_sidecar(self.path, schema_version, taxonomy_version)
-        return n
+        return sum(pointer["rows"].values())
+
+    def _switch(self, pointer: dict) -> None:
+        tmp = f"{self.path}/_{uuid.uuid4().hex}.tmp"
+        with open(tmp, "w", encoding="utf-8") as f:
+            json.dump(pointer, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(tmp, f"{self.path}/{self.POINTER}")
 
 
 def write_sidecar(path: str, schema_version: str, taxonomy_version: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class ToolRegistry:
+class ToolNames:
     search: tuple[str, ...] = ()
     edit: tuple[str, ...] = ()
     navigate: tuple[str, ...] = ()
@@ -29,23 +29,23 @@ class ToolRegistry:
         """Tools whose path argument is a file edited."""
         return tuple(sorted({"Edit", "Write", "file_write", *self.edit}))
 
-    def with_tools(self, **more: tuple[str, ...]) -> ToolRegistry:
+    def with_tools(self, **more: tuple[str, ...]) -> ToolNames:
         return replace(self, **{k: (*getattr(self, k), *v) for k, v in more.items()})
 
 
 # Tool names as agents report them.
-DEFAULT = ToolRegistry(
+DEFAULT = ToolNames(
     search=("Grep", "Glob", "mcp__sourcegraph__keyword_search", "mcp__sourcegraph__diff_search", "mcp__sourcegraph__commit_search"),
     edit=("Edit", "Write", "NotebookEdit"),
     navigate=("Read", "mcp__sourcegraph__read_file", "mcp__sourcegraph__go_to_definition", "mcp__sourcegraph__find_references", "mcp__sourcegraph__list_files", "mcp__sourcegraph__compare_revisions"),
     semantic=("mcp__sourcegraph__nls_search", "mcp__sourcegraph__deepsearch", "mcp__sourcegraph__deepsearch_read"),
 )
-OPENHANDS = ToolRegistry(search=("execute_bash",), edit=("str_replace_editor",), navigate=("browser",))
+OPENHANDS = ToolNames(search=("execute_bash",), edit=("str_replace_editor",), navigate=("browser",))
 #: Agent families by a part of their lower-cased name.
-FAMILIES: dict[str, ToolRegistry] = {"openhands": OPENHANDS}
+FAMILIES: dict[str, ToolNames] = {"openhands": OPENHANDS}
 
 
-def for_agent(name: str | None) -> ToolRegistry:
+def for_agent(name: str | None) -> ToolNames:
     return next((r for k, r in FAMILIES.items() if k in (name or "").lower()), DEFAULT)
 
 

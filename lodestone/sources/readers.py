@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_excluded
 from ..operators.signals import is_trial, normalize_lists
+from ..operators.store import AnnotationStore
 from ..schemas import ANNOTATION_DOCUMENT, SIGNALS_WITH_PATH, TABLES
 
 
@@ -23,6 +28,51 @@ def whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.select(parent(F.col("_metadata.file_path")).alias("trial_path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
 
 
+#: Files that make up a trial.
+TRIAL_FILES = ("result.json", "trajectory.json", "instruction.txt")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(trial_path, name, nested, path, modified, size) of all files of trials outside excluded directories; no content is read.
+
+    nested: the file lies in the trial's agent directory.
+    """
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,txt}").load(root)
+    folder, name = parent(F.col("path")), F.element_at(F.split("path", "/"), -1)
+    nested = folder.endswith("/agent") & (name != "result.json")
+    trial = F.when(nested, F.regexp_replace(folder, "/agent$", "")).otherwise(folder)
+    out = df.select(trial.alias("trial_path"), name.alias("name"), nested.alias("nested"), "path", F.unix_micros("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return out.filter(F.col("name").isin(*TRIAL_FILES) & ~is_excluded(F.col("trial_path")))
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """The listed files with their texts (raw): only these are opened, by the tasks that they are dealt out to."""
+    names = [*listed.columns, "raw"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                texts = []
+                for path in part.column("path").to_pylist():
+                    fs, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                    with fs.open_input_stream(place) as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
+
+    schema = T.StructType([*listed.schema.fields, T.StructField("raw", T.StringType())])
+    return listed.repartition("path").mapInArrow(read, schema)
+
+
+def trial_documents(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Result and trajectory documents (trial_path, raw) of the listed files: valid trials; an empty object is no trajectory."""
+    texts = contents(listed.filter(F.col("name") != "instruction.txt"))
+    results = texts.filter((F.col("name") == "result.json") & is_trial(F.col("raw"))).select("trial_path", "raw")
+    there = F.get_json_object("raw", "$")
+    found = texts.filter((F.col("name") == "trajectory.json") & there.isNotNull() & (there != "{}"))
+    return results, found.groupBy("trial_path").agg(F.min_by("raw", "nested").alias("raw"))
+
+
 def trial_results(spark: SparkSession, root: str) -> DataFrame:
     """Result documents of valid trials outside excluded directories; what does not parse is no trial."""
     return whole_files(spark, root, "result.json").filter(is_trial(F.col("raw")) & ~is_excluded(F.col("trial_path")))
@@ -110,7 +160,8 @@ def register_views(spark: SparkSession, data_dir: str) -> list[str]:
         for place in (f"{data_dir}/{name}.parquet", f"{data_dir}/export/{name}.parquet"):
             if os.path.exists(place):
                 try:
-                    df = spark.read.parquet(place)
+                    store = AnnotationStore(spark, place)
+                    df = store.read() if os.path.exists(f"{place}/{store.POINTER}") else spark.read.parquet(place)
                     break
                 except Exception:  # noqa: BLE001  an unreadable export falls back to the lines it was made from
                     df = None

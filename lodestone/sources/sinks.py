@@ -12,12 +12,15 @@ import subprocess
 import uuid
 from datetime import UTC, datetime
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.signals import normalize_lists
 from ..operators.store import last_writes, manifests, write_sidecar
 from ..schemas import EXPORT_ORDER, LIST_COLUMNS, SIGNALS_VERSION, TABLES
+from ..session import shared_dir
 from ..taxonomy import VERSION
 from .readers import json_lines
 
@@ -29,17 +32,29 @@ def write_json_lines(df: DataFrame, path: str, schema_version: str = SIGNALS_VER
 
 
 def write_single(df: DataFrame, path: str, schema_version: str = SIGNALS_VERSION, taxonomy_version: str = VERSION) -> int:
-    """One local file, streamed row by row through the driver: .jsonl as lines with a sidecar, .json as an array."""
-    n, tmp = 0, f"{path}.tmp-{uuid.uuid4().hex}"
-    with open(tmp, "w", encoding="utf-8") as f:
-        lines = path.endswith(".jsonl")
-        f.write("" if lines else "[\n")
-        for row in df.toJSON().toLocalIterator():
-            f.write(("" if lines or not n else ",\n") + ("" if lines else "  ") + row + ("\n" if lines else ""))
-            n += 1
-        f.write("" if lines else "\n]\n")
+    """One local file: .jsonl as lines with a sidecar, .json as an array. Executors write the lines; the driver joins the bytes of their
+    files, in order, and decodes no row."""
+    parts, tmp, n = shared_dir(df.sparkSession, "lines"), f"{path}.tmp-{uuid.uuid4().hex}", 0
+    df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")).write.text(parts)
+    fs, place = pafs.FileSystem.from_uri(parts)
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(place)) if f.base_name.startswith("part-"))
+    array = not path.endswith(".jsonl")
+    with open(tmp, "wb") as out:
+        out.write(b"[\n  " if array else b"")
+        held = b""  # of an array the last line break, which only a further row turns into a comma
+        for name in files:
+            with fs.open_input_stream(name) as f:
+                while piece := f.read(1 << 20):
+                    n += piece.count(b"\n")
+                    if array:
+                        piece = held + piece
+                        held = b"\n" if piece.endswith(b"\n") else b""
+                        piece = piece.removesuffix(b"\n").replace(b"\n", b",\n  ")
+                    out.write(piece)
+        out.write(b"\n]\n" if array else b"")
+    fs.delete_dir(place)
     os.replace(tmp, path)
-    if path.endswith(".jsonl"):
+    if not array:
         write_sidecar(path, schema_version, taxonomy_version)
     return n
 
@@ -109,13 +124,14 @@ def refresh_manifests(spark: SparkSession, data_dir: str) -> int:
 
 
 def format_table(rows: list[dict]) -> str:
+    """Columns of the first row, padded to their longest cell, under a rule; a count of rows ends the table."""
+    footer = f"({len(rows)} row{'' if len(rows) == 1 else 's'})"
     if not rows:
-        return "(no rows)"
-    names = list(rows[0])
-    cells = [["NULL" if r[n] is None else str(r[n]) for n in names] for r in rows]
-    width = [max(len(n), *(len(c[i]) for c in cells)) for i, n in enumerate(names)]
-    line = lambda c: " | ".join(x.ljust(w) for x, w in zip(c, width, strict=True)).rstrip()
-    return "\n".join([line(names), "-+-".join("-" * w for w in width), *map(line, cells)])
+        return footer
+    table = pd.DataFrame([{name: str(r.get(name, "")) for name in rows[0]} for r in rows])
+    wide = [max(len(name), int(table[name].str.len().max())) for name in table]
+    padded = [[str(x).ljust(w) for x, w in zip(cells, wide, strict=True)] for cells in [list(table), *table.itertuples(index=False)]]
+    return "\n".join([" | ".join(padded[0]), "-+-".join("-" * w for w in wide), *(" | ".join(cells) for cells in padded[1:]), footer])
 
 
 def format_rows(rows: list[dict], fmt: str) -> str:
@@ -124,9 +140,9 @@ def format_rows(rows: list[dict], fmt: str) -> str:
     if fmt == "table":
         return format_table(rows)
     if fmt == "json":
-        return json.dumps(rows, indent=2, default=plain)
+        return json.dumps(rows, indent=2, ensure_ascii=False, default=plain)
     if fmt == "jsonl":
-        return "\n".join(json.dumps(r, default=plain) for r in rows)
+        return "\n".join(json.dumps(r, ensure_ascii=False, default=plain) for r in rows)
     if fmt == "csv":
         out = io.StringIO()
         w = csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +11,16 @@ from pyspark.sql import functions as F
 
 def parse_mapping(document: object) -> dict[str, str]:
     """key -> benchmark of a mapping file: nested run histories (the first benchmark of a task wins), else a flat mapping."""
-    if not isinstance(document, dict):
-        return {}
-    out: dict[str, str] = {}
-    history = document.get("run_history")
-    for bench, tasks in history.items() if isinstance(history, dict) else ():
-        if isinstance(tasks, dict):
-            name = bench.split("/", 1)[0]
-            name = name[4:] if name[:4].lower() in ("ccb_", "csb_") else name
-            for task in tasks:
-                out.setdefault(task, name)
-    return out or {k: v for k, v in document.items() if isinstance(v, str)}
+    top = document if isinstance(document, dict) else {}
+    nested = top.get("run_history") or {}
+    pairs = [(task, short_name(bench)) for bench, tasks in (nested.items() if isinstance(nested, dict) else []) for task in (tasks if isinstance(tasks, dict) else [])]
+    flat = [(k, v) for k, v in top.items() if isinstance(v, str)]
+    return dict(reversed(pairs or flat))  # of a key given twice the first stays
+
+
+def short_name(bench: str) -> str:
+    """A benchmark's name without its run and without the prefix of its family."""
+    return re.sub(r"(?i)^c[cs]b_", "", bench.partition("/")[0])
 
 
 def load_mapping(path: str) -> dict[str, str]:
@@ -41,11 +41,12 @@ def resolve(trials: DataFrame, suites: DataFrame, task: str = "task_id", path: s
     A task has at most as many prefixes as characters, so prefixes are generated and equi-joined: no pair of a task and a mapping
     entry is looked at that cannot match, and neither side need fit in memory.
     """
-    trials = trials.withColumn("_row", F.monotonically_increasing_id())
     name = F.element_at(F.split(F.coalesce(F.col(path), F.lit("")), "/"), -1)
     t = F.coalesce(F.col(task), F.lit(""))
     prefixes = lambda s, kind: F.transform(F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.substring(s, 1, i).alias("key"), F.lit(kind).alias("kind"), (i == F.length(s)).alias("whole"), F.substring(s, i + 1, F.lit(1)).alias("next")))
-    keys = trials.select("_row", F.explode(F.concat(prefixes(t, 1), prefixes(name, 0))).alias("x")).select("_row", "x.*")
+    trials = trials.withColumn("_task", t).withColumn("_name", name)
+    both = F.concat(prefixes(F.col("_task"), 1), prefixes(F.col("_name"), 0))
+    keys = trials.select("_task", "_name").distinct().select("_task", "_name", F.explode(both).alias("x")).select("_task", "_name", "x.*")
     ends = F.col("whole") | F.col("next").isin("_", "-") | F.col("key").rlike("[_-]$")
-    best = keys.filter((F.col("kind") == 0) | ends).join(suites, "key").groupBy("_row").agg(F.max_by("suite", F.struct("kind", F.length("key"))).alias("suite"))
-    return trials.join(best, "_row", "left").drop("_row")
+    best = keys.filter((F.col("kind") == 0) | ends).join(suites, "key").groupBy("_task", "_name").agg(F.max_by("suite", F.struct("kind", F.length("key"))).alias("suite"))
+    return trials.join(best, ["_task", "_name"], "left").drop("_task", "_name")

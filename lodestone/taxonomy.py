@@ -6,53 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 VERSION = "3.0.0"
-# Name, dimension, polarity, severity, whether the reward alone gives it, signals it depends on.
-_ROWS = """
-retrieval_failure Retrieval failure blocker
-query_churn Retrieval failure major
-missing_code_navigation Retrieval failure major
-wrong_tool_choice ToolUse failure major
-tool_misuse ToolUse failure major
-tool_argument_error ToolUse failure major - error_count
-tool_underutilization ToolUse failure minor
-decomposition_failure Reasoning failure blocker
-stale_context Reasoning failure major
-multi_repo_scope_failure Reasoning failure blocker
-edit_verify_loop_failure Execution failure blocker
-incomplete_solution Execution failure major derived reward
-near_miss Execution failure minor derived reward
-minimal_progress Execution failure major derived reward
-premature_commit Execution failure major
-local_remote_mismatch Environment failure blocker
-verifier_mismatch Environment failure blocker
-exception_crash Environment failure blocker
-rate_limited_run Environment neutral major
-hallucinated_api Faithfulness failure blocker
-fabricated_context Faithfulness failure blocker
-planning_absence Metacognition failure major
-verification_skip Metacognition failure major
-premature_termination Metacognition failure blocker - total_turns,trajectory_length
-verification_skipped Metacognition failure major
-error_misdiagnosis Metacognition failure major
-reward_hacking Integrity failure blocker
-fabricated_success Integrity failure blocker
-destructive_operation Safety failure blocker
-credential_exposure Safety failure blocker
-scope_violation Safety failure blocker
-success_via_code_nav Strategy success minor
-success_via_semantic_search Strategy success minor
-success_via_local_exec Strategy success minor
-success_via_commit_context Strategy success minor
-success_via_decomposition Strategy success minor
-clean_success Strategy success minor
-insufficient_provenance Observability neutral minor
-task_ambiguity Observability neutral minor
-over_exploration Observability failure major
-"""
 
+
+def _category(name: str, dimension: str, polarity: str, severity: str, derived: bool = False, needs: tuple[str, ...] = ()) -> dict:
+    """derived: the reward alone gives it; needs: signals it depends on."""
+    return {"name": name, "dimension": dimension, "polarity": polarity, "severity": severity, "derived_from_signal": derived, "signal_dependencies": list(needs)}
+
+
+# The categories.
 CATEGORIES: list[dict] = [
-    {"name": p[0], "dimension": p[1], "polarity": p[2], "severity": p[3], "derived_from_signal": "derived" in p[4:5], "signal_dependencies": p[5].split(",") if len(p) > 5 else []}
-    for p in (line.split() for line in _ROWS.strip().splitlines())
+    _category("retrieval_failure", "Retrieval", "failure", "blocker"),
+    _category("query_churn", "Retrieval", "failure", "major"),
+    _category("missing_code_navigation", "Retrieval", "failure", "major"),
+    _category("wrong_tool_choice", "ToolUse", "failure", "major"),
+    _category("tool_misuse", "ToolUse", "failure", "major"),
+    _category("tool_argument_error", "ToolUse", "failure", "major", False, ("error_count",)),
+    _category("tool_underutilization", "ToolUse", "failure", "minor"),
+    _category("decomposition_failure", "Reasoning", "failure", "blocker"),
+    _category("stale_context", "Reasoning", "failure", "major"),
+    _category("multi_repo_scope_failure", "Reasoning", "failure", "blocker"),
+    _category("edit_verify_loop_failure", "Execution", "failure", "blocker"),
+    _category("incomplete_solution", "Execution", "failure", "major", True, ("reward",)),
+    _category("near_miss", "Execution", "failure", "minor", True, ("reward",)),
+    _category("minimal_progress", "Execution", "failure", "major", True, ("reward",)),
+    _category("premature_commit", "Execution", "failure", "major"),
+    _category("local_remote_mismatch", "Environment", "failure", "blocker"),
+    _category("verifier_mismatch", "Environment", "failure", "blocker"),
+    _category("exception_crash", "Environment", "failure", "blocker"),
+    _category("rate_limited_run", "Environment", "neutral", "major"),
+    _category("hallucinated_api", "Faithfulness", "failure", "blocker"),
+    _category("fabricated_context", "Faithfulness", "failure", "blocker"),
+    _category("planning_absence", "Metacognition", "failure", "major"),
+    _category("verification_skip", "Metacognition", "failure", "major"),
+    _category("premature_termination", "Metacognition", "failure", "blocker", False, ("total_turns", "trajectory_length",)),
+    _category("verification_skipped", "Metacognition", "failure", "major"),
+    _category("error_misdiagnosis", "Metacognition", "failure", "major"),
+    _category("reward_hacking", "Integrity", "failure", "blocker"),
+    _category("fabricated_success", "Integrity", "failure", "blocker"),
+    _category("destructive_operation", "Safety", "failure", "blocker"),
+    _category("credential_exposure", "Safety", "failure", "blocker"),
+    _category("scope_violation", "Safety", "failure", "blocker"),
+    _category("success_via_code_nav", "Strategy", "success", "minor"),
+    _category("success_via_semantic_search", "Strategy", "success", "minor"),
+    _category("success_via_local_exec", "Strategy", "success", "minor"),
+    _category("success_via_commit_context", "Strategy", "success", "minor"),
+    _category("success_via_decomposition", "Strategy", "success", "minor"),
+    _category("clean_success", "Strategy", "success", "minor"),
+    _category("insufficient_provenance", "Observability", "neutral", "minor"),
+    _category("task_ambiguity", "Observability", "neutral", "minor"),
+    _category("over_exploration", "Observability", "failure", "major"),
 ]
 NAMES = tuple(c["name"] for c in CATEGORIES)
 DERIVED = frozenset(c["name"] for c in CATEGORIES if c["derived_from_signal"])
@@ -97,6 +99,11 @@ def table(spark: SparkSession, categories: list[dict] | None = None) -> DataFram
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def prompt_text(categories: list[dict] | None = None) -> str:
+    """The taxonomy as a prompt states it: a line for each category."""
+    return "\n".join(f"- {c['name']} ({c['dimension']}, {c['polarity']}, {c['severity']})" for c in categories or CATEGORIES)
+
+
 def validate_names(names, known=NAMES) -> None:
     wrong = sorted(set(names) - set(known))
     if wrong:

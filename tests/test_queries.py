@@ -26,7 +26,7 @@ def plain(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["per_model_outcomes", "tool_sequence_patterns", "signals_retry_count", "signals_file_lists", "benchmark_prefix_join", "rules_all", "paired_config_deltas", "kappa_pairwise", "upsert_last_writer_wins", "as_of_join", "range_join", "session_events", "blend_labels"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rel = duck.execute(ORACLES[name])
