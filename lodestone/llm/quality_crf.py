@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, map_arrow, sample_share, split_of
+from .common import cut, hash_share, map_arrow, sample_share, split_of
 from .toxicity import fit_logistic, learnable
 
 #: Labelled rows that are learned from, at most (about; chosen by hash), lines of such a row, lines of all of them (about), and
@@ -192,7 +192,8 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, lines: np.ndarray, weights: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Crf:
-    rows = learnable(docs, labels, "quality", bound)
+    # the bounded sample, kept: nothing below is then worked out for all documents
+    rows = cut(learnable(docs, labels, "quality", bound))
     rows = rows.withColumn("lines", F.length("text") - F.length(F.translate("text", "\n", "")) + 1).filter(F.coalesce("lines", F.lit(1)) <= ROW_LINES)
     share = sample_share(rows.agg(F.sum("lines")).first()[0] or 0, FIT_LINES)
     rows = rows.filter(hash_share(F.col("doc_id"), share, 12)).select("text", "y", "half")
