@@ -98,7 +98,7 @@ def with_scores(df: DataFrame) -> DataFrame:
 def calibration_pairs(predicted: DataFrame, golden: DataFrame) -> DataFrame:
     """(category_name, confidence, observed, weight) over all shared trials, equal pairs as one row; trials without the category are confidence 0.
 
-    The number of trials comes from the same shuffle as the cells, which the planner reuses.
+    predicted and golden are read for the cells and again for the number of trials: give tables, not plans.
     """
     both = _side_by_side(predicted, golden)
     n = both.agg(F.count(F.lit(1)).alias("trials"))
