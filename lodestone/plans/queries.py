@@ -40,18 +40,22 @@ _DIMENSIONS = adapter.DIMENSIONS
 _LABELS = A + f", labels AS (SELECT s.u, s.seg, s.trial_id, {', '.join('s.' + c for c in _DIMENSIONS)}, a.category_name, a.confidence FROM annotations a JOIN signals s ON a.u = s.u AND a.seg = s.seg)"
 
 
+def _pass_rate():
+    """Percent, with one place."""
+    return F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)) * 100, 1).alias("pass_rate")
+
+
 # Outcome queries ------------------------------------------------------------------------------------------------------------------
 
 
-@query(S + " SELECT model, count(*) AS trials, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed, 100.0::DOUBLE * count(*) FILTER (WHERE passed) / count(*) AS pass_rate FROM signals GROUP BY model")
+@query(S + " SELECT model, count(*) AS trials, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) * 100, 1) AS pass_rate FROM signals GROUP BY model")
 def per_model_outcomes(spark, d):
-    n, p = F.count(F.lit(1)), F.count_if("passed")
-    return adapter.signals(spark, d).groupBy("model").agg(n.alias("trials"), p.alias("passed"), (F.lit(100.0) * p / n).alias("pass_rate"))
+    return adapter.signals(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("trials"), F.count_if("passed").alias("passed"), _pass_rate())
 
 
-@query(S + " SELECT benchmark, model, count(*) AS trials, 100.0::DOUBLE * count(*) FILTER (WHERE passed) / count(*) AS pass_rate FROM signals GROUP BY ALL")
+@query(S + " SELECT benchmark, model, count(*) AS trials, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) * 100, 1) AS pass_rate FROM signals GROUP BY ALL")
 def benchmark_model_matrix(spark, d):
-    return adapter.signals(spark, d).groupBy("benchmark", "model").agg(F.count(F.lit(1)).alias("trials"), (F.lit(100.0) * F.count_if("passed") / F.count(F.lit(1))).alias("pass_rate"))
+    return adapter.signals(spark, d).groupBy("benchmark", "model").agg(F.count(F.lit(1)).alias("trials"), _pass_rate())
 
 
 @query(A + " SELECT a.category_name AS cat_a, b.category_name AS cat_b, count(*) AS co_occurrences FROM annotations a JOIN annotations b ON a.u = b.u AND a.seg = b.seg AND a.category_name < b.category_name GROUP BY ALL")
@@ -179,43 +183,40 @@ def status_counts(spark, d):
 
 # Report aggregates ----------------------------------------------------------------------------------------------------------------
 
-_MEASURES = "count(*) AS n, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE passed)::DOUBLE / count(*) AS pass_rate, round(avg(reward), 9) AS mean_reward, avg(trajectory_length) AS mean_trajectory_length, avg(total_turns) AS mean_turns"
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("mean_reward", F.round("mean_reward", 9))
+_MEASURES = "count(*) AS n, count(*) FILTER (WHERE passed) AS passed, round(count(*) FILTER (WHERE passed)::DOUBLE / count(*), 4) AS pass_rate, round(avg(reward), 4) AS mean_reward, round(avg(trajectory_length), 2) AS mean_trajectory_length, round(avg(total_turns), 2) AS mean_turns"
 
 
 @query(S + f" SELECT benchmark, {_MEASURES} FROM signals GROUP BY benchmark")
 def slice_by_benchmark(spark, d):
-    return _rounded(report.slices(report.trials_frame(adapter.signals(spark, d)), "benchmark"))
+    return report.slices(report.trials_frame(adapter.signals(spark, d)), "benchmark")
 
 
-@query(S + f" SELECT agent_name, model, {_MEASURES}, concat(agent_name, ' (', model, ')') AS label FROM signals GROUP BY agent_name, model")
+@query(S + f" SELECT agent_name, model, {_MEASURES}, concat(agent_name, ' / ', model) AS label FROM signals GROUP BY agent_name, model")
 def slice_by_agent_model(spark, d):
-    return _rounded(report.agent_models(report.trials_frame(adapter.signals(spark, d))))
+    return report.agent_models(report.trials_frame(adapter.signals(spark, d)))
 
 
 @query(S + f" SELECT agent_name, benchmark, {_MEASURES}, count(*) < 3 AS low_confidence FROM signals GROUP BY agent_name, benchmark")
 def agent_benchmark_matrix(spark, d):
-    return _rounded(report.agent_benchmarks(report.trials_frame(adapter.signals(spark, d))))
+    return report.agent_benchmarks(report.trials_frame(adapter.signals(spark, d)))
 
 
-@query(S + """, m AS (SELECT agent_name, benchmark, count(*) FILTER (WHERE passed)::DOUBLE / count(*) AS r FROM signals GROUP BY ALL),
+@query(S + """, m AS (SELECT agent_name, benchmark, round(count(*) FILTER (WHERE passed)::DOUBLE / count(*), 4) AS r FROM signals GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY r DESC, agent_name) AS hi, row_number() OVER (PARTITION BY benchmark ORDER BY r, agent_name DESC) AS lo, count(*) OVER (PARTITION BY benchmark) AS k FROM m)
-SELECT h.benchmark, h.agent_name AS high_agent, h.r AS high_rate, l.agent_name AS low_agent, l.r AS low_rate, h.r - l.r AS max_delta
+SELECT h.benchmark, h.agent_name AS high_agent, h.r AS high_rate, l.agent_name AS low_agent, l.r AS low_rate, round(h.r - l.r, 4) AS max_delta
 FROM o h JOIN o l ON h.benchmark = l.benchmark AND h.hi = 1 AND l.lo = 1 AND h.k > 1 ORDER BY max_delta DESC, h.benchmark LIMIT 10""")
 def top_divergences(spark, d):
     return report.divergences(report.agent_benchmarks(adapter.signals(spark, d)))
 
 
-@query(S + " SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, count(*) FILTER (WHERE passed)::DOUBLE / count(*) AS pass_rate, round(avg(reward), 9) AS avg_reward, string_agg(DISTINCT config_name, ',' ORDER BY config_name) AS configs, string_agg(DISTINCT benchmark, ',' ORDER BY benchmark) AS benchmarks, count(*) FILTER (WHERE has_trajectory) AS with_trajectory FROM signals")
+@query(S + " SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, round(count(*) FILTER (WHERE passed)::DOUBLE / count(*), 4) AS pass_rate, round(coalesce(avg(reward), 0.0), 4) AS avg_reward, string_agg(DISTINCT config_name, ',' ORDER BY config_name) AS configs, string_agg(DISTINCT benchmark, ',' ORDER BY benchmark) AS benchmarks, count(*) FILTER (WHERE has_trajectory) AS with_trajectory FROM signals")
 def corpus_stats(spark, d):
-    return report.corpus_stats(adapter.signals(spark, d)).withColumn("avg_reward", F.round("avg_reward", 9))
+    out = report.corpus_stats(adapter.signals(spark, d))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("configs", "benchmarks")})
 
 
 @query(A + """, n AS (SELECT count(*) AS t FROM signals) SELECT category_name, count(*) AS n, category_name NOT IN ('rate_limited_run', 'exception_crash', 'incomplete_solution', 'near_miss', 'minimal_progress') AS requires_trajectory,
-any_value(t) AS denominator, count(*)::DOUBLE / any_value(t) AS rate FROM annotations, n GROUP BY category_name""")
+any_value(t) AS denominator, round(count(*)::DOUBLE / any_value(t), 4) AS rate FROM annotations, n GROUP BY category_name""")
 def category_rates(spark, d):
     s = adapter.signals(spark, d)
     return report.category_rates(adapter.labels(spark, d), s)
@@ -231,28 +232,27 @@ def category_by_suite(spark, d):
     return report.category_by(adapter.labels(spark, d), "benchmark")
 
 
-@query(_LABELS + """, c AS (SELECT DISTINCT task_id AS task, config_name AS cfg FROM signals), k AS (SELECT DISTINCT s.task_id AS task, l.config_name AS cfg, l.category_name FROM labels l JOIN signals s ON l.u = s.u AND l.seg = s.seg),
+@query(_LABELS + """, k AS (SELECT DISTINCT s.task_id AS task, l.config_name AS cfg, l.category_name FROM labels l JOIN signals s ON l.u = s.u AND l.seg = s.seg), c AS (SELECT DISTINCT task, cfg FROM k),
 p AS (SELECT a.task, a.cfg AS cfg_a, b.cfg AS cfg_b FROM c a JOIN c b ON a.task = b.task AND a.cfg < b.cfg), e AS (SELECT cfg_a, cfg_b, count(*) AS shared FROM p GROUP BY ALL HAVING count(*) >= 20),
 g AS (SELECT cfg_a, cfg_b, category_name, sum(x) AS delta FROM (SELECT p.cfg_a, p.cfg_b, k.category_name, -1 AS x FROM p JOIN k ON p.task = k.task AND p.cfg_a = k.cfg UNION ALL SELECT p.cfg_a, p.cfg_b, k.category_name, 1 FROM p JOIN k ON p.task = k.task AND p.cfg_b = k.cfg) GROUP BY ALL HAVING sum(x) <> 0),
 o AS (SELECT g.cfg_a, g.cfg_b, shared, category_name, CAST(delta AS BIGINT) AS delta, row_number() OVER (PARTITION BY g.cfg_a, g.cfg_b, delta > 0 ORDER BY abs(delta) DESC, category_name) AS place FROM g JOIN e ON g.cfg_a = e.cfg_a AND g.cfg_b = e.cfg_b)
 SELECT * FROM o WHERE place <= 5""")
 def paired_config_deltas(spark, d):
-    s = adapter.signals(spark, d)
-    return report.paired_deltas(adapter.labels(spark, d), s).withColumn("place", F.col("place").cast("long"))
+    return report.paired_deltas(adapter.labels(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
 _TAX = "tax(category_name, dimension, polarity) AS (VALUES " + ", ".join(f"('{c['name']}', '{c['dimension']}', '{c['polarity']}')" for c in report.taxonomy.CATEGORIES) + ")"
 
 
-@query(_LABELS + f", {_TAX}, x AS (SELECT DISTINCT l.u, l.seg, dimension, passed FROM labels l JOIN tax USING (category_name)) SELECT dimension, count(*) AS trials, count(*) FILTER (WHERE NOT passed) AS failed, count(*) FILTER (WHERE NOT passed)::DOUBLE / count(*) AS failure_rate FROM x GROUP BY dimension")
+@query(_LABELS + f", {_TAX}, x AS (SELECT DISTINCT l.u, l.seg, dimension, passed FROM labels l JOIN tax USING (category_name)) SELECT dimension, count(*) AS trials, count(*) FILTER (WHERE NOT passed) AS failed, round(count(*) FILTER (WHERE NOT passed)::DOUBLE / count(*), 4) AS failure_rate FROM x GROUP BY dimension")
 def dimension_rollup(spark, d):
     return report.dimension_rollup(adapter.labels(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")))
 
 
-@query(_LABELS + f", {_TAX}, own AS (SELECT * FROM labels JOIN tax USING (category_name) WHERE polarity = 'failure'), top AS (SELECT category_name, count(*) AS n FROM own GROUP BY ALL ORDER BY n DESC, category_name LIMIT 5), r AS (SELECT category_name, n, row_number() OVER (PARTITION BY category_name ORDER BY concat(own.u, '/', own.seg)) AS place, concat(own.u, '/', own.seg) AS trial_id FROM own JOIN top USING (category_name)) SELECT * FROM r WHERE place <= 3")
+@query(_LABELS + f", {_TAX}, own AS (SELECT * FROM labels JOIN tax USING (category_name) WHERE polarity = 'failure'), top AS (SELECT category_name, count(*) AS n FROM own GROUP BY ALL ORDER BY n DESC, category_name LIMIT 3), r AS (SELECT category_name, n, row_number() OVER (PARTITION BY category_name ORDER BY concat(own.u, '/', own.seg)) AS place, concat(own.u, '/', own.seg) AS trial_id FROM own JOIN top USING (category_name)) SELECT * FROM r WHERE place <= 2")
 def top_categories_examples(spark, d):
     out = report.top_categories(adapter.labels(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg")), "failure")
-    return out.withColumn("place", F.col("place").cast("long"))
+    return out.select("category_name", "n", F.col("place").cast("long").alias("place"), "trial_id")
 
 
 @query(_LABELS + ", c AS (SELECT benchmark, category_name, count(*) AS n FROM labels WHERE NOT passed GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY n DESC, category_name) AS place FROM c) SELECT * FROM r WHERE place <= 3")
@@ -263,13 +263,13 @@ def top_failures_per_benchmark(spark, d):
 # Statistics -----------------------------------------------------------------------------------------------------------------------
 
 
-@query(A + """, l AS (SELECT concat(u, '/', seg) AS t, category_name AS c FROM annotations), n AS (SELECT count(DISTINCT t) AS n FROM l), k AS (SELECT c, count(*) AS k FROM l GROUP BY c),
+@query(A + """, l AS (SELECT concat(u, '/', seg) AS t, category_name AS c FROM annotations), n AS (SELECT count(*) AS n FROM signals), k AS (SELECT c, count(*) AS k FROM l GROUP BY c),
 b AS (SELECT x.c AS a, y.c AS b, count(*) AS k FROM l x JOIN l y ON x.t = y.t AND x.c <> y.c GROUP BY ALL),
 g AS (SELECT x.c AS a, y.c AS b, x.k AS ka, y.k AS kb, n.n, coalesce(b.k, 0) AS k FROM k x CROSS JOIN k y CROSS JOIN n LEFT JOIN b ON b.a = x.c AND b.b = y.c)
-SELECT a, b, round(CASE WHEN a = b THEN ka::DOUBLE / n WHEN ka::DOUBLE * kb * (n - ka) * (n - kb) > 0 THEN (k::DOUBLE * n - ka::DOUBLE * kb) / sqrt(ka::DOUBLE * kb * (n - ka) * (n - kb)) ELSE 0.0 END, 9) AS value FROM g""")
+SELECT a, b, round(CASE WHEN a = b THEN ka::DOUBLE WHEN ka::DOUBLE * kb * (n - ka) * (n - kb) > 0 THEN (k::DOUBLE * n - ka::DOUBLE * kb) / sqrt(ka::DOUBLE * kb * (n - ka) * (n - kb)) ELSE 0.0 END, 6) + 0.0 AS value FROM g""")
 def phi_matrix(spark, d):
     a = adapter.annotations(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg"))
-    return report.phi_matrix(a).withColumn("value", F.round("value", 9))
+    return report.phi_matrix(a, adapter.signals(spark, d))
 
 
 def _two(spark, d) -> DataFrame:

@@ -79,9 +79,11 @@ def test_calibration(spark):
 
 def test_phi_and_rates(spark):
     labels = spark.createDataFrame([("1", "near_miss"), ("1", "clean_success"), ("2", "near_miss"), ("3", "clean_success"), ("4", "over_exploration")], "trial_id string, category_name string")
-    m = {(r.a, r.b): r.value for r in report.phi_matrix(labels).collect()}
-    assert m["near_miss", "near_miss"] == 0.5 and m["near_miss", "clean_success"] == pytest.approx(0.0)
-    assert m["near_miss", "over_exploration"] == pytest.approx(-1 / math.sqrt(3)) and len(m) == 9
+    m = {(r.a, r.b): r.value for r in report.phi_matrix(labels, labels.select("trial_id").distinct()).collect()}
+    assert m["near_miss", "near_miss"] == 2 and m["near_miss", "clean_success"] == pytest.approx(0.0)
+    assert m["near_miss", "over_exploration"] == round(-1 / math.sqrt(3), 6) and len(m) == 9
+    more = report.phi_matrix(labels, spark.range(100))  # 96 trials have no category
+    assert {(r.a, r.b): r.value for r in more.collect()}["near_miss", "clean_success"] == round((100 - 4) / math.sqrt(2 * 2 * 98 * 98), 6)
     assert report.top_categories(labels, "failure").count() == 3 and report.top_categories(labels, "failure", legacy_polarity=True).count() == 0
     assert [(r.cat_a, r.cat_b, r.co_occurrences) for r in report.cooccurrence(labels).collect()] == [("clean_success", "near_miss", 1)]
 
@@ -181,7 +183,8 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
     assert cli.main(["annotate", "--signals", at("signals.jsonl"), "--output", at("annotated.jsonl"), "--annotations-out", at("store")]) == 0
     assert cli.main(["validate", "--annotations", at("annotated.jsonl")]) == 0
     assert cli.main(["report", "--annotations", at("annotated.jsonl"), "--output", at("report")]) == 0
-    assert "3 trials, 3 passed" in (tmp_path / "report" / "report.md").read_text() and json.loads((tmp_path / "report" / "report.json").read_text())["corpus"]["total"] == 3
+    told, text = json.loads((tmp_path / "report" / "report.json").read_text()), (tmp_path / "report" / "report.md").read_text()
+    assert len(told) == 13 and told["corpus_stats"]["total_trials"] == 3 and told["annotation_summary"]["total"] == 3 and "| Passed | 3 |" in text
     assert cli.main(["llm-annotate", "--signals", at("signals.jsonl"), "--output", at("llm.jsonl"), "--sample-size", "2"]) == 0
     assert cli.main(["query", "SELECT count(*) AS n FROM signals", "--data-dir", str(tmp_path), "--format", "csv"]) == 0
     assert '"3"' in capsys.readouterr().out
@@ -253,13 +256,31 @@ def test_curation_and_samples(spark):
 
     from .test_signals_rules import BASE
 
-    raw = json.dumps({"steps": [{"tool_calls": [{"function_name": "Edit", "arguments": {}}], "observation": "AttributeError: has no attribute x"}, {"tool_calls": [{"function_name": "Bash", "arguments": {}}]}]})
+    raw = json.dumps({"steps": [
+        {"source": "user", "message": "Fix it"}, None,
+        {"source": "Agent", "message": "Editing", "tool_calls": [{"function_name": "Edit", "arguments": {"file_path": "src/tests/test_a.py", "new_string": "an Error"}}]},
+        {"source": "agent", "message": "Trying", "extra": {"note": "x has no attribute y", "parts": {"x": "ImportError"}, "tool_calls": {"name": "Bash", "input": {"command": "git log && pytest -q"}}}},
+        {"source": "agent", "message": "The task is complete."}, {"source": "agent", "message": ""},
+    ]})
     row = {f.name: (BASE | {"trial_id": "t", "edit_tool_calls": 1}).get(f.name) for f in SIGNALS.fields}
     df = spark.createDataFrame([tuple(row.values())], SIGNALS).withColumn("raw", F.lit(raw))
     e = df.select(curation.evidence(F.col("raw")).alias("e")).first().e
-    assert (e.steps, e.calls, e.edits, e.checks, e.check_after_edit, e.hallucinated_api) == (2, 2, True, True, True, True)
+    assert e.asDict() == {
+        "total_steps": 5, "agent_messages": 4, "tool_call_steps": 2, "error_steps": 1, "edit_steps": 1, "test_run_steps": 1, "has_bash_after_edit": True, "edited_test_files": True,
+        "has_fabricated_success_markers": True, "has_api_not_found_markers": True, "final_message_claims_success": True, "final_message_snippet": "The task is complete.",
+        "step_bash_commands": ["git log && pytest -q"], "edited_files": ["src/tests/test_a.py"],
+    }
+    empty = [r.e.asDict() for r in spark.createDataFrame([("no json",), (None,), ('{"steps": 3}',)], "raw string").select(curation.evidence(F.col("raw")).alias("e")).collect()]
+    assert empty[0] == empty[1] == empty[2] and not any(empty[0].values())
     r = curation.review(df).first()
     assert "hallucinated_api" in r.disputed and set(r.agreed) == set(r.curator) & set(r.reviewer)
+    passed = dict(curation.scores(df.withColumn("passed", F.lit(True)).withColumn("reward", F.lit(1.0)), 0.05).select("name", "confidence").collect())
+    assert passed["reward_hacking"] == 0.65 + 0.05 and passed["success_via_commit_context"] == 0.60 + 0.05 and passed["success_via_local_exec"] >= 0.7 and "fabricated_success" not in passed
+    failed = df.withColumn("passed", F.lit(False)).withColumn("reward", F.lit(0.0))
+    both = [dict(curation.scores(failed, *x).select("name", "confidence").collect()) for x in ((0.05, 0.0), (-0.05, 0.15))]
+    assert [s["fabricated_success"] for s in both] == pytest.approx([0.75, 0.5]) and "reward_hacking" not in both[0]
+    bare = curation.scores(failed.drop("raw").withColumn("edit_tool_calls", F.lit(2)), 0.05)
+    assert {"verification_skipped", "missing_code_navigation"} <= {r.name for r in bare.collect()}
     s = spark.range(100).withColumn("g", F.col("id") % 3)
     assert sampling.stratified(s, ("g",), ("id",), 2).count() == 6 and sampling.simple(s, "id", 7).count() == 7
     assert {r["count"] for r in sampling.kfold(s, "g", ("id",), 4).groupBy("fold").count().collect()} <= {24, 25, 26, 27}
