@@ -39,8 +39,8 @@ def _number(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def rules() -> list[Rule]:
-    """All rules in their order, which decides between equal confidences."""
+def rules(tools: REG.ToolNames | None = None) -> list[Rule]:
+    """All rules in their order, which decides between equal confidences; given tools take the place of those of the agent's family."""
     n = {k: _number(v) for k, v in {"tot": "tool_calls_total", "srch": "search_tool_calls", "nav": "code_nav_tool_calls", "sem": "semantic_search_tool_calls", "ed": "edit_tool_calls", "fr": "unique_files_read", "fe": "unique_files_edited", "err": "error_count", "rty": "retry_count", "length": "trajectory_length", "patch": "patch_size_lines", "duration": "duration_seconds"}.items()}
     tot, srch, nav, sem, ed, fr, fe, err, rty, length, patch, duration = n.values()
     reward, passed = F.col("reward"), F.coalesce(F.col("passed"), F.lit(False))
@@ -56,10 +56,10 @@ def rules() -> list[Rule]:
     after_edit = F.slice(seq, (last_edit + 1).cast("int"), F.greatest(F.size(seq) - last_edit, F.lit(0)).cast("int"))
     head = F.slice(seq, 1, 3)
     first_edit = F.array_position(F.transform(head, lambda t: t.isin(*EDIT)), True)
-    explores = REG.by_agent(agent, lambda r: F.transform(head, lambda t: t.isin(*EXPLORE, *r.search, *r.navigate)))
+    explores = REG.by_agent(agent, lambda r: F.transform(head, lambda t: t.isin(*EXPLORE, *r.search, *r.navigate)), tools)
     first_explore = F.array_position(explores, True)
-    used = lambda kind: REG.by_agent(agent, lambda r: count_in(seq, getattr(r, kind)))
-    commit_tools = REG.by_agent(agent, lambda r: count_in(seq, tuple(t for t in r.all if any(m in t for m in COMMIT_MARKS))))
+    used = lambda kind: REG.by_agent(agent, lambda r: count_in(seq, getattr(r, kind)), tools)
+    commit_tools = REG.by_agent(agent, lambda r: count_in(seq, tuple(t for t in r.all if any(m in t for m in COMMIT_MARKS))), tools)
     tests = F.size(F.filter(edited, lambda f: F.lower(f).rlike(TEST_PATH)))
     nav_used, sem_used = F.greatest(nav, used("navigate")), F.greatest(sem, used("semantic"))
     turns = F.coalesce(F.col("total_turns"), length)
@@ -105,19 +105,19 @@ def rules() -> list[Rule]:
     ]
 
 
-def assignments(known: tuple[str, ...] = NAMES) -> Column:
+def assignments(known: tuple[str, ...] = NAMES, tools: REG.ToolNames | None = None) -> Column:
     """The categories of a trial, the most confident first and rules' order between equals: one Column over the signals."""
     fired = F.array(*[
         F.when(F.coalesce(r.when, F.lit(False)), F.struct(F.lit(r.category).alias("name"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), r.confidence.cast("double"))).alias("confidence"), r.evidence.alias("evidence"), F.lit(i).alias("ordinal")))
-        for i, r in enumerate(rules()) if r.category in known
+        for i, r in enumerate(rules(tools)) if r.category in known
     ])
     keyed = F.transform(F.filter(fired, lambda a: a.isNotNull()), lambda a: F.struct((-a["confidence"]).alias("k"), a["ordinal"], a["name"], a["confidence"], a["evidence"]))
     return F.transform(F.array_sort(keyed), lambda a: F.struct(a["name"], a["confidence"], a["evidence"]))
 
 
-def annotate(signals: DataFrame) -> DataFrame:
+def annotate(signals: DataFrame, tools: REG.ToolNames | None = None) -> DataFrame:
     """signals with categories and the status of their annotation."""
-    out = signals.withColumn("categories", assignments())
+    out = signals.withColumn("categories", assignments(tools=tools))
     return out.withColumn("annotation_result_status", F.when(F.size("categories") > 0, "ok").otherwise("no_categories"))
 
 

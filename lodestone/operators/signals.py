@@ -56,17 +56,17 @@ def parse_trajectory(raw: Column) -> Column:
     return F.struct(F.size(steps).alias("turns"), errors.alias("errors"), calls.alias("calls"))
 
 
-def call_signals(calls: Column, agent: Column) -> dict[str, Column]:
-    """The signals that calls give, with the tools of the agent's family."""
+def call_signals(calls: Column, agent: Column, tools: R.ToolNames | None = None) -> dict[str, Column]:
+    """The signals that calls give, with the given tools, else those of the agent's family."""
     none = F.array().cast("array<string>")
     seq = F.transform(calls, lambda c: c["tool"])
     paths = lambda use: F.array_sort(F.array_distinct(F.transform(F.filter(calls, lambda c: c["tool"].isin(*use) & c["path"].isNotNull()), lambda c: c["path"])))
-    read, edited = R.by_agent(agent, lambda r: paths(r.reading)), R.by_agent(agent, lambda r: paths(r.editing))
+    read, edited = R.by_agent(agent, lambda r: paths(r.reading), tools), R.by_agent(agent, lambda r: paths(r.editing), tools)
     n = F.size(calls)
     same = lambda i: (F.get(calls, i)["tool"] == F.get(calls, i - 1)["tool"]) & (F.get(calls, i)["args"] == F.get(calls, i - 1)["args"])
     retries = F.when(n > 1, F.size(F.filter(F.sequence(F.lit(1), n - 1), same))).otherwise(0)
-    lines = R.by_agent(agent, lambda r: F.aggregate(F.filter(calls, lambda c: c["tool"].isin(*r.edit)), F.lit(0).cast("long"), lambda s, c: s + c["lines"]))
-    count = lambda kind: R.by_agent(agent, lambda r: C.count_in(seq, getattr(r, kind)))
+    lines = R.by_agent(agent, lambda r: F.aggregate(F.filter(calls, lambda c: c["tool"].isin(*r.edit)), F.lit(0).cast("long"), lambda s, c: s + c["lines"]), tools)
+    count = lambda kind: R.by_agent(agent, lambda r: C.count_in(seq, getattr(r, kind)), tools)
     return {
         "tool_calls_total": n, "trajectory_length": n, "tool_call_sequence": F.coalesce(seq, none), "search_tool_calls": count("search"), "edit_tool_calls": count("edit"),
         "code_nav_tool_calls": count("navigate"), "semantic_search_tool_calls": count("semantic"), "files_read_list": F.coalesce(read, none), "files_edited_list": F.coalesce(edited, none),
@@ -104,10 +104,12 @@ def extract(
     resolve_benchmark: Callable[[Column], Column] | None = None,
     normalize_task: Callable[[Column], Column] | None = None,
     keywords: dict[str, str] | None = C.MODEL_KEYWORDS,
+    tools: R.ToolNames | None = None,
 ) -> DataFrame:
     """results (trial_path, raw) and trajectories (trial_path, raw) to the signals table with trial_path.
 
     resolve_benchmark is asked first, then the suite mapping (key, benchmark) by task id and directory, then the directory's name.
+    Given tools take the place of those of each agent's family.
     """
     from ..sources.suites import resolve
 
@@ -127,7 +129,7 @@ def extract(
         "trial_id": F.substring(full, 1, 32), "trial_id_full": full, "benchmark": C.text(F.coalesce(by_suite, by_dir)),
         "benchmark_source": F.when(by_suite.isNotNull(), "manifest").when(by_dir.isNotNull(), "directory").otherwise(""),
         "total_turns": F.coalesce(F.col("t.turns"), F.lit(0)), "error_count": F.coalesce(F.col("t.errors"), F.lit(0)), "has_result_json": F.lit(True),
-        "has_trajectory": F.coalesce("there", F.lit(False)), **call_signals(calls, F.col("agent_name")),
+        "has_trajectory": F.coalesce("there", F.lit(False)), **call_signals(calls, F.col("agent_name"), tools),
     }
     return C.sealed(joined.select(*[more.get(k, F.col(k)).cast(t).alias(k) for k, t in SIGNAL_TYPES.items()], "trial_path"))
 

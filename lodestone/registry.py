@@ -49,8 +49,10 @@ def for_agent(name: str | None) -> ToolNames:
     return next((r for k, r in FAMILIES.items() if k in (name or "").lower()), DEFAULT)
 
 
-def by_agent(agent: Column, use) -> Column:
-    """A column expression of the registry that the agent's family has: use(registry) for each family."""
+def by_agent(agent: Column, use, given: ToolNames | None = None) -> Column:
+    """A column expression of the given registry, else of the one that the agent's family has: use(registry) for each family."""
+    if given is not None:
+        return use(given)
     out = use(DEFAULT)
     for k, r in FAMILIES.items():
         out = F.when(F.lower(F.coalesce(agent, F.lit(""))).contains(k), use(r)).otherwise(out)

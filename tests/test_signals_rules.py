@@ -152,3 +152,16 @@ def test_rules_cover_the_taxonomy_and_order(spark):
     with pytest.raises(ValueError, match="bogus"):
         taxonomy.validate_names(["bogus"])
     assert [x["dimension"] for x in taxonomy.flatten({"dimensions": [{"name": "D", "categories": [{"name": "n"}]}]})] == ["D"]
+
+
+def test_given_tools_take_the_place_of_the_family(spark):
+    own = registry.ToolNames(search=("find",), edit=("patch",), navigate=("open",), semantic=("ask",))
+    calls = [{"function_name": t, "arguments": {"path": t}} for t in ("find", "open", "patch", "ask", "Read", "Grep")]
+    result = {"task_name": "t", "agent_info": {"name": "openhands"}, "verifier_result": {"rewards": {"reward": 1.0}}}
+    one = lambda x: spark.createDataFrame([("/r/t__1", json.dumps(x))], "trial_path string, raw string")
+    got = [signals.extract(one(result), one({"steps": [{"tool_calls": calls}]}), tools=t) for t in (None, own)]
+    count = ("search_tool_calls", "edit_tool_calls", "code_nav_tool_calls", "semantic_search_tool_calls")
+    assert [tuple(df.select(*count).first()) for df in got] == [(0, 0, 0, 0), (1, 1, 1, 1)]
+    assert got[1].first().files_edited_list == ["patch"] and "open" in got[1].first().files_read_list
+    names = [{c.name for c in rules.annotate(df, t).first().categories} for df, t in zip(got, (None, own), strict=True)]
+    assert "success_via_semantic_search" in names[1] - names[0]
