@@ -350,11 +350,11 @@ def test_words_stay_beside_their_beginnings(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))
     assert any(stem and "idiot".startswith(t) for t, stem in model.terms) and ("idiot", False) in model.terms
-    assert model.features("idjot")[1:] == (1, 1, 0) and model.features("idiotic")[1:] == (1, 0, 0)
+    assert model.evidence("idjot")[1:] == (1, 1, 0) and model.evidence("idiotic")[1:] == (1, 0, 0)
     # the marks of a quotation longer than 80 characters
     long = " ".join(words[:20])
-    assert model.features(f'he "{long} idiot {long}" no')[3] == 1 and model.features(f'"{long}" idiot "{long}"')[3] == 0
-    assert model.features(f"“{long} idiot\n {long}”")[3] == 0
+    assert model.evidence(f'he "{long} idiot {long}" no')[3] == 1 and model.evidence(f'"{long}" idiot "{long}"')[3] == 0
+    assert model.evidence(f"“{long} idiot\n {long}”")[3] == 0
 
 
 def test_crf_marginals_against_enumeration():
