@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, forest, line_rules, media, mixing, pii, quality_crf, toxicity, url_lm, warc
+from . import align, bpe_stream, exchange, forest, line_rules, media, mixing, pii, quality_crf, toxicity, url_lm, warc
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_toxicity, op3_quality_crf, op4_warc, op5_quality_rules, op6_pii, op7_bpe, op8_jaccard_join, op9_url_filter, op10_mixing)
+    for f in (op1_media_columns, op2_toxicity, op3_quality_crf, op4_warc, op5_quality_rules, op6_pii, op7_bpe, op8_jaccard_join, op9_url_filter, op10_mixing, op11_exact_dedup, op12_alignment)
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +104,5 @@ SELECT t.doc_id, c.class_id, min(t.doc_id) OVER (PARTITION BY t.same) AS text_id
 FROM t JOIN c ON c.node = t.doc_id LEFT JOIN d ON d.x = t.doc_id
 """,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_exact_dedup": exchange.ORACLE_SQL,
 }
