@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """The names of all columns as select() takes them, whatever characters they have."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
+
+
+def schema_ddl(df: DataFrame) -> str:
+    return ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(quoted(df), df.schema, strict=True))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -73,6 +82,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sch
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
     arrow = to_arrow_schema(parsed)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[dict]:
@@ -80,12 +90,12 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sch
                 step = max(1, int(len(b) * (1 << 20) / max(1, b.nbytes)))
                 for i in range(0, len(b), step):
                     part = b.slice(i, step)
-                    yield {name: part.column(j).to_pylist() for j, name in enumerate(part.schema.names)}
+                    yield {name: part.column(j).to_pylist() for j, name in enumerate(names)}
 
         for out in fn(pieces()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, parsed)
+    return df.toDF(*[f"c{j}" for j in range(len(names))]).mapInArrow(run, parsed)  # mapInArrow takes no names that have to be quoted
 
 
 def sample_share(rows: int, bound: int) -> float:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, discard, map_arrow, written
+from .common import cut, discard, map_arrow, quoted, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 N, THRESHOLD = 5, 0.8
@@ -356,4 +356,4 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that have another representative: the smallest id of each class stays, and every row without an id."""
     gone = classes(docs, threshold).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs))

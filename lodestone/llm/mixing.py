@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 
 #: Weights in the code-point order of sources, repeating; the share of all words to take, and the cap in times of a source's size.
 WEIGHTS, SHARE_2X, CAP = (3, 1, 2), 3, 2
 #: Hash buckets of a size class: at least so many, and more by powers of two so that there is one for ROWS_EACH documents of the table;
-#: the multipliers of the bucket hash and of the offsets.
-BUCKETS, ROWS_EACH, MIX, SEED = 256, 65_536, 40503, 7
+#: the modulus and multiplier of the bucket hash, and that of the offsets.
+BUCKETS, ROWS_EACH, PRIME, MIX, SEED = 256, 65_536, (1 << 31) - 1, 40503, 7
 
 
 def word_count(text):
@@ -75,7 +75,7 @@ def buckets_of(rows: int) -> int:
 def plan(docs: DataFrame, weights=WEIGHTS, share_2x: int = SHARE_2X, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, the kept columns, size, source_size, target and copies."""
     n_buckets = buckets_of(docs.count())
-    doc = F.coalesce(F.col("doc_id"), F.lit(0))
+    doc = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PRIME))  # ids of the whole range of long, without an overflow
     spread = F.pmod(doc * MIX + F.floor(doc / BUCKETS) * 97, F.lit(n_buckets))
     sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("block", (size_class(F.col("size")) * n_buckets + spread).cast("long"))
@@ -100,9 +100,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, share_2x: int = SHARE_2X, cap: int =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with the columns of docs."""
-    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # one column, so that no name can clash
+    packed = docs.select("doc_id", "source", "text", F.struct(*quoted(docs)).alias("row"))  # one column, so that no name can clash
     picked = plan(packed, keep=("row",), **options).filter("copies > 0")
-    return picked.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    fields = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return picked.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*fields)
 
 
 ORACLE_SQL = f"""
@@ -128,11 +129,13 @@ WITH words AS (
   FROM level LEFT JOIN cutoff ON true
 ), buckets AS (
   SELECT CAST(greatest({BUCKETS}, pow(2, ceil(log2(greatest(1, count(*)) / {ROWS_EACH}.0)))) AS BIGINT) AS nb FROM documents
+), reduced AS (
+  SELECT *, (doc_id % {PRIME} + {PRIME}) % {PRIME} AS small FROM words
 ), blocked AS (
   SELECT doc_id, source, size,
          (CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) END) * nb
-           + ((doc_id * {MIX} + CAST(floor(doc_id / {BUCKETS}) AS BIGINT) * 97) % nb) AS block
-  FROM words, buckets
+           + ((small * {MIX} + CAST(floor(small / {BUCKETS}) AS BIGINT) * 97) % nb) AS block
+  FROM reduced, buckets
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, size, doc_id) - 1 AS pos FROM blocked
 ), rated AS (

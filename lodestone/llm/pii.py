@@ -25,7 +25,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, schema_ddl
 
 KINDS = ("email", "ip", "card", "phone")
 #: An address before (read backwards) and behind its @; what is tried at the start of each run of digits.
@@ -365,14 +365,11 @@ def mask_column(docs: DataFrame) -> DataFrame:
     """docs with masked texts and n_chars to match; a narrow pass, all columns kept."""
     from pyspark.sql import functions as F
 
-    names = docs.columns
-
     def run(pieces: Iterator[dict]) -> Iterator[dict]:
         for p in pieces:
             yield p | {"text": [mask(t) for t in p["text"]]}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_arrow(docs, run, schema)
-    if "n_chars" in names:
+    out = map_arrow(docs, run, schema_ddl(docs))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out

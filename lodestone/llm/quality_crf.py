@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_share, map_arrow, sample_share, split_of
+from .common import cut, hash_share, map_arrow, sample_share, schema_ddl, split_of
 from .toxicity import fit_logistic, learnable
 
 #: Labelled rows that are learned from, at most (about; chosen by hash), lines of such a row, lines of all of them (about), and
@@ -277,11 +277,10 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataF
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
     """docs without the rows that the classifier rejects; one narrow pass, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, bound))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(pieces: Iterator[dict]) -> Iterator[dict]:
         for p in pieces:
             keep = [i for i, s in enumerate(shared.value.scores(p["text"])) if s >= THRESHOLD]
             yield {k: [v[i] for i in keep] for k, v in p.items()}
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema_ddl(docs))

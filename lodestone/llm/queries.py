@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe_stream, exchange, forest, line_rules, media, mixing, pii, quality_crf, toxicity, url_lm, warc
+from . import align, bpe_stream, exchange, forest, line_rules, media, mixing, pii, quality_crf, toxicity, url_lm, variants, warc
 from .common import table
 
 
@@ -66,9 +66,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignments(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_toxicity, op3_quality_crf, op4_warc, op5_quality_rules, op6_pii, op7_bpe, op8_jaccard_join, op9_url_filter, op10_mixing, op11_exact_dedup, op12_alignment)
+    for f in (op1_media_columns, op2_toxicity, op3_quality_crf, op4_warc, op5_quality_rules, op6_pii, op7_bpe, op8_jaccard_join, op9_url_filter, op10_mixing, op11_exact_dedup, op12_alignment, op13_spelling_variants)
 }
 
 ORACLES: dict[str, str] = {
@@ -105,4 +109,5 @@ FROM t JOIN c ON c.node = t.doc_id LEFT JOIN d ON d.x = t.doc_id
 """,
     "op10_mixing": mixing.ORACLE_SQL,
     "op11_exact_dedup": exchange.ORACLE_SQL,
+    "op13_spelling_variants": variants.ORACLE_SQL,
 }
