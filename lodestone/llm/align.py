@@ -11,9 +11,9 @@ Words. In a text of plain Latin characters with lone spaces between them, pretok
 one: no piece of B has a space mark after another character (checked when the file is read), and B puts a space before what it is given.
 So a word has the same ids wherever it stands, and a block's distinct words are encoded and aligned once. Another text is one word.
 
-Counts of id pairs are partial sums before the shuffle. They come back to the documents without a hot key: of the pairs that hold more
-than 1 / HEAVY of all links there are fewer than HEAVY, these are broadcast; the links of all others are summed up by document and
-shuffled to counts that hold at most that share.
+Counts of id pairs are sums over the blocks' words by how often they occur, partial before the shuffle. They come back to the words
+without a hot key: of the pairs that hold more than 1 / HEAVY of all links there are fewer than HEAVY, these are broadcast; all others are
+shuffled to counts that hold at most that share. A document's sums are then those of its words.
 
 Defined cases. Texts that are null, empty, or not given back by A or B as space and text have no tokens: zeros and ''. Special tokens'
 strings in a text are plain text. Repeated rows are documents of their own and count as such. An empty table gives an empty result.
@@ -37,13 +37,13 @@ from .bpe_stream import byte_symbols
 from .common import cut, map_arrow, written
 
 #: Characters of a block; id pairs that can be broadcast.
-BLOCK, HEAVY = 1 << 22, 1 << 18
-#: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; a word too long for the quick path.
-PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~ -ɏ]*"), re.compile(r"^ |\s | \s| $"), re.compile(r"[^ ]{500}")
+BLOCK, HEAVY = 1 << 21, 1 << 18
+#: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; words too long for the quick path.
+PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~\u00A0-\u024F]*"), ("  ", " \n", "\n ", " \t", "\t ", " \u00a0", "\u00a0 "), 500
 #: How A splits a text before merging.
 SPLIT_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-BLOCKS = "ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>, word_ends array<int>, word_a array<int>, word_b array<int>, docs array<struct<doc_id:bigint,words:array<int>>>"
+BLOCKS = "ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>, word_ends array<int>, word_a array<int>, word_b array<int>, word_times array<int>, docs array<struct<doc_id:bigint,words:array<int>>>"
 
 
 class Pair:
@@ -82,7 +82,7 @@ class Pair:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """The ids of A for space and text, of B for the text, and whether both give the bytes back."""
         raw = " " + text
-        if PLAIN.fullmatch(text) and not LONG.search(text):
+        if PLAIN.fullmatch(text) and len(max(text.split(" "), key=len)) < LONG:
             a = self.quick_a.encode_ordinary(raw)
         else:
             a = self.a.encode_batch_fast([raw], add_special_tokens=False)[0].ids
@@ -92,8 +92,10 @@ class Pair:
 
     def words_of(self, text: str) -> list[str] | None:
         """The words of a text that is cut at its spaces; None for another."""
-        even = self.by_word and PLAIN.fullmatch(text) and not UNEVEN.search(text) and not LONG.search(text)
-        return text.split(" ") if even else None
+        if not self.by_word or text[0] == " " or text[-1] == " " or not PLAIN.fullmatch(text) or any(x in text for x in UNEVEN):
+            return None
+        words = text.split(" ")
+        return words if max(map(len, words)) < LONG else None
 
     def block(self, doc_ids: list, texts: list[str | None]) -> dict:
         """A row of BLOCKS."""
@@ -125,7 +127,8 @@ class Pair:
         ends = np.concatenate([none, *[p[2] + s for p, s in zip(parts, starts, strict=False)]])
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b)]
-        return {"ids_a": a, "ends_a": ends_a, "ids_b": b, "ends_b": ends_b, "word_ends": ends, "word_a": counts[0], "word_b": counts[1], "docs": docs}
+        return {"ids_a": a, "ends_a": ends_a, "ids_b": b, "ends_b": ends_b, "word_ends": ends, "word_a": counts[0], "word_b": counts[1],
+                "word_times": np.bincount([w for d in docs for w in d["words"]], minlength=len(ends)), "docs": docs}
 
 
 @lru_cache(maxsize=2)
@@ -169,7 +172,7 @@ def _indices(array: str):
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_a, n_b, groups (array of texts a1,a2|b1) and links (A's id in the upper half of a long, B's in the lower)."""
+    """Blocks with the groups (texts a1,a2|b1) and links (longs: A's id in the upper half, B's in the lower) of each of their words."""
     same = sealed(blocks.withColumn("common", F.array_intersect("ends_a", "ends_b")))
     dense = sealed(same.withColumns({"at_a": _numbered("ends_a"), "at_b": _numbered("ends_b"), "at_g": _numbered("common")}).drop("ends_a", "ends_b"))
     first = F.array(F.lit(-1))
@@ -185,46 +188,66 @@ def aligned(blocks: DataFrame) -> DataFrame:
 
     group = lambda k: F.concat(part("text_a", "cuts_a", k), F.lit("|"), part("text_b", "cuts_b", k))
     link = lambda k: F.shiftleft(F.col("ids_a")[F.col("cuts_a")[k + 1]].cast("long"), 32) + F.col("ids_b")[F.col("cuts_b")[k + 1]]
-    groups = sealed(cuts.select("word_cuts", "word_a", "word_b", "docs", F.transform(_indices("common"), group).alias("groups"), F.transform(_indices("common"), link).alias("links")))
+    kept = ["word_cuts", "word_a", "word_b", "word_times", "docs"]
+    groups = sealed(cuts.select(*kept, F.transform(_indices("common"), group).alias("groups"), F.transform(_indices("common"), link).alias("links")))
     of_word = lambda c, k: F.slice(c, F.col("word_cuts")[k] + 2, F.col("word_cuts")[k + 1] - F.col("word_cuts")[k])
-    words = sealed(groups.select("word_a", "word_b", "docs", *[F.transform(_indices("word_a"), partial(of_word, c)).alias(f"word_{c}") for c in ("groups", "links")]))
-    total = lambda c, d: F.aggregate(d["words"], F.lit(0).cast("long"), lambda n, w: n + F.col(c)[w])
+    return groups.select(*kept[1:], *[F.transform(_indices("word_a"), partial(of_word, c)).alias(f"word_{c}") for c in ("groups", "links")])
+
+
+def document_groups(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
+    """A row for each document with its groups and links in full: doc_id, groups, links."""
     every = lambda c, d: F.flatten(F.transform(d["words"], lambda w: F.col(c)[w]))
-    out = words.select(F.explode(F.transform("docs", lambda d: F.struct(
-        d["doc_id"].alias("doc_id"), total("word_a", d).alias("n_a"), total("word_b", d).alias("n_b"), every("word_groups", d).alias("groups"), every("word_links", d).alias("links"),
-    ))).alias("doc"))
-    return out.select("doc.*")
+    one = lambda d: F.struct(d["doc_id"].alias("doc_id"), every("word_groups", d).alias("groups"), every("word_links", d).alias("links"))
+    return sealed(aligned(tokenised(docs, path_a, path_b, block))).select(F.explode(F.transform("docs", one)).alias("doc")).select("doc.*")
+
+
+def _over_words(d, column: str):
+    """The sum of a column of words over a document's words."""
+    return F.aggregate(d["words"], F.lit(0).cast("long"), lambda n, w: n + F.col(column)[w])
 
 
-def documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A written row for each document: its numbers, the digest of its groups and its links."""
-    size = lambda c: F.size(c).cast("long")
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    rows = aligned(tokenised(docs, path_a, path_b)).select("doc_id", "n_a", "n_b", size("groups").alias("n_groups"), digest.alias("groups_sha256"), "links")
-    return written(rows.withColumn("row", F.monotonically_increasing_id()), "align-documents")
+def block_rows(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
+    """A written row for each block: the links of its words, how often each word occurs, and its documents with what does not depend on others."""
+    words = aligned(tokenised(docs, path_a, path_b, block))
+    words = sealed(words.withColumns({"word_text": F.transform("word_groups", lambda g: F.array_join(g, ";")), "word_n": F.transform("word_groups", F.size)}).drop("word_groups"))
+    text = lambda d: F.array_join(F.transform(d["words"], lambda w: F.col("word_text")[w]), ";")
+    one = lambda d: F.struct(
+        d["doc_id"].alias("doc_id"), *[_over_words(d, f"word_{c}").alias(f"n_{c}") for c in ("a", "b", "n")],
+        F.when(F.size(d["words"]) > 0, F.sha2(text(d), 256)).otherwise("").alias("groups_sha256"), d["words"].alias("words"),
+    )
+    rows = words.select("word_links", "word_times", F.transform("docs", one).alias("docs"))
+    return written(rows.withColumn("block", F.monotonically_increasing_id()), "align-blocks")
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
+def pair_counts(blocks: DataFrame) -> DataFrame:
     """(pair, count, best): how many links of all documents hold an id pair, and whether no pair of its B id has more."""
-    counts = cut(docs.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count")))
+    words = blocks.select(F.explode(F.arrays_zip("word_links", "word_times")).alias("word")).select(F.col("word.word_times").alias("times"), F.explode("word.word_links").alias("pair"))
+    counts = cut(words.groupBy("pair").agg(F.sum("times").alias("count")))
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
     most = counts.groupBy(b).agg(F.max("count").alias("most"))
     return counts.withColumn("b", b).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
 
 
-def alignments(docs: DataFrame, path_a: str, path_b: str, heavy: int = HEAVY) -> DataFrame:
-    """A row for each document: tokens, groups, links, and what their links' counts over all documents say."""
-    rows = documents(docs, path_a, path_b)
-    counts = cut(pair_counts(rows))
+def word_sums(blocks: DataFrame, counts: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(block, sums): for each word of a block in its order, how many of its links are best and the sum of their counts."""
     total = counts.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * heavy > total
-    known = F.broadcast(counts.filter(often))
-    links = rows.select("row", F.explode("links").alias("pair"))
-    sums = lambda df, n: df.groupBy("row").agg(F.sum(n * F.col("best")).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
-    frequent = sums(links.join(known, "pair"), F.lit(1))
-    seldom = links.join(F.broadcast(counts.filter(often).select("pair")), "pair", "left_anti").groupBy("row", "pair").agg(F.count(F.lit(1)).alias("times"))
-    rare = sums(seldom.join(counts.filter(~often), "pair"), F.col("times"))
-    per_row = frequent.unionByName(rare).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    zero = F.lit(0).cast("long")
-    found = rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256").join(per_row, "row", "left")
-    return found.withColumns({c: F.coalesce(F.col(c), zero) for c in ("n_best", "count_sum")}).drop("row")
+    links = blocks.select("block", F.posexplode("word_links").alias("word", "links")).select("block", "word", F.explode_outer("links").alias("pair"))
+    add = lambda df: df.groupBy("block", "word").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
+    joined = links.join(F.broadcast(counts.filter(often)), "pair", "left")
+    frequent = add(joined.filter("count is not null or pair is null"))
+    rare = add(links.join(F.broadcast(counts.filter(often).select("pair")), "pair", "left_anti").filter("pair is not null").join(counts.filter(~often), "pair"))
+    both = add(frequent.unionByName(rare))
+    each = F.struct("word", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("count", F.lit(0)).alias("count"))
+    return both.groupBy("block").agg(F.array_sort(F.collect_list(each)).alias("sums"))  # no more of them than a block has words
+
+
+def alignments(docs: DataFrame, path_a: str, path_b: str, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
+    """A row for each document: tokens, groups, links, and what their links' counts over all documents say."""
+    blocks = block_rows(docs, path_a, path_b, block)
+    counts = cut(pair_counts(blocks))
+    found = blocks.select("block", "docs").join(word_sums(blocks, counts, heavy), "block", "left")
+    found = sealed(found.select("docs", F.transform("sums", lambda s: s["best"]).alias("best"), F.transform("sums", lambda s: s["count"]).alias("count")))
+    one = lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_n"], d["groups_sha256"], _over_words(d, "best"), _over_words(d, "count"))
+    doc = found.select(F.explode(F.transform("docs", one)).alias("doc")).select("doc.*").toDF("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_best", "count_sum")
+    return doc.withColumn("n_links", F.col("n_groups"))  # one for each common end
