@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import random
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import taxonomy
 from ..functions.columns import dot, safe_ratio, sigmoid
 from ..schemas import MODEL_VERSION
+from ..session import written
 from .stats import with_scores
 
 # The features in order; those that signals lack count as 0.
@@ -41,83 +43,205 @@ def scaling(df: DataFrame, vector: str = "x", n: int = len(FEATURES)) -> DataFra
     return df.agg(at(F.avg).alias("means"), at(lambda c: F.greatest(F.stddev_pop(c), F.lit(LEAST_STD))).alias("stds"))
 
 
-def _descend(x: np.ndarray, y: np.ndarray, rate: float, epochs: int, l2: float) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent on the class-weighted logistic loss, from zero."""
-    pos = y.sum()
-    weight = np.where(y == 1, len(y) / (2 * max(pos, 1)), len(y) / (2 * max(len(y) - pos, 1)))
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(epochs):
-        g = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500))) - y)
-        w -= rate * (x.T @ g / len(y) + l2 * w)
-        b -= rate * g.mean()
-    return w, b
+class _Models:
+    """Every model that is fitted at once: of each category one on all trials, and one for each fold on the others' trials."""
 
+    def __init__(self, folds: list[int]) -> None:
+        of = [(c, f) for c, k in enumerate(folds) for f in range(-1, k)]
+        self.category, self.fold = (np.array(x, int) for x in zip(*of, strict=True))
+        self.whole = self.fold < 0
 
-def _scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x.mean(0), np.maximum(x.std(0), LEAST_STD)
+    def fitted(self, fold: np.ndarray) -> np.ndarray:
+        """Which rows belong to which model's training, by their folds in each category."""
+        return fold[:, self.category] != self.fold
 
 
-def _folds(y: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    out, rng = np.zeros(len(y), int), random.Random(seed)
-    for label in (1, 0):
-        at = [int(i) for i in np.flatnonzero(y == label)]
-        rng.shuffle(at)
-        for place, i in enumerate(at):
-            out[i] = place % k
-    return out
+def _block(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> bytes:
+    """Rows as bytes: features, whether a category's label is there, and the fold in each category."""
+    return np.array([*x.shape, y.shape[1]], np.int64).tobytes() + x.astype(np.float64).tobytes() + y.astype(np.uint8).tobytes() + fold.astype(np.int8).tobytes()
+
+
+def _pieces(raw: bytes, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    n, d, c = np.frombuffer(raw, np.int64, 3)
+    x = np.frombuffer(raw, np.float64, n * d, 24).reshape(n, d)
+    y = np.frombuffer(raw, np.uint8, n * c, 24 + 8 * n * d).reshape(n, c)
+    fold = np.frombuffer(raw, np.int8, n * c, 24 + 8 * n * d + n * c).reshape(n, c)
+    for i in range(0, n, rows):
+        yield x[i : i + rows], y[i : i + rows], fold[i : i + rows]
+
+
+def _sizes(x, y, fold, m: _Models, _) -> np.ndarray:
+    """Rows and positive rows of each model, and the sums of its features."""
+    t = m.fitted(fold).astype(float)
+    return np.column_stack([t.sum(0), (t * y[:, m.category]).sum(0), t.T @ x])
+
+
+def _squares(x, y, fold, m: _Models, means) -> np.ndarray:
+    """Squared distances from each model's means."""
+    t = m.fitted(fold).astype(float)
+    return np.stack([t[:, i] @ (x - means[i]) ** 2 for i in range(len(means))])
+
+
+def _gradient(x, y, fold, m: _Models, state) -> np.ndarray:
+    """Sums of the class-weighted logistic loss's gradient by the features as they are, and by the constant."""
+    w, b, positive, negative = state
+    of = y[:, m.category]
+    g = np.where(of, positive, negative) * (_sigmoid(x @ w.T + b) - of) * m.fitted(fold)
+    return np.column_stack([g.sum(0), g.T @ x])
+
 
+def _outcome(x, y, fold, m: _Models, state) -> np.ndarray:
+    """Of each model's own rows (all of the whole one, the held-back ones of a fold): hits, predicted, positive, and sums of score and label by bin."""
+    w, b, bins = state
+    p, of = _sigmoid(x @ w.T + b), y[:, m.category].astype(float)
+    own = np.where(m.whole, True, ~m.fitted(fold))
+    hit = (p >= 0.5) & own
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    each = [((p * own * (at == i)).sum(0), (of * own * (at == i)).sum(0)) for i in range(bins)]
+    return np.column_stack([(hit * of).sum(0), hit.sum(0), (of * own).sum(0), own.sum(0), *[x for pair in each for x in pair]])
 
-def _prf(p: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    hit, tp = p >= 0.5, float(((p >= 0.5) & (y == 1)).sum())
-    precision, recall = tp / max(hit.sum(), 1), tp / max(y.sum(), 1)
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _fit(sums: Callable, m: _Models, d: int, rate: float, epochs: int, l2: float, bins: int = 10) -> dict[str, np.ndarray]:
+    """Full-batch gradient descent of all models from zero; sums(f, state) adds f up over all rows, wherever they are.
+
+    Features are scaled by each model's own rows. The rows stay as they are: the weights are turned to the rows' scale before an epoch
+    and the gradient back after it. A feature that does not vary in a model's rows has no weight in it.
+    """
+    n, positive, total = np.split(sums(_sizes, None), [1, 2], axis=1)
+    means = total / n
+    stds = np.sqrt(sums(_squares, means) / n)
+    varies = stds > LEAST_STD
+    stds = np.maximum(stds, LEAST_STD)
+    w, b, n, positive = np.zeros((len(n), d)), np.zeros(len(n)), n[:, 0], positive[:, 0]
+    weights = n / (2 * np.maximum(positive, 1)), n / (2 * np.maximum(n - positive, 1))
+    plain = lambda: (np.where(varies, w / stds, 0.0), b - np.where(varies, means * w / stds, 0.0).sum(1))
+    for _ in range(epochs):
+        g0, g = np.split(sums(_gradient, (*plain(), *weights)), [1], axis=1)
+        g = np.where(varies, (g - means * g0) / stds, 0.0)
+        w -= rate * (g / n[:, None] + l2 * w)
+        b -= rate * g0[:, 0] / n
+    return {"weights": w, "bias": b, "means": means, "stds": stds, "n": n, "positive": positive, "outcome": sums(_outcome, (*plain(), bins))}
+
+
+def _prf(tp: float, predicted: float, positive: float) -> tuple[float, float, float]:
+    precision, recall = float(tp / max(predicted, 1)), float(tp / max(positive, 1))
     return precision, recall, 2 * precision * recall / (precision + recall) if tp else 0.0
 
 
-def _ece(p: np.ndarray, y: np.ndarray, bins: int = 10) -> float:
-    b = np.minimum((p * bins).astype(int), bins - 1)
-    return float(sum(abs(p[b == i].sum() - y[b == i].sum()) for i in range(bins)) / len(p))
+def _rows(names: list[str], m: _Models, fit: dict[str, np.ndarray], shift: np.ndarray) -> list[tuple]:
+    """A row of MODEL for each category."""
+    out = []
+    for c, name in enumerate(names):
+        whole, of = (np.flatnonzero((m.category == c) & (m.whole == x)) for x in (True, False))
+        i, (tp, predicted, positive, n) = whole[0], fit["outcome"][whole[0], :4]
+        cv: tuple = (None, None, None, None, "insufficient_data")
+        if len(of):
+            held = fit["outcome"][of].sum(0)
+            precision, recall, f1 = _prf(*held[:3])
+            cv = (f1, precision, recall, float(np.abs(held[4::2] - held[5::2]).sum() / held[3]), "ok")
+        numbers = [fit[k][i].tolist() for k in ("weights", "bias")] + [(fit["means"][i] + shift).tolist(), fit["stds"][i].tolist()]
+        out.append((name, *numbers, int(positive), int(n - positive), _prf(tp, predicted, positive)[2], *cv))
+    return out
 
 
-def train(labels: DataFrame, signals: DataFrame, *, min_positive: int = 3, rate: float = 0.1, epochs: int = 500, l2: float = 0.01, folds: int = 5, categories: tuple[str, ...] | None = None, max_rows: int = 200_000) -> DataFrame:
+def train(labels: DataFrame, signals: DataFrame, *, min_positive: int = 3, rate: float = 0.1, epochs: int = 500, l2: float = 0.01, folds: int = 5, categories: tuple[str, ...] | None = None, block_rows: int = 65_536) -> DataFrame:
     """A model row for each category that has enough positive trials and is not derived from the reward.
 
-    labels: trial_id, category_name; every labelled trial counts as judged. A category is trained in a task of its own on at most
-    max_rows trials, chosen by hash (a bounded sample is enough for 21 weights, and keeps a task's memory bounded).
+    labels: trial_id, category_name; every labelled trial counts as judged and is trained on, in every category. Trials are kept as
+    blocks of numbers in the shared folder; each epoch is one pass over them that sums up the gradients of all categories and folds at
+    once, partly in the tasks, then by number of the sum, so that the driver gets one value for each weight. Trials that fit into one block
+    are descended on in its task by the same code. Folds are stretches of the order of a hash, of equal length for either label.
     """
-    judged = labels.select("trial_id").distinct()
-    x = signals.select("trial_id", features(signals).alias("x")).join(judged, "trial_id")
-    total = x.count()
-    if total > max_rows:
-        x = x.filter(F.pmod(F.xxhash64("trial_id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
+    spark = signals.sparkSession
     wanted = labels.filter(~F.col("category_name").isin(*sorted(taxonomy.DERIVED)))
     if categories:
         wanted = wanted.filter(F.col("category_name").isin(*categories))
+    wanted = wanted.select("trial_id", "category_name").distinct()
     # the taxonomy bounds the number of categories
-    cats = F.broadcast(wanted.groupBy("category_name").agg(F.countDistinct("trial_id").alias("k")).filter(F.col("k") >= min_positive).select(F.col("category_name").alias("category")))
-    positive = wanted.select("trial_id", F.col("category_name").alias("category"), F.lit(1).alias("y")).distinct()
-    rows = x.crossJoin(cats).join(positive, ["trial_id", "category"], "left").select("category", "trial_id", "x", F.coalesce("y", F.lit(0)).alias("y"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trial_id")
-        x, y = np.array(pdf["x"].tolist(), float), pdf["y"].to_numpy(float)
-        mean, std = _scale(x)
-        w, b = _descend((x - mean) / std, y, rate, epochs, l2)
-        f1 = _prf(1 / (1 + np.exp(-((x - mean) / std @ w + b))), y)[2]
-        pos, neg = int(y.sum()), int(len(y) - y.sum())
-        k = max(2, min(folds, pos, neg))
-        if pos < 2 or neg < 2:
-            cv: tuple = (None, None, None, None, "insufficient_data")
-        else:
-            fold, p = _folds(y, k), np.zeros(len(y))
-            for i in range(k):
-                m, s = _scale(x[fold != i])
-                wi, bi = _descend((x[fold != i] - m) / s, y[fold != i], rate, epochs, l2)
-                p[fold == i] = 1 / (1 + np.exp(-np.clip((x[fold == i] - m) / s @ wi + bi, -500, 500)))
-            precision, recall, cv_f1 = _prf(p, y)
-            cv = (cv_f1, precision, recall, _ece(p, y), "ok")
-        return pd.DataFrame([(pdf["category"].iloc[0], w.tolist(), float(b), mean.tolist(), std.tolist(), pos, neg, float(f1), *cv)], columns=[c.split(" ")[0] for c in MODEL.split(", ")])
-
-    return rows.groupBy("category").applyInPandas(fit, MODEL)
+    names = sorted(r[0] for r in wanted.groupBy("category_name").count().filter(F.col("count") >= min_positive).collect())
+    if not names:
+        return spark.createDataFrame([], MODEL)
+    judged = labels.select("trial_id").distinct()
+    has = wanted.filter(F.col("category_name").isin(*names)).groupBy("trial_id").agg(F.collect_set("category_name").alias("has"))  # at most all categories
+    x = signals.select("trial_id", features(signals).alias("x")).join(judged, "trial_id").join(has, "trial_id", "left")
+    # percentiles are computed as doubles: 52 bits of the hash
+    x = written(x.select(F.shiftright(F.xxhash64("trial_id"), 12).alias("h"), "x", *[F.coalesce(F.array_contains("has", n), F.lit(False)).alias(f"y{i}") for i, n in enumerate(names)]), "train-rows")
+    y = [F.col(f"y{i}") for i in range(len(names))]
+    first = x.agg(F.count(F.lit(1)), F.array(*[F.min(F.col("x")[i]) for i in range(len(FEATURES))]), F.array(*[F.count_if(c) for c in y])).first()
+    rows, shift, positives = first[0], np.array(first[1], float), first[2]
+    if not rows:
+        return spark.createDataFrame([], MODEL)
+    k = [max(2, min(folds, p, rows - p)) if min(p, rows - p) >= 2 else 0 for p in positives]
+    # where folds end in the order of hashes, for each category and label
+    ends = lambda c, n: F.percentile_approx(F.when(c, F.col("h")), [i / n for i in range(1, n)], 10_000)
+    cuts = x.agg(F.array(*[F.struct(ends(~c, max(2, n)), ends(c, max(2, n))) for c, n in zip(y, k, strict=True)])).first()[0]
+    cuts = [[np.array(e or [], np.int64) if n else np.empty(0, np.int64) for e in pair] for pair, n in zip(cuts, k, strict=True)]
+    m, d = _Models(k), len(FEATURES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        packed = lambda: pa.RecordBatch.from_pydict({"block": [_block(*map(np.concatenate, zip(*held, strict=True)))]})
+        for b in batches:
+            h, numbers = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), d)
+            has = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False).astype(np.uint8) for i in range(len(names))])
+            fold = np.column_stack([np.where(has[:, i], np.searchsorted(c[1], h), np.searchsorted(c[0], h)) for i, c in enumerate(cuts)])
+            held.append((numbers - shift, has, fold))
+            if sum(len(x[0]) for x in held) >= block_rows:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    tasks = -(-rows // block_rows)
+    blocks = written(x.repartition(tasks, "h").mapInArrow(pack, "block binary"), "train-blocks").persist(StorageLevel.MEMORY_AND_DISK)
+    fit = _fit_in_task(blocks, m, d, rate, epochs, l2) if tasks == 1 else _fit(_summing(blocks, m), m, d, rate, epochs, l2)
+    blocks.unpersist()
+    return spark.createDataFrame(_rows(names, m, fit, shift), MODEL)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch], f: Callable, m: _Models, state) -> np.ndarray | None:
+    total = None
+    for b in batches:
+        for raw in b.column(0):
+            for piece in _pieces(raw.as_py()):
+                part = f(*piece, m, state)
+                total = part if total is None else total + part
+    return total
+
+
+def _summing(blocks: DataFrame, m: _Models) -> Callable:
+    """Sums over all blocks: partial ones in the tasks, then by place."""
+
+    def sums(f: Callable, state) -> np.ndarray:
+        shared = blocks.sparkSession.sparkContext.broadcast(state)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _add_up(batches, f, m, shared.value)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["place", "value"])
+
+        found = blocks.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
+        shared.destroy()
+        return found["value"].to_numpy().reshape(len(m.fold), -1)
+
+    return sums
+
+
+def _fit_in_task(blocks: DataFrame, m: _Models, d: int, rate: float, epochs: int, l2: float) -> dict[str, np.ndarray]:
+    """The same descent where there is one block: nothing has to be brought together between epochs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            fit = _fit(lambda f, state: _add_up(held, f, m, state), m, d, rate, epochs, l2)
+            yield pa.RecordBatch.from_pydict({"name": list(fit), "shape": [list(v.shape) for v in fit.values()], "values": [v.ravel().astype(float) for v in fit.values()]})
+
+    found = blocks.coalesce(1).mapInArrow(run, "name string, shape array<long>, values array<double>").collect()
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in found}
 
 
 def save(model: DataFrame, path: str) -> None:
