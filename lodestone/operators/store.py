@@ -226,15 +226,15 @@ class AnnotationStore:
         pointer["log"] = []
         self._replace(pointer, [*replaced.values(), *log])
 
-    def _checked(self, rows: DataFrame, taxonomy_version: str) -> DataFrame:
+    @staticmethod
+    def _shaped(rows: DataFrame) -> DataFrame:
         rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ANNOTATIONS.fields])
-        rows = rows.withColumn("annotator_identity", identity(F.col("annotator_identity")))
+        return rows.withColumn("annotator_identity", identity(F.col("annotator_identity")))
+
+    def _same_versions(self, rows: DataFrame, taxonomy_version: str, schema_version: str) -> None:
         wrong = [v for v in versions(rows) if v != taxonomy_version]
         if wrong:
             raise MixedVersionError(f"the batch has taxonomy versions {wrong}, not {taxonomy_version}")
-        return rows
-
-    def _same_versions(self, taxonomy_version: str, schema_version: str) -> None:
         have = {"taxonomy_version": taxonomy_version, "schema_version": schema_version} | self.meta()
         for name, wanted in (("taxonomy_version", taxonomy_version), ("schema_version", schema_version)):
             if have[name] != wanted:
@@ -242,11 +242,11 @@ class AnnotationStore:
 
     def upsert(self, rows: DataFrame, taxonomy_version: str, schema_version: str = ANNOTATION_VERSION) -> int:
         """Merges rows, and the log if there is one, into the buckets; returns how many rows the store then has."""
-        rows = self._checked(rows, taxonomy_version)
+        rows = self._shaped(rows)
         if twice := duplicate_keys(rows).limit(1).collect():
             raise DuplicateKeyError(f"the batch has a key twice: {twice[0].asDict()}")
         with self._locked():
-            self._same_versions(taxonomy_version, schema_version)
+            self._same_versions(rows, taxonomy_version, schema_version)
             pointer = self._pointer()
             late = self._ordered(pointer, [])
             self._merge(pointer, late.unionByName(rows.withColumn("_o", F.lit(len(pointer["log"]) + 1))))
@@ -260,10 +260,14 @@ class AnnotationStore:
             pointer = self._pointer()
             if pointer["streams"].get(stream, -1) >= batch:
                 return False
-            rows = self._checked(rows, taxonomy_version)
-            self._same_versions(taxonomy_version, schema_version)
             place = f"log-{uuid.uuid4().hex}"
-            last_writes(rows.withColumn("_o", F.monotonically_increasing_id()), "_o").drop("_o").write.option("compression", "zstd").parquet(f"{self.path}/{place}")
+            # a stream's batch is computed once: what is checked is what was written
+            last_writes(self._shaped(rows).withColumn("_o", F.monotonically_increasing_id()), "_o").drop("_o").write.option("compression", "zstd").parquet(f"{self.path}/{place}")
+            try:
+                self._same_versions(self._rows([place]), taxonomy_version, schema_version)
+            except MixedVersionError:
+                shutil.rmtree(f"{self.path}/{place}", ignore_errors=True)
+                raise
             n = self._rows([place]).count()
             pointer["streams"][stream] = batch
             if n:
