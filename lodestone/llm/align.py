@@ -11,9 +11,9 @@ Words. In a text of plain Latin characters with lone spaces between them, pretok
 one: no piece of B has a space mark after another character (checked when the file is read), and B puts a space before what it is given.
 So a word has the same ids wherever it stands, and a block's distinct words are encoded and aligned once. Another text is one word.
 
-Counts of id pairs are sums over the blocks' words by how often they occur, partial before the shuffle. They come back to the words
-without a hot key: of the pairs that hold more than 1 / HEAVY of all links there are fewer than HEAVY, these are broadcast; all others are
-shuffled to counts that hold at most that share. A document's sums are then those of its words.
+Counts of id pairs are sums over the blocks' words by how often they occur, partial before the shuffle. They come back to the documents
+without a hot key: of the pairs that hold more than 1 / HEAVY of all links there are fewer than HEAVY, these are broadcast; the links of
+all others are summed up by document and shuffled to counts that hold at most that share.
 
 Defined cases. Texts that are null, empty, or not given back by A or B as space and text have no tokens: zeros and ''. Special tokens'
 strings in a text are plain text. Repeated rows are documents of their own and count as such. An empty table gives an empty result.
@@ -37,7 +37,7 @@ from .bpe_stream import byte_symbols
 from .common import cut, map_arrow, written
 
 #: Characters of a block; id pairs that can be broadcast.
-BLOCK, HEAVY = 1 << 21, 1 << 18
+BLOCK, HEAVY = 1 << 20, 1 << 18
 #: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; words too long for the quick path.
 PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~\u00A0-\u024F]*"), ("  ", " \n", "\n ", " \t", "\t ", " \u00a0", "\u00a0 "), 500
 #: How A splits a text before merging.
@@ -184,7 +184,8 @@ def aligned(blocks: DataFrame) -> DataFrame:
 
     def part(texts: str, cut_at: str, k):
         i, j = F.col(cut_at)[k], F.col(cut_at)[k + 1]
-        return F.when(j == i + 1, F.col(texts)[j]).otherwise(F.array_join(F.slice(texts, i + 2, j - i), ","))
+        two = F.concat(F.col(texts)[j - 1], F.lit(","), F.col(texts)[j])  # one and two tokens are nearly all
+        return F.when(j == i + 1, F.col(texts)[j]).when(j == i + 2, two).otherwise(F.array_join(F.slice(texts, i + 2, j - i), ","))
 
     group = lambda k: F.concat(part("text_a", "cuts_a", k), F.lit("|"), part("text_b", "cuts_b", k))
     link = lambda k: F.shiftleft(F.col("ids_a")[F.col("cuts_a")[k + 1]].cast("long"), 32) + F.col("ids_b")[F.col("cuts_b")[k + 1]]
@@ -228,26 +229,24 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
 
 
-def word_sums(blocks: DataFrame, counts: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(block, sums): for each word of a block in its order, how many of its links are best and the sum of their counts."""
+def document_sums(blocks: DataFrame, counts: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(block, doc, n_best, count_sum): for each document by its place in its block, how many of its links are best and the sum of their counts."""
     total = counts.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * heavy > total
-    links = blocks.select("block", F.posexplode("word_links").alias("word", "links")).select("block", "word", F.explode_outer("links").alias("pair"))
-    add = lambda df: df.groupBy("block", "word").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
-    joined = links.join(F.broadcast(counts.filter(often)), "pair", "left")
-    frequent = add(joined.filter("count is not null or pair is null"))
-    rare = add(links.join(F.broadcast(counts.filter(often).select("pair")), "pair", "left_anti").filter("pair is not null").join(counts.filter(~often), "pair"))
-    both = add(frequent.unionByName(rare))
-    each = F.struct("word", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("count", F.lit(0)).alias("count"))
-    return both.groupBy("block").agg(F.array_sort(F.collect_list(each)).alias("sums"))  # no more of them than a block has words
+    of_doc = lambda d: F.flatten(F.transform(d["words"], lambda w: F.col("word_links")[w]))
+    links = blocks.select("block", F.posexplode(F.transform("docs", of_doc)).alias("doc", "links")).select("block", "doc", F.explode("links").alias("pair"))
+    sums = lambda df, n: df.groupBy("block", "doc").agg(F.sum(n * F.col("best")).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
+    frequent = sums(links.join(F.broadcast(counts.filter(often)), "pair"), F.lit(1))
+    seldom = links.join(F.broadcast(counts.filter(often).select("pair")), "pair", "left_anti").groupBy("block", "doc", "pair").agg(F.count(F.lit(1)).alias("times"))
+    rare = sums(seldom.join(counts.filter(~often), "pair"), F.col("times"))
+    return frequent.unionByName(rare).groupBy("block", "doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
     """A row for each document: tokens, groups, links, and what their links' counts over all documents say."""
     blocks = block_rows(docs, path_a, path_b, block)
     counts = cut(pair_counts(blocks))
-    found = blocks.select("block", "docs").join(word_sums(blocks, counts, heavy), "block", "left")
-    found = sealed(found.select("docs", F.transform("sums", lambda s: s["best"]).alias("best"), F.transform("sums", lambda s: s["count"]).alias("count")))
-    one = lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_n"], d["groups_sha256"], _over_words(d, "best"), _over_words(d, "count"))
-    doc = found.select(F.explode(F.transform("docs", one)).alias("doc")).select("doc.*").toDF("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_best", "count_sum")
-    return doc.withColumn("n_links", F.col("n_groups"))  # one for each common end
+    numbers = lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_n"].alias("n_groups"), d["n_n"].alias("n_links"), d["groups_sha256"])  # noqa: E731  a link for each group
+    rows = blocks.select("block", F.posexplode(F.transform("docs", numbers)).alias("doc", "row")).select("block", "doc", "row.*")
+    found = rows.join(document_sums(blocks, counts, heavy), ["block", "doc"], "left").drop("block", "doc")
+    return found.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")})
