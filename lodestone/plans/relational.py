@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import model, report, store
 from ..operators.signals import normalize_lists
+from ..session import shared_dir
 from ..streaming import trials as streaming
 from . import adapter
 from .queries import _LABELS, A, S, _table, query
@@ -40,7 +43,7 @@ def anti_join(spark, d):
     return _table(spark, d, "customer").join(_table(spark, d, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query(A + " SELECT coalesce(x.u, y.u) AS u, coalesce(x.seg, y.seg) AS seg, coalesce(x.category_name, y.category_name) AS category_name, x.u IS NOT NULL AS in_a, y.u IS NOT NULL AS in_b FROM annotations x FULL JOIN second y ON x.u = y.u AND x.seg = y.seg AND x.category_name = y.category_name")
+@query(A + " SELECT u, seg, category_name, bool_or(a) AS in_a, NOT bool_and(a) AS in_b FROM (SELECT u, seg, category_name, true AS a FROM annotations UNION ALL SELECT u, seg, category_name, false FROM second) GROUP BY u, seg, category_name")
 def full_outer_labels(spark, d):
     a = adapter.annotations(spark, d)
     x = a.select("u", "seg", "category_name", F.lit(True).alias("in_a"))
@@ -121,11 +124,11 @@ def set_operations(spark, d):
     return c.exceptAll(s).unionByName(c.intersect(s)).unionByName(n.subtract(c))
 
 
-@query(A + ", x AS (SELECT u, seg, category_name FROM annotations), y AS (SELECT u, seg, category_name FROM second), a AS (SELECT u, seg, count(*) AS n FROM (SELECT * FROM x EXCEPT SELECT * FROM y) GROUP BY ALL) SELECT * FROM a")
+@query(A + ", x AS (SELECT u, seg, category_name FROM annotations), y AS (SELECT u, seg, category_name FROM second), a AS (SELECT u, seg, count(*) AS n FROM ((SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL (SELECT * FROM y EXCEPT SELECT * FROM x)) GROUP BY ALL) SELECT * FROM a")
 def disputed_categories(spark, d):
     a = adapter.annotations(spark, d)
-    key = ["u", "seg", "category_name"]
-    return a.select(key).subtract(adapter.second_opinion(a).select(key)).groupBy("u", "seg").agg(F.count(F.lit(1)).alias("n"))
+    x, y = (df.select("u", "seg", "category_name") for df in (a, adapter.second_opinion(a)))
+    return x.subtract(y).unionByName(y.subtract(x)).groupBy("u", "seg").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Store and export -----------------------------------------------------------------------------------------------------------------
@@ -134,9 +137,12 @@ def disputed_categories(spark, d):
 @query(A + ", w AS (SELECT u, seg, category_name, confidence, 1 AS o FROM annotations UNION ALL SELECT u, seg, category_name, confidence, 2 FROM second), r AS (SELECT *, row_number() OVER (PARTITION BY u, seg, category_name ORDER BY o DESC) AS n FROM w) SELECT u, seg, category_name, round(confidence, 9) AS confidence FROM r WHERE n = 1")
 def upsert_last_writer_wins(spark, d):
     a = adapter.annotations(spark, d)
-    row = lambda df, day, o: df.select("u", "seg", F.concat_ws("/", "u", "seg").alias("trial_id"), "category_name", "confidence", F.lit("heuristic").alias("annotator_type"), F.lit("rules").alias("annotator_identity"), F.lit("3.0.0").alias("taxonomy_version"), F.lit(day).alias("annotated_at"), F.lit(o).alias("o"))
-    both = row(a, "2026-01-01T00:00:00Z", 0).unionByName(row(adapter.second_opinion(a), "2026-01-02T00:00:00Z", 1))
-    return store.last_writes(both, "o").select("u", "seg", "category_name", F.round("confidence", 9).alias("confidence"))
+    row = lambda df, day: df.select(F.concat_ws("/", "u", "seg").alias("trial_id"), "category_name", "confidence", F.lit("heuristic").alias("annotator_type"), F.lit("rules").alias("annotator_identity"), F.lit("3.0.0").alias("taxonomy_version"), F.lit(day).alias("annotated_at"))
+    kept = store.AnnotationStore(spark, urlsplit(shared_dir(spark, "annotations")).path)  # a store of its own, in the shared folder
+    for batch in (row(a, "2026-01-01T00:00:00Z"), row(adapter.second_opinion(a), "2026-01-02T00:00:00Z")):
+        kept.upsert(batch, "3.0.0")
+    part = lambda i: F.split("trial_id", "/")[i].cast("long")
+    return kept.read().select(part(0).alias("u"), part(1).alias("seg"), "category_name", F.round("confidence", 9).alias("confidence"))
 
 
 @query(A + " SELECT u, seg, category_name, count(*) AS n FROM (SELECT u, seg, category_name FROM annotations UNION ALL SELECT u, seg, category_name FROM second) GROUP BY ALL HAVING count(*) > 1")
