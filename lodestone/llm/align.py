@@ -1,23 +1,25 @@
 """Alignment of two tokenizers' tokens by the byte offsets where both end a token.
 
-Python only tokenises. A block of documents becomes one row: its distinct words one behind the other, with the ids and end offsets of
-both tokenizers' tokens, and for each document the numbers of its words. From there on everything is Spark functions. array_intersect of
-the two arrays of ends gives the offsets where both end; the token that ends at an offset is found in an array that names for each byte
-the token it belongs to (array_repeat by length, flattened), so that a look-up costs one access; sequence and transform make a group and a
-link from each pair of neighbouring offsets; a document's groups and links are those of its words, and aggregate sums up its tokens. A
-link joins the tokens of A and B that end at the same offset; each offset has one of either.
+Python only cuts texts into words and tokenises. Each distinct word of the corpus is tokenised and aligned once: packs of words come as
+one row, the words one behind the other, with the ids and end offsets of both tokenizers' tokens. From there on everything is Spark
+functions. array_intersect of the two arrays of ends gives the offsets where both end; the token that ends at an offset is found in an
+array that names for each byte the token it belongs to (array_repeat by length, flattened), so that a look-up costs one access; sequence
+and transform make a group and a link from each pair of neighbouring offsets; a document's groups are those of its words, and aggregate
+sums up what its words hold. A link joins the tokens of A and B that end at the same offset; each offset has one of either.
 
 Words. In a text of plain Latin characters with lone spaces between them, pretokens of A end before every space and no piece of B spans
 one: no piece of B has a space mark after another character (checked when the file is read), and B puts a space before what it is given.
-So a word has the same ids wherever it stands, and a block's distinct words are encoded and aligned once. Another text is one word.
+So a word has the same ids wherever it stands. Another text is one word. A block of documents names each of its distinct words once, and
+its documents are lists of the words' numbers in the block; words are counted, partially before the shuffle, and their results go back
+to the blocks that hold them.
 
-Counts of id pairs are sums over the blocks' words by how often they occur, partial before the shuffle. They come back to the documents
-without a hot key: of the pairs that hold more than 1 / HEAVY of all links there are fewer than HEAVY, these are broadcast; the links of
-all others are summed up by document and shuffled to counts that hold at most that share.
+Counts of id pairs are sums over the words by how often they occur. Neither join has a hot key: of the pairs that stand in more than
+1 / HEAVY of all links of distinct words, and of the words in more than 1 / HEAVY of all rows of blocks, there are fewer than HEAVY;
+these are broadcast (words only if shorter than LONG), the others are shuffled.
 
 Defined cases. Texts that are null, empty, or not given back by A or B as space and text have no tokens: zeros and ''. Special tokens'
 strings in a text are plain text. Repeated rows are documents of their own and count as such. An empty table gives an empty result.
-Other columns are ignored. Memory is a block of BLOCK characters, or the one text that is longer.
+Other columns are ignored. Memory is BLOCKS_A_TASK blocks of BLOCK characters, or the one text that is longer.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +39,16 @@ from ..functions.columns import sealed
 from .bpe_stream import byte_symbols
 from .common import cut, map_arrow, written
 
-#: Characters of a block; id pairs that can be broadcast.
-BLOCK, HEAVY = 1 << 20, 1 << 18
+#: Characters of a block of documents, of a pack of words; blocks that one task puts together; pairs and words that can be broadcast.
+BLOCK, PACK, BLOCKS_A_TASK, HEAVY = 1 << 23, 1 << 19, 4, 1 << 16
 #: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; words too long for the quick path.
 PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~\u00A0-\u024F]*"), ("  ", " \n", "\n ", " \t", "\t ", " \u00a0", "\u00a0 "), 500
 #: How A splits a text before merging.
 SPLIT_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-BLOCKS = "ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>, word_ends array<int>, word_a array<int>, word_b array<int>, word_times array<int>, docs array<struct<doc_id:bigint,words:array<int>>>"
+#: A row is a word of a block (block, no, word, times) or a document of it (block, doc_id, words: numbers of its words).
+PARTS = "block bigint, no int, word string, times bigint, doc_id bigint, words array<int>"
+PACKS = "ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>, word_ends array<int>, word_a array<int>, word_b array<int>, words array<struct<word:string,times:bigint,blocks:bigint>>"
 
 
 class Pair:
@@ -97,38 +102,28 @@ class Pair:
         words = text.split(" ")
         return words if max(map(len, words)) < LONG else None
 
-    def block(self, doc_ids: list, texts: list[str | None]) -> dict:
-        """A row of BLOCKS."""
-        number: dict[str, int] = {}
-        docs, odd = [], []
-        for doc_id, text in zip(doc_ids, texts, strict=True):
-            words = self.words_of(text) if text else []
-            if words is None:
-                odd.append((len(docs), text))
-            docs.append({"doc_id": doc_id, "words": [number.setdefault(w, len(number)) for w in words or ()]})
+    def pack(self, words: list[str]) -> dict:
+        """Words one behind the other, those that are whole texts last: ids, ends, and of each word the end, the numbers of tokens and its place."""
+        plain, odd = [], []
+        for i, w in enumerate(words):
+            (odd if self.words_of(w) is None else plain).append(i)
         parts = []
-        if number:
-            ends = np.cumsum([len(w.encode()) + 1 for w in number])
-            a, b, gives = self.encode(" ".join(number))
+        if plain:
+            ends = np.cumsum([len(words[i].encode()) + 1 for i in plain])
+            a, b, gives = self.encode(" ".join([words[i] for i in plain]))
             if not gives:
                 raise ValueError("plain words that a tokenizer does not give back")
             parts.append((a, b, ends))
-        for n, (at, text) in enumerate(odd, len(number)):
-            a, b, gives = self.encode(text)
-            parts.append((a, b, np.array([len(text.encode()) + 1])) if gives else (a[:0], b[:0], np.array([0])))
-            docs[at]["words"] = [n] if gives else []
-        return self._row(parts, docs)
-
-    def _row(self, parts: list[tuple], docs: list[dict]) -> dict:
-        """Parts one behind the other: ids, ends, and of each word the end and the numbers of tokens."""
+        for i in odd:
+            a, b, gives = self.encode(words[i])
+            parts.append((a, b, np.array([len(words[i].encode()) + 1])) if gives else (a[:0], b[:0], np.array([0])))
         none = np.empty(0, np.int64)
         a, b = (np.concatenate([none, *[p[i] for p in parts]]) for i in (0, 1))
         starts = np.cumsum([0, *[p[2][-1] for p in parts]])
         ends = np.concatenate([none, *[p[2] + s for p, s in zip(parts, starts, strict=False)]])
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b)]
-        return {"ids_a": a, "ends_a": ends_a, "ids_b": b, "ends_b": ends_b, "word_ends": ends, "word_a": counts[0], "word_b": counts[1],
-                "word_times": np.bincount([w for d in docs for w in d["words"]], minlength=len(ends)), "docs": docs}
+        return {"ids_a": a, "ends_a": ends_a, "ids_b": b, "ends_b": ends_b, "word_ends": ends, "word_a": counts[0], "word_b": counts[1], "order": plain + odd}
 
 
 @lru_cache(maxsize=2)
@@ -136,25 +131,55 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of documents, tokenised by both."""
+def in_parts(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
+    """Documents as blocks of distinct words and lists of their numbers, a written table of PARTS."""
+
+    def rows(n: int, number: dict[str, int], ids: list, lists: list) -> dict:
+        k, m = len(number), len(ids)
+        times = np.bincount(np.fromiter((w for x in lists for w in x), np.int64), minlength=k).tolist()
+        return {"block": [n] * (k + m), "no": [*range(k), *[None] * m], "word": [*number, *[None] * m], "times": times + [None] * m, "doc_id": [None] * k + ids, "words": [None] * k + lists}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        pair = _pair(path_a, path_b)
-        ids, texts, size = [], [], 0
-        row = lambda: {k: [v if k == "docs" else v.astype(np.int32)] for k, v in pair.block(ids, texts).items()}
+        pair, n = _pair(path_a, path_b), TaskContext.get().partitionId() << 33
+        number, ids, lists, size = {}, [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                words = (pair.words_of(text) or [text]) if text else []
                 ids.append(doc_id)
-                texts.append(text)
+                lists.append([number.setdefault(w, len(number)) for w in words])
                 size += len(text or "")
                 if size >= block:
-                    yield row()
-                    ids, texts, size = [], [], 0
+                    yield rows(n, number, ids, lists)
+                    number, ids, lists, size, n = {}, [], [], 0, n + 1
         if ids:
-            yield row()
+            yield rows(n, number, ids, lists)
+
+    return written(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PARTS), "align-parts")
+
+
+def tokenised(words: DataFrame, path_a: str, path_b: str, size: int = PACK) -> DataFrame:
+    """Packs of words (word, times, blocks), tokenised by both."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        pair = _pair(path_a, path_b)
+
+        def pack(rows: list[tuple]) -> dict:
+            out = pair.pack([r[0] for r in rows])
+            order = out.pop("order")
+            return {k: [v.astype(np.int32)] for k, v in out.items()} | {"words": [[dict(zip(("word", "times", "blocks"), rows[i], strict=True)) for i in order]]}
+
+        rows, held = [], 0
+        for batch in batches:
+            for row in zip(batch["word"], batch["times"], batch["blocks"], strict=True):
+                rows.append(row)
+                held += len(row[0])
+                if held >= size:
+                    yield pack(rows)
+                    rows, held = [], 0
+        if rows:
+            yield pack(rows)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, BLOCKS)
+    return map_arrow(words.select("word", "times", "blocks"), run, PACKS)
 
 
 def _numbered(ends: str):
@@ -171,9 +196,9 @@ def _indices(array: str):
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def aligned(blocks: DataFrame) -> DataFrame:
-    """Blocks with the groups (texts a1,a2|b1) and links (longs: A's id in the upper half, B's in the lower) of each of their words."""
-    same = sealed(blocks.withColumn("common", F.array_intersect("ends_a", "ends_b")))
+def aligned(packs: DataFrame) -> DataFrame:
+    """A row for each word: its counts, the numbers of tokens and of groups, the groups as text (a1,a2|b1;a3|b2) and the links (longs: A's id in the upper half, B's in the lower)."""
+    same = sealed(packs.withColumn("common", F.array_intersect("ends_a", "ends_b")))
     dense = sealed(same.withColumns({"at_a": _numbered("ends_a"), "at_b": _numbered("ends_b"), "at_g": _numbered("common")}).drop("ends_a", "ends_b"))
     first = F.array(F.lit(-1))
     cuts = sealed(dense.withColumns({
@@ -189,64 +214,81 @@ def aligned(blocks: DataFrame) -> DataFrame:
 
     group = lambda k: F.concat(part("text_a", "cuts_a", k), F.lit("|"), part("text_b", "cuts_b", k))
     link = lambda k: F.shiftleft(F.col("ids_a")[F.col("cuts_a")[k + 1]].cast("long"), 32) + F.col("ids_b")[F.col("cuts_b")[k + 1]]
-    kept = ["word_cuts", "word_a", "word_b", "word_times", "docs"]
+    kept = ["word_cuts", "word_a", "word_b", "words"]
     groups = sealed(cuts.select(*kept, F.transform(_indices("common"), group).alias("groups"), F.transform(_indices("common"), link).alias("links")))
     of_word = lambda c, k: F.slice(c, F.col("word_cuts")[k] + 2, F.col("word_cuts")[k + 1] - F.col("word_cuts")[k])
-    return groups.select(*kept[1:], *[F.transform(_indices("word_a"), partial(of_word, c)).alias(f"word_{c}") for c in ("groups", "links")])
-
-
-def document_groups(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
-    """A row for each document with its groups and links in full: doc_id, groups, links."""
-    every = lambda c, d: F.flatten(F.transform(d["words"], lambda w: F.col(c)[w]))
-    one = lambda d: F.struct(d["doc_id"].alias("doc_id"), every("word_groups", d).alias("groups"), every("word_links", d).alias("links"))
-    return sealed(aligned(tokenised(docs, path_a, path_b, block))).select(F.explode(F.transform("docs", one)).alias("doc")).select("doc.*")
-
-
-def _over_words(d, column: str):
-    """The sum of a column of words over a document's words."""
-    return F.aggregate(d["words"], F.lit(0).cast("long"), lambda n, w: n + F.col(column)[w])
+    long = lambda c, k: F.col(c)[k].cast("long")
+    one = lambda k: F.struct(
+        F.col("words")[k].alias("word"), long("word_a", k).alias("n_a"), long("word_b", k).alias("n_b"), (F.col("word_cuts")[k + 1] - F.col("word_cuts")[k]).cast("long").alias("n_n"),
+        F.array_join(of_word("groups", k), ";").alias("text"), of_word("links", k).alias("links"),
+    )
+    return groups.select(F.explode(F.transform(_indices("word_a"), one)).alias("w")).select("w.word.*", "w.n_a", "w.n_b", "w.n_n", "w.text", "w.links")
 
 
-def block_rows(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
-    """A written row for each block: the links of its words, how often each word occurs, and its documents with what does not depend on others."""
-    words = aligned(tokenised(docs, path_a, path_b, block))
-    words = sealed(words.withColumns({"word_text": F.transform("word_groups", lambda g: F.array_join(g, ";")), "word_n": F.transform("word_groups", F.size)}).drop("word_groups"))
-    text = lambda d: F.array_join(F.transform(d["words"], lambda w: F.col("word_text")[w]), ";")
-    one = lambda d: F.struct(
-        d["doc_id"].alias("doc_id"), *[_over_words(d, f"word_{c}").alias(f"n_{c}") for c in ("a", "b", "n")],
-        F.when(F.size(d["words"]) > 0, F.sha2(text(d), 256)).otherwise("").alias("groups_sha256"), d["words"].alias("words"),
-    )
-    rows = words.select("word_links", "word_times", F.transform("docs", one).alias("docs"))
-    return written(rows.withColumn("block", F.monotonically_increasing_id()), "align-blocks")
+def aligned_words(parts: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A written row for each distinct word: how often it occurs, in how many blocks, and what aligned() says of it."""
+    words = parts.filter("word IS NOT NULL").groupBy("word").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("blocks"))
+    return written(aligned(tokenised(words, path_a, path_b)).withColumn("id", F.monotonically_increasing_id()), "align-words")
 
 
-def pair_counts(blocks: DataFrame) -> DataFrame:
-    """(pair, count, best): how many links of all documents hold an id pair, and whether no pair of its B id has more."""
-    words = blocks.select(F.explode(F.arrays_zip("word_links", "word_times")).alias("word")).select(F.col("word.word_times").alias("times"), F.explode("word.word_links").alias("pair"))
-    counts = cut(words.groupBy("pair").agg(F.sum("times").alias("count")))
+def pair_counts(words: DataFrame) -> DataFrame:
+    """(pair, rows, count, best): in how many links of words and of documents an id pair stands, and whether no pair of its B id stands in more of documents."""
+    counts = cut(words.select("times", F.explode("links").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("rows"), F.sum("times").alias("count")))
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
     most = counts.groupBy(b).agg(F.max("count").alias("most"))
-    return counts.withColumn("b", b).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+    return counts.withColumn("b", b).join(most, "b").select("pair", "rows", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+
+
+def with_sums(words: DataFrame, counts: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Words with n_best and count_sum: how many of their links are best, and the sum of their links' counts; a written table."""
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") * heavy > total
+    links = words.select("id", F.explode("links").alias("pair"))
+    sums = lambda df: df.groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    frequent = sums(links.join(F.broadcast(counts.filter(often)), "pair"))
+    seldom = links.join(F.broadcast(counts.filter(often).select("pair")), "pair", "left_anti")
+    found = frequent.unionByName(sums(seldom.join(counts.filter(~often), "pair"))).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_best", "count_sum")])
+    out = words.drop("links", "times").join(found, "id", "left").drop("id")
+    return written(out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")}), "align-sums")
+
+
+def by_block(parts: DataFrame, words: DataFrame, columns: list[str], heavy: int = HEAVY) -> DataFrame:
+    """A row for each block: its documents (doc_id, words), and each column of its words as an array by number."""
+    used, common = parts.filter("word IS NOT NULL").select("block", "no", "word"), words.select("word", "blocks", *columns)
+    total = common.agg(F.sum("blocks")).first()[0] or 0
+    often = (F.col("blocks") * heavy > total) & (F.length("word") < LONG)
+    frequent = used.join(F.broadcast(common.filter(often)), "word")
+    seldom = used.join(F.broadcast(common.filter(often).select("word")), "word", "left_anti").join(common.filter(~often), "word")
+    found = frequent.unionByName(seldom).select("block", F.struct("no", *columns).alias("w"))
+    docs = parts.filter("words IS NOT NULL").select("block", F.struct("doc_id", "words").alias("d"))
+    tasks = max(1, -(-parts.filter("words IS NOT NULL").select("block").distinct().count() // BLOCKS_A_TASK))
+    rows = found.unionByName(docs, allowMissingColumns=True).repartition(tasks, "block").groupBy("block")
+    rows = sealed(rows.agg(F.sort_array(F.collect_list("w")).alias("w"), F.collect_list("d").alias("docs")))
+    return sealed(rows.select("docs", *[F.col(f"w.{c}").alias(c) for c in columns]))
+
+
+def _joined(d):
+    """The groups of a document's words as one text."""
+    groups = F.filter(F.transform(d["words"], lambda w: F.col("text")[w]), lambda t: t != "")
+    return F.array_join(groups, ";")
 
 
-def document_sums(blocks: DataFrame, counts: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(block, doc, n_best, count_sum): for each document by its place in its block, how many of its links are best and the sum of their counts."""
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    often = F.col("count") * heavy > total
-    of_doc = lambda d: F.flatten(F.transform(d["words"], lambda w: F.col("word_links")[w]))
-    links = blocks.select("block", F.posexplode(F.transform("docs", of_doc)).alias("doc", "links")).select("block", "doc", F.explode("links").alias("pair"))
-    sums = lambda df, n: df.groupBy("block", "doc").agg(F.sum(n * F.col("best")).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
-    frequent = sums(links.join(F.broadcast(counts.filter(often)), "pair"), F.lit(1))
-    seldom = links.join(F.broadcast(counts.filter(often).select("pair")), "pair", "left_anti").groupBy("block", "doc", "pair").agg(F.count(F.lit(1)).alias("times"))
-    rare = sums(seldom.join(counts.filter(~often), "pair"), F.col("times"))
-    return frequent.unionByName(rare).groupBy("block", "doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+def document_groups(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
+    """A row for each document with its groups and links in full: doc_id, groups, links."""
+    parts = in_parts(docs, path_a, path_b, block)
+    groups = lambda d: F.filter(F.split(_joined(d), ";"), lambda t: t != "")
+    one = lambda d: F.struct(d["doc_id"].alias("doc_id"), groups(d).alias("groups"), F.flatten(F.transform(d["words"], lambda w: F.col("links")[w])).alias("links"))
+    return by_block(parts, aligned_words(parts, path_a, path_b), ["text", "links"]).select(F.explode(F.transform("docs", one)).alias("doc")).select("doc.*")
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, heavy: int = HEAVY, block: int = BLOCK) -> DataFrame:
     """A row for each document: tokens, groups, links, and what their links' counts over all documents say."""
-    blocks = block_rows(docs, path_a, path_b, block)
-    counts = cut(pair_counts(blocks))
-    numbers = lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_n"].alias("n_groups"), d["n_n"].alias("n_links"), d["groups_sha256"])  # noqa: E731  a link for each group
-    rows = blocks.select("block", F.posexplode(F.transform("docs", numbers)).alias("doc", "row")).select("block", "doc", "row.*")
-    found = rows.join(document_sums(blocks, counts, heavy), ["block", "doc"], "left").drop("block", "doc")
-    return found.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")})
+    parts = in_parts(docs, path_a, path_b, block)
+    words = aligned_words(parts, path_a, path_b)
+    figures = ["n_a", "n_b", "n_n", "n_best", "count_sum"]
+    blocks = by_block(parts, with_sums(words, cut(pair_counts(words)), heavy), ["text", *figures], heavy)
+    over_words = lambda d, c: F.aggregate(d["words"], F.lit(0).cast("long"), lambda n, w: n + F.col(c)[w])
+    one = lambda d: F.struct(d["doc_id"].alias("doc_id"), *[over_words(d, c).alias(c) for c in figures], _joined(d).alias("text"))
+    rows = blocks.select(F.explode(F.transform("docs", one)).alias("doc")).select("doc.*")
+    digest = F.when(F.col("text") != "", F.sha2("text", 256)).otherwise("")
+    return rows.select("doc_id", "n_a", "n_b", F.col("n_n").alias("n_groups"), F.col("n_n").alias("n_links"), digest.alias("groups_sha256"), "n_best", "count_sum")
