@@ -21,9 +21,9 @@ ERROR_WORDS = "error|fail|exception|traceback"
 
 
 def canonical_arguments(arguments: Column) -> Column:
-    """Arguments with their keys in order; text that is no object stays as it is."""
-    entries = F.map_entries(F.from_json(arguments, "map<string,string>"))
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(entries))), arguments, F.lit(""))
+    """Arguments with the keys of objects in order at every depth, as a variant keeps them; text that is no object, or names a key twice, stays as it is."""
+    is_object = F.trim(arguments).startswith("{") & F.trim(arguments).endswith("}")
+    return F.coalesce(F.when(is_object, F.to_json(F.try_parse_json(arguments))), arguments, F.lit(""))
 
 
 def argument_path(arguments: Column) -> Column:

@@ -61,7 +61,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = calls(spark, sf_dir)
     # an edit carries as many lines as the event's number says
     content = F.when(F.col("tool").isin(*EDITING) & (F.col("k") > 0), F.concat(F.repeat(F.lit("x\n"), F.col("k").cast("int") - 1), F.lit("x")))
-    arguments = F.struct(F.col("path").alias("file_path"), content.alias("content"))
+    lines = F.struct(F.lit(1).alias("first"), F.lit(2).alias("last"))
+    arguments = F.struct(F.col("path").alias("file_path"), content.alias("content"), F.struct(lines.alias("lines")).alias("view"))
     said = F.when(~F.col("is_error"), "done").when(F.col("k") % 2 == 0, "Traceback: it did not work").otherwise('{"results": [{"content": "an "}, {"content": "Error"}]}')
     step = F.struct("ts", "event_id", F.array(F.struct(F.col("tool").alias("function_name"), arguments.alias("arguments"))).alias("tool_calls"), said.alias("observation"))
     t = c.groupBy("u", "seg").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -79,8 +80,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((u + seg) % 58 == 0, "RateLimitError: rate limit reached").when((u + seg) % 29 == 0, "ValueError: crashed").alias("exception_info"),
     )
     path = F.concat(F.lit("runs/"), pick(CONFIGS, seg), F.lit("/"), pick(CONFIGS, seg), F.lit("_"), task, F.lit("__"), u, F.lit("-"), seg)
-    steps = F.transform("steps", lambda x: F.struct(x["tool_calls"], x["observation"]))
-    return t.select(path.alias("trial_path"), F.to_json(result).alias("result"), F.to_json(F.struct(steps.alias("steps"))).alias("trajectory"))
+    steps = F.transform("steps", lambda x: F.struct(x["tool_calls"], x["event_id"].alias("step_id"), x["observation"]))
+    # every other event names the keys of its nested argument the other way round: the same call to whoever reads it
+    turned = F.regexp_replace(F.to_json(F.struct(steps.alias("steps"))), r'\{"first":1,"last":2\}(\}\}\}\],"step_id":\d*[13579],)', r'{"last":2,"first":1}$1')
+    return t.select(path.alias("trial_path"), F.to_json(result).alias("result"), turned.alias("trajectory"))
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,20 @@ def test_signals_of_one_trial(spark):
     assert r.has_trajectory and len(r.trial_id) == 32 and r.trial_id_full.startswith(r.trial_id)
 
 
+def test_retries_by_nested_arguments(spark):
+    """(arguments, whether a call with them repeats the one before)."""
+    calls = [
+        ('{"a": {"b": {"c": 1, "d": [{"x": 1, "y": 2}]}, "e": 2}}', False), ('{"a": {"e": 2, "b": {"d": [{"y": 2, "x": 1}], "c": 1}}}', True),
+        ('{"a": {"e": 2, "b": {"d": [{"y": 2, "x": 3}], "c": 1}}}', False), ('{"k": 1}', False), ('{"k": "1"}', False), ('{"k": null}', False), ("{}", False), ("[2, 1]", False), ("[1, 2]", False),
+        ('"text {"', False), ('"text {"', True), ('{"k": 1, "k": 2}', False), ('{"k": 1, "k": 2}', True), ('{"é": "\\u00e9"}', False), ('{"\\u00e9": "é"}', True), ("null", False), ("null", True),
+    ]
+    raw = '{"steps": [' + ", ".join(f'{{"tool_calls": [{{"function_name": "t", "arguments": {a}}}]}}' for a, _ in calls) + "]}"
+    df = signals.extract(spark.createDataFrame([("/r/x", json.dumps(RESULT))], "trial_path string, raw string"), spark.createDataFrame([("/r/x", raw)], "trial_path string, raw string"))
+    assert df.first().retry_count == sum(again for _, again in calls)
+    for i in range(1, len(calls)):  # each pair by itself
+        assert spark.range(1).select((signals.canonical_arguments(F.lit(calls[i - 1][0])) == signals.canonical_arguments(F.lit(calls[i][0])))).first()[0] == calls[i][1]
+
+
 def test_what_is_no_trial(spark):
     rows = [("/r/ok", RESULT), ("/r/none", {"x": 1}), ("/r/bad", "{not json"), ("/r/__incomplete/t", RESULT), ("/r/null", {"agent_info": None})]
     assert {r.trial_path for r in extract(spark, rows, []).collect()} == {"/r/ok", "/r/null"}
