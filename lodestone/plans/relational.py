@@ -7,7 +7,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import model, report, store
+from ..operators import model, report, segments, store
 from ..operators.signals import normalize_lists
 from ..session import shared_dir
 from ..streaming import trials as streaming
@@ -53,11 +53,11 @@ def full_outer_labels(spark, d):
 
 @query("WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id AS view_id FROM events WHERE event_type = 'view') SELECT e.event_id, max_by(v.view_id, (v.ts, v.view_id)) AS last_view FROM e LEFT JOIN v ON v.user_id = e.user_id AND v.ts <= e.ts GROUP BY e.event_id")
 def as_of_join(spark, d):
-    """The last view before each purchase: one sort by user and time carries it forward, so no pair of events is ever built."""
+    """The last view before each purchase: a scan by user and time carries it forward, so no pair of events is ever built; a hot user is scanned in stretches."""
     e = _table(spark, d, "events").select("event_id", "user_id", "ts", "event_type").filter(F.col("event_type").isin("view", "purchase"))
-    w = W.partitionBy("user_id").orderBy("ts", F.col("event_type").desc(), "event_id").rowsBetween(W.unboundedPreceding, 0)
-    view = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("last_view", view).filter("event_type = 'purchase'").select("event_id", "last_view")
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    seen = segments.last_value(e, ["user_id"], ["ts", F.desc("event_type"), "event_id"], view, "last_view")
+    return seen.filter("event_type = 'purchase'").select("event_id", "last_view")
 
 
 @query("WITH q AS (SELECT n_nationkey, n_nationkey * 1000.0 AS lo, n_nationkey * 1000.0 + 1500 AS hi FROM nation) SELECT n_nationkey, count(*) AS n FROM q JOIN customer ON c_acctbal >= lo AND c_acctbal < hi GROUP BY n_nationkey")
@@ -75,9 +75,9 @@ def range_join(spark, d):
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rolling, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events")
 def window_frames(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    frames = lambda w: {"rolling": F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 6), "before": F.lag("event_type").over(w), "after": F.lead("event_type").over(w)}
     e = _table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    return e.select("event_id", F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 6).alias("rolling"), F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
+    return segments.over_rows(e, ["user_id"], ["ts", "event_id"], 2, 1, frames).select("event_id", "rolling", "before", "after")
 
 
 @query("SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS quarter, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place, percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS share FROM customer")
