@@ -135,25 +135,44 @@ def dimension_rollup(labels: DataFrame) -> DataFrame:
     return per.groupBy("dimension").agg(F.count(F.lit(1)).alias("trials"), failed.alias("failed"), F.round(safe_ratio(failed, F.count(F.lit(1))), 4).alias("failure_rate"))
 
 
+def kinds(sets: DataFrame) -> DataFrame:
+    """(c, n): the sets of categories that trials have and how many trials have each. Trials are many, their different sets few: counted by partial sums, first of all."""
+    return sets.groupBy(F.array_sort("c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_sets(labels: DataFrame) -> DataFrame:
+    """One row (c) for each labelled trial: its categories."""
+    return labels.groupBy("trial_id").agg(F.collect_set("category_name").alias("c"))
+
+
+def cooccurrence_of(counted: DataFrame) -> DataFrame:
+    """Pairs of categories of one trial, from kinds(): pairs are made once for each different set, of at most 40 categories."""
+    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: a < b), lambda b: F.struct(a.alias("cat_a"), b.alias("cat_b")))))
+    return counted.select("n", F.explode(pairs).alias("p")).groupBy("p.cat_a", "p.cat_b").agg(F.sum("n").alias("co_occurrences"))
+
+
 def cooccurrence(labels: DataFrame) -> DataFrame:
-    """Pairs of categories of one trial. Pairs are made inside a trial's own list of at most 40 categories, so one shuffle is enough."""
-    sets = labels.groupBy("trial_id").agg(F.array_sort(F.collect_set("category_name")).alias("c"))
-    pairs = sets.select(F.explode(F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: a < b), lambda b: F.struct(a.alias("cat_a"), b.alias("cat_b")))))).alias("p"))
-    return pairs.groupBy("p.cat_a", "p.cat_b").agg(F.count(F.lit(1)).alias("co_occurrences"))
+    """Pairs of categories of one trial, from rows of labels."""
+    return cooccurrence_of(kinds(category_sets(labels)))
 
 
 def phi_matrix(labels: DataFrame, trials: DataFrame) -> DataFrame:
+    """phi_of() of rows of labels."""
+    return phi_of(kinds(category_sets(labels)), trials)
+
+
+def phi_of(counted: DataFrame, trials: DataFrame) -> DataFrame:
     """How many trials have a category on the diagonal, phi coefficients of six places off it, for all pairs of the categories that occur.
 
     Trials without a category count among those that have neither of two.
     """
-    spark = labels.sparkSession
+    spark = counted.sparkSession
     n = trials.agg(F.count(F.lit(1)).alias("trials"))
-    single = labels.select("trial_id", "category_name").distinct().groupBy("category_name").agg(F.count(F.lit(1)).alias("k"))
+    single = counted.select("n", F.explode("c").alias("category_name")).groupBy("category_name").agg(F.sum("n").alias("k"))
     # at most 40 categories: the taxonomy bounds both sides of this grid
     known = F.broadcast(single.join(F.broadcast(taxonomy.table(spark).select(F.col("name").alias("category_name"))), "category_name"))
     grid = known.select(F.col("category_name").alias("a"), F.col("k").alias("ka")).crossJoin(known.select(F.col("category_name").alias("b"), F.col("k").alias("kb"))).crossJoin(F.broadcast(n))
-    both = cooccurrence(labels)
+    both = cooccurrence_of(counted)
     both = both.select(F.col("cat_a").alias("a"), F.col("cat_b").alias("b"), F.col("co_occurrences").alias("k")).unionByName(both.select(F.col("cat_b").alias("a"), F.col("cat_a").alias("b"), F.col("co_occurrences").alias("k")))
     value = F.when(F.col("a") == F.col("b"), F.col("ka").cast("double")).otherwise(F.round(phi(F.col("trials"), F.col("ka"), F.col("kb"), F.coalesce("k", F.lit(0))), 6))
     return grid.join(both, ["a", "b"], "left").select("a", "b", value.alias("value"))

@@ -34,18 +34,20 @@ def agreement(rows: DataFrame) -> DataFrame:
     """Pairwise agreement of annotators by category: 2 x 2 counts over shared trials and kappa (NULL where undefined).
 
     rows: annotator, trial_id, category_name. One shuffle brings a trial's labels into one row (annotators times 40 categories at
-    most); pairs are made inside it, and counted with partial sums. A row without a category counts the trials of a pair.
+    most); equal rows are counted, by partial sums, before pairs are made inside them, so that annotators do not multiply the trials.
+    A row without a category counts the trials of a pair.
     """
     rows = rows.filter((F.col("annotator") != "") & (F.col("trial_id") != ""))
-    t = rows.groupBy("trial_id").agg(F.collect_set(F.struct("annotator", "category_name")).alias("s"))
+    t = rows.groupBy("trial_id").agg(F.array_sort(F.collect_set(F.struct("annotator", "category_name"))).alias("s"))
+    t = t.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     who = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["annotator"])))
     pairs = F.flatten(F.transform(who, lambda a: F.transform(F.filter(who, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    t = t.select("s", F.explode(pairs).alias("p"))
+    t = t.select("s", "n", F.explode(pairs).alias("p"))
     of = lambda side: F.transform(F.filter("s", lambda x: x["annotator"] == F.col(f"p.{side}")), lambda x: x["category_name"])
-    t = t.select(F.col("p.a").alias("annotator_a"), F.col("p.b").alias("annotator_b"), of("a").alias("ca"), of("b").alias("cb"))
-    t = t.select("annotator_a", "annotator_b", "ca", "cb", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_union("ca", "cb"))).alias("category_name"))
+    t = t.select(F.col("p.a").alias("annotator_a"), F.col("p.b").alias("annotator_b"), of("a").alias("ca"), of("b").alias("cb"), "n")
+    t = t.select("annotator_a", "annotator_b", "ca", "cb", "n", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_union("ca", "cb"))).alias("category_name"))
     x, y = (F.coalesce(F.array_contains(c, F.col("category_name")).cast("long"), F.lit(0)) for c in ("ca", "cb"))
-    per = t.groupBy("annotator_a", "annotator_b", "category_name").agg(F.sum(x * y).alias("n11"), F.sum(x * (1 - y)).alias("n10"), F.sum((1 - x) * y).alias("n01"), F.count(F.lit(1)).alias("k"))
+    per = t.groupBy("annotator_a", "annotator_b", "category_name").agg(F.sum(x * y * F.col("n")).alias("n11"), F.sum(x * (1 - y) * F.col("n")).alias("n10"), F.sum((1 - x) * y * F.col("n")).alias("n01"), F.sum("n").alias("k"))
     # what is left is a row for each pair of annotators and category
     trials = F.max(F.when(F.col("category_name").isNull(), F.col("k"))).over(W.partitionBy("annotator_a", "annotator_b"))
     per = per.withColumn("n00", trials - F.col("n11") - F.col("n10") - F.col("n01")).filter("category_name is not null").drop("k")

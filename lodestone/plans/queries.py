@@ -60,8 +60,12 @@ def benchmark_model_matrix(spark, d):
 
 @query(A + " SELECT a.category_name AS cat_a, b.category_name AS cat_b, count(*) AS co_occurrences FROM annotations a JOIN annotations b ON a.u = b.u AND a.seg = b.seg AND a.category_name < b.category_name GROUP BY ALL")
 def annotation_cooccurrence(spark, d):
-    a = adapter.annotations(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg"))
-    return report.cooccurrence(a)
+    return report.cooccurrence_of(_kinds(spark, d))
+
+
+def _kinds(spark, d) -> DataFrame:
+    """The rules' rows hold a trial's categories together: no label is shuffled."""
+    return report.kinds(adapter.annotated(spark, d).select(F.transform("categories", lambda c: c["name"]).alias("c")))
 
 
 @query(S + " SELECT tool_name, count(*) AS usage_count FROM (SELECT unnest(tool_call_sequence) AS tool_name FROM signals) GROUP BY tool_name ORDER BY usage_count DESC, tool_name LIMIT 20")
@@ -268,8 +272,7 @@ b AS (SELECT x.c AS a, y.c AS b, count(*) AS k FROM l x JOIN l y ON x.t = y.t AN
 g AS (SELECT x.c AS a, y.c AS b, x.k AS ka, y.k AS kb, n.n, coalesce(b.k, 0) AS k FROM k x CROSS JOIN k y CROSS JOIN n LEFT JOIN b ON b.a = x.c AND b.b = y.c)
 SELECT a, b, round(CASE WHEN a = b THEN ka::DOUBLE WHEN ka::DOUBLE * kb * (n - ka) * (n - kb) > 0 THEN (k::DOUBLE * n - ka::DOUBLE * kb) / sqrt(ka::DOUBLE * kb * (n - ka) * (n - kb)) ELSE 0.0 END, 6) + 0.0 AS value FROM g""")
 def phi_matrix(spark, d):
-    a = adapter.annotations(spark, d).withColumn("trial_id", F.concat_ws("/", "u", "seg"))
-    return report.phi_matrix(a, adapter.signals(spark, d))
+    return report.phi_of(_kinds(spark, d), adapter.signals(spark, d))
 
 
 def _two(spark, d) -> DataFrame:
