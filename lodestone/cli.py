@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import taxonomy
 from .functions.columns import core_task_name  # noqa: F401  part of the SQL functions
-from .operators import annotators, incremental, model, render, rules, sampling, signals, stats, textops
+from .operators import annotators, batches, incremental, model, render, rules, sampling, signals, stats, textops
 from .operators.store import AnnotationStore, resolve_alias
 from .schemas import ANNOTATION_VERSION, REDACTED, TABLES, render_doc
 from .session import session, written
@@ -98,7 +98,12 @@ def llm_annotate(spark: SparkSession, a) -> int:
     asked = written(annotators.keyed(prompts(s, readers.listing(spark, root)), a.model), "prompts")  # their nonces stay what they are
     cache = annotators.ReplyCache(spark, a.cache) if a.cache else None
     limits = annotators.Limits(a.workers, a.in_flight, a.per_second, a.attempts, seconds=a.seconds)
-    out = annotators.annotate(asked, a.model, annotators.backend(a.backend), cache and cache.of(asked), limits=limits)
+    if a.ledger and a.cache:
+        raise ValueError("a ledger keeps its replies itself: give it or a cache")
+    if a.ledger:  # the backend is one of a server's batches
+        out = batches.annotate(asked, a.model, annotators.backend(a.backend), batches.Ledger(spark, a.ledger), seconds=a.seconds).withColumn("cached", F.lit(False))
+    else:
+        out = annotators.annotate(asked, a.model, annotators.backend(a.backend), cache and cache.of(asked), limits=limits)
     out = written(out, "annotated")  # a reply is asked for once
     if cache:
         hits, misses = out.agg(F.count_if("cached"), F.count_if(~F.col("cached"))).first()
@@ -236,7 +241,7 @@ COMMANDS: dict[str, tuple] = {
     "extract": (extract, True, [_O("--runs-dir", **_NEED), _O("--output", **_NEED), _O("--cache-dir"), _O("--manifest")]),
     "ingest": (ingest, True, [_O("--runs-dir", **_NEED), _O("--output", **_NEED), _O("--manifest"), _O("--state"), _O("--mode", choices=("merge", "delta"), default="merge")]),
     "annotate": (annotate, True, [_O("--signals", **_NEED), _O("--output", **_NEED), _O("--annotations-out")]),
-    "llm-annotate": (llm_annotate, True, [_O("--signals", **_NEED), _O("--output", **_NEED), _O("--annotations-out"), _O("--runs-dir"), _O("--sample-size", type=int), _O("--seed", type=int, default=0), _O("--model", default="haiku"), _O("--backend", default="offline"), _O("--cache"), _O("--workers", type=int, default=8), _O("--in-flight", type=int, default=4), _O("--per-second", type=float), _O("--attempts", type=int, default=3), _O("--seconds", type=float, default=600.0)]),
+    "llm-annotate": (llm_annotate, True, [_O("--signals", **_NEED), _O("--output", **_NEED), _O("--annotations-out"), _O("--runs-dir"), _O("--sample-size", type=int), _O("--seed", type=int, default=0), _O("--model", default="haiku"), _O("--backend", default="offline"), _O("--cache"), _O("--ledger"), _O("--workers", type=int, default=8), _O("--in-flight", type=int, default=4), _O("--per-second", type=float), _O("--attempts", type=int, default=3), _O("--seconds", type=float, default=600.0)]),
     "blend": (blend, True, [_O("--heuristic", **_NEED), _O("--llm", **_NEED), _O("--output", **_NEED), _O("--cap", "--max-heuristic-samples", type=int, default=2000), _O("--calibration"), _O("--trust-threshold", type=float, default=0.7)]),
     "train": (train, True, [_O("--labels", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--min-positive", type=int, default=3), _O("--lr", type=float, default=0.1), _O("--epochs", type=int, default=300), _O("--cv-folds", type=int, default=5), _O("--eval", action="store_true")]),
     "predict": (predict, True, [_O("--model", **_NEED), _O("--signals", **_NEED), _O("--output", **_NEED), _O("--threshold", type=float, default=0.5), _O("--annotations-out")]),

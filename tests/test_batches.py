@@ -5,7 +5,8 @@ import os
 
 import pytest
 
-from lodestone.operators.annotators import keyed
+from lodestone import cli
+from lodestone.operators.annotators import keyed, register_backend
 from lodestone.operators.batches import Ledger, annotate
 
 
@@ -67,3 +68,19 @@ def test_batches_are_resumed(spark, tmp_path):
 def test_no_prompts(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     assert annotate(prompts(spark, ["x"]).limit(0), "m", lambda: Server(str(tmp_path)), ledger, poll=0).count() == 0
+
+
+def test_command(spark, tmp_path):
+    server, ledger, runs = (str(tmp_path / d) for d in ("server", "ledger", "runs"))
+    os.makedirs(server)
+    for i in range(3):
+        os.makedirs(f"{runs}/t{i}")
+        open(f"{runs}/t{i}/trajectory.json", "w").write('{"steps": []}')
+    with open(tmp_path / "signals.jsonl", "w") as f:
+        f.writelines(json.dumps({"trial_path": f"{runs}/t{i}", "trial_id": f"t{i}", "has_trajectory": True}) + "\n" for i in range(3))
+    register_backend("files", lambda: Server(server))
+    args = ["llm-annotate", "--signals", str(tmp_path / "signals.jsonl"), "--output", str(tmp_path / "out.jsonl"), "--runs-dir", runs, "--backend", "files", "--ledger", ledger, "--seconds", "60"]
+    assert cli.main(args) == 0 and len(open(tmp_path / "out.jsonl").readlines()) == 3
+    n = len(asked(server))
+    assert cli.main(args) == 0 and len(asked(server)) == n  # the ledger answers
+    assert cli.main([*args, "--cache", str(tmp_path / "cache")]) == 1
