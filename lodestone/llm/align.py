@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,8 +37,8 @@ from ..functions.columns import sealed
 from .bpe_stream import byte_symbols
 from .common import cut, map_arrow, written
 
-#: Characters of a block; id pairs that can be broadcast.
-BLOCK, HEAVY = 1 << 20, 1 << 18
+#: Characters of a block; words that are tokenised as one text (B's time grows faster than a text's length); id pairs that can be broadcast.
+BLOCK, TOGETHER, HEAVY = 1 << 20, 1000, 1 << 18
 #: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; words too long for the quick path.
 PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~\u00A0-\u024F]*"), ("  ", " \n", "\n ", " \t", "\t ", " \u00a0", "\u00a0 "), 500
 #: How A splits a text before merging.
@@ -107,9 +108,9 @@ class Pair:
                 odd.append((len(docs), text))
             docs.append({"doc_id": doc_id, "words": [number.setdefault(w, len(number)) for w in words or ()]})
         parts = []
-        if number:
-            ends = np.cumsum([len(w.encode()) + 1 for w in number])
-            a, b, gives = self.encode(" ".join(number))
+        for some in batched(number, TOGETHER):
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            a, b, gives = self.encode(" ".join(some))
             if not gives:
                 raise ValueError("plain words that a tokenizer does not give back")
             parts.append((a, b, ends))

@@ -173,6 +173,16 @@ def test_alignment_does_not_depend_on_blocks(spark, paths, libraries):
     assert [int(x) for g in one["groups"] for x in g.split("|")[1].split(",")] == [i for i, _ in b]
 
 
+def test_alignment_tokenises_words_in_pieces(spark, paths, libraries, monkeypatch):
+    """B's time grows faster than its text; the tokens are those of the whole text."""
+    text, sizes, encode = " ".join(f"w{i} {i * 7919}" for i in range(1500)), [], align.Pair.encode
+    monkeypatch.setattr(align.Pair, "encode", lambda self, x: sizes.append(x.count(" ") + 1) or encode(self, x))
+    row = align.Pair(*paths).block([1], [text])
+    assert sum(sizes) == len(row["word_ends"]) > 2000 and max(sizes) <= 1000
+    a, b = libraries(" ".join(dict.fromkeys(text.split(" "))))
+    assert row["ids_a"].tolist() == [i for i, _ in a] and row["ids_b"].tolist() == [i for i, _ in b]
+
+
 def test_alignment_hard(nothing, paths):
     assert align.alignments(nothing, *paths).count() == 0
 
