@@ -112,7 +112,8 @@ def calibration_bin(confidence: Column, bins: int) -> Column:
 
 
 def sigmoid(z: Column) -> Column:
-    return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
+    """One form for either sign, as in training: exp(z) / (1 + exp(z)) lies just below 0.5 for a z that only rounding puts below 0. An exp that overflows gives 0."""
+    return 1 / (1 + F.exp(-z))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import cli, sql
-from lodestone.functions.columns import kappa, register_sql_functions
+from lodestone.functions.columns import kappa, register_sql_functions, sigmoid
 from lodestone.operators import annotators, curation, incremental, model, report, sampling, stats, textops
 from lodestone.operators.store import AnnotationStore, DuplicateKeyError, MixedVersionError, resolve_alias, resolve_identity, resolve_snapshot
+from lodestone.plans import relational
 from lodestone.sources import readers, sinks
 from lodestone.streaming import trials as streaming
 
@@ -106,6 +107,15 @@ def test_classifier_learns_and_round_trips(spark, tmp_path):
     assert {r.category for r in model.trusted(m).collect()} == set(got)
 
 
+def test_a_score_that_only_rounding_puts_below_the_threshold_is_predicted(spark):
+    """0.7 * 1.5 - 22 / 10 * 0.25 - 0.5 is -2.2e-16 in doubles: 1 / (1 + exp(-z)) is 0.5, as in SQL and in training."""
+    s = spark.createDataFrame([("tie", 0.7, 22), ("above", 0.7, 21), ("below", 0.7, 23)], "trial_id string, reward double, tool_calls_total long")
+    p = model.predict(s, relational._fixed_model(spark).filter("category = 'near_miss'"))
+    assert sorted(r.trial_id for r in p.collect()) == ["above", "tie"]
+    z = spark.createDataFrame([(0, -1000.0), (1, -40.0), (2, -2.220446049250313e-16), (3, 1000.0), (4, None)], "i int, z double")
+    assert [r.p for r in z.select("i", sigmoid(F.col("z")).alias("p")).orderBy("i").collect()] == [0.0, pytest.approx(math.exp(-40), rel=1e-12), 0.5, 1.0, None]
+
+
 def test_blend(spark):
     rows = lambda *x: spark.createDataFrame(list(x), "trial_path string, category_name string, confidence double")
     ruled = rows(("a", "near_miss", 0.7), ("a", "query_churn", 0.7), ("b", "near_miss", 0.7), ("c", "near_miss", 0.7), ("", "near_miss", 0.7))
