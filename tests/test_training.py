@@ -81,6 +81,36 @@ def test_training_on_all_rows_equals_plain_descent(spark, block_rows, epochs):
     assert got["over_exploration"]["cv_status"] == "insufficient_data" and 0.5 < got["retrieval_failure"]["eval_f1"] < 1
 
 
+def test_equal_rows_of_a_trial_are_descended_on_once(spark, monkeypatch):
+    """Three copies of 300 trials fit into a block of 300 rows, and count three times."""
+    monkeypatch.setattr(model, "_summing", None)
+    s, labels = fixture(spark)
+    s = s.union(s).union(s.withColumn("reward", F.when(F.col("trial_id") == "t9", 0.125).otherwise(F.col("reward")))).cache()
+    got = {r["category"]: r for r in model.train(labels, s, epochs=40, block_rows=301).collect()}
+    want = plain(spark, s, labels, 40)
+    assert set(got) == set(want) - {"rate_limited_run"}  # of one trial
+    for name, r in got.items():
+        w, b, _, _, pos, neg, _ = want[name]
+        assert np.abs(np.array(r["weights"]) - w).max() < 1e-9 and abs(r["bias"] - b) < 1e-9, name
+        assert (r["n_positive"], r["n_negative"], pos + neg) == (pos, neg, 900)
+
+
+@pytest.mark.parametrize("together", [64, 2])
+def test_an_epoch_is_one_job(spark, monkeypatch, together):
+    """Whether the driver adds up the tasks' sums or tasks do so first."""
+    monkeypatch.setattr(model, "TOGETHER", together, raising=False)
+    s, labels = fixture(spark, 200)
+    sc, count, found = spark.sparkContext, [], []
+    for epochs in (2, 7):
+        sc.setJobGroup(f"train-{together}-{epochs}", "")
+        found.append({r["category"]: r["weights"] for r in model.train(labels, s, epochs=epochs, block_rows=50).collect()})
+        count.append(len(sc.statusTracker().getJobIdsForGroup(f"train-{together}-{epochs}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert count[1] - count[0] == 5
+    for name, (w, *_) in plain(spark, s, labels, 7).items():
+        assert np.abs(np.array(found[1][name]) - w).max() < 1e-9
+
+
 def test_training_takes_every_row(spark):
     """Nothing is sampled, and no row of features meets a row for each category."""
     s, labels = fixture(spark, 500)
