@@ -17,7 +17,9 @@ all others are summed up by document and shuffled to counts that hold at most th
 
 Defined cases. Texts that are null, empty, or not given back by A or B as space and text have no tokens: zeros and ''. Special tokens'
 strings in a text are plain text. Repeated rows are documents of their own and count as such. An empty table gives an empty result.
-Other columns are ignored. Memory is a block of BLOCK characters, or the one text that is longer.
+Other columns are ignored. Memory is a block of BLOCK characters (by weight(), so that texts that are one word and documents without text are
+bounded too), or the one text that is longer, in each task, and FILE of its rows where
+blocks are written and read back: Parquet's writer gathers a file's rows, its reader takes up to 4,096 rows at a time.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ from ..functions.columns import sealed
 from .bpe_stream import byte_symbols
 from .common import cut, map_arrow, written
 
-#: Characters of a block; words that are tokenised as one text (B's time grows faster than a text's length); id pairs that can be broadcast.
-BLOCK, TOGETHER, HEAVY = 1 << 20, 1000, 1 << 18
+#: Characters of a block (the arrays of larger ones fill the heap faster than it is collected), and what a document counts without its text;
+#: rows of a file of blocks; words that are tokenised as one text (B's time grows faster than a text's length); id pairs that can be broadcast.
+BLOCK, EACH, FILE, TOGETHER, HEAVY = 1 << 19, 16, 32, 1000, 1 << 18
 #: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; words too long for the quick path.
 PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~\u00A0-\u024F]*"), ("  ", " \n", "\n ", " \t", "\t ", " \u00a0", "\u00a0 "), 500
 #: How A splits a text before merging.
@@ -137,6 +140,11 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+def weight(pair: Pair, text: str | None) -> int:
+    """What a text adds to its block, in characters of words: more than half of a block's words repeat, another text is aligned in full."""
+    return EACH + (0 if not text else len(text) if pair.words_of(text) else 2 * len(text.encode()))
+
+
 def tokenised(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) -> DataFrame:
     """Blocks of documents, tokenised by both."""
 
@@ -148,7 +156,7 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) ->
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids.append(doc_id)
                 texts.append(text)
-                size += len(text or "")
+                size += weight(pair, text)
                 if size >= block:
                     yield row()
                     ids, texts, size = [], [], 0
@@ -218,7 +226,7 @@ def block_rows(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK) ->
         F.when(F.size(d["words"]) > 0, F.sha2(text(d), 256)).otherwise("").alias("groups_sha256"), d["words"].alias("words"),
     )
     rows = words.select("word_links", "word_times", F.transform("docs", one).alias("docs"))
-    return written(rows.withColumn("block", F.monotonically_increasing_id()), "align-blocks")
+    return written(rows.withColumn("block", F.monotonically_increasing_id()), "align-blocks", FILE)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

@@ -183,6 +183,20 @@ def test_alignment_tokenises_words_in_pieces(spark, paths, libraries, monkeypatc
     assert row["ids_a"].tolist() == [i for i, _ in a] and row["ids_b"].tolist() == [i for i, _ in b]
 
 
+def test_alignment_bounds_what_a_task_holds(spark, paths):
+    """Blocks by what is aligned in them, and files by blocks, since Parquet's reader takes a file's rows together."""
+    sizes = lambda texts: [len(r["docs"]) for r in align.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), *paths).collect()]
+    plain = ["a few plain words of a text " * 700 + "end"] * 40  # 784,120 characters
+    odd = [" \u6f22\u5b57 " * 3000] * 20  # 240,000 characters, 480,000 bytes
+    assert sizes(plain) == [27, 13] and sizes(odd) == [11, 9] and sizes([""] * 40_000) == [32_768, 7_232]
+    docs = spark.createDataFrame([(i, "some words") for i in range(70)], "doc_id long, text string").coalesce(1)
+    blocks = align.block_rows(docs, *paths, block=1)
+    by_file = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
+    assert sum(by_file) == 70 and max(by_file) <= align.FILE
+    got = align.alignments(docs, *paths, block=1)
+    assert got.count() == 70 and got.select("groups_sha256", "count_sum").distinct().count() == 1
+
+
 def test_alignment_hard(nothing, paths):
     assert align.alignments(nothing, *paths).count() == 0
 
