@@ -41,7 +41,7 @@ from .common import cut, map_arrow, written
 
 #: Characters of a block (the arrays of larger ones fill the heap faster than it is collected), and what a document counts without its text;
 #: rows of a file of blocks; words that are tokenised as one text (B's time grows faster than a text's length); id pairs that can be broadcast.
-BLOCK, EACH, FILE, TOGETHER, HEAVY = 1 << 19, 16, 32, 1000, 1 << 18
+BLOCK, EACH, FILE, TOGETHER, HEAVY = 1 << 18, 16, 32, 1000, 1 << 18
 #: Characters on which no two versions of Unicode's tables differ; spaces at which tokens may not end; words too long for the quick path.
 PLAIN, UNEVEN, LONG = re.compile(r"[\n\t -~\u00A0-\u024F]*"), ("  ", " \n", "\n ", " \t", "\t ", " \u00a0", "\u00a0 "), 500
 #: How A splits a text before merging.

@@ -188,7 +188,7 @@ def test_alignment_bounds_what_a_task_holds(spark, paths):
     sizes = lambda texts: [len(r["docs"]) for r in align.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), *paths).collect()]
     plain = ["a few plain words of a text " * 700 + "end"] * 40  # 784,120 characters
     odd = [" \u6f22\u5b57 " * 3000] * 20  # 240,000 characters, 480,000 bytes
-    assert sizes(plain) == [27, 13] and sizes(odd) == [11, 9] and sizes([""] * 40_000) == [32_768, 7_232]
+    assert sizes(plain) == [14, 14, 12] and sizes(odd) == [6, 6, 6, 2] and sizes([""] * 40_000) == [16_384, 16_384, 7_232]
     docs = spark.createDataFrame([(i, "some words") for i in range(70)], "doc_id long, text string").coalesce(1)
     blocks = align.block_rows(docs, *paths, block=1)
     by_file = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
